@@ -1,0 +1,81 @@
+"""Run registered queries next to their oracle SQL and compare the rows."""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _plain(value):
+    return value.isoformat() if hasattr(value, "isoformat") else value
+
+
+def as_bag(names, rows):
+    """Column names in order and the rows as a sorted list, columns sorted by name."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    # The type is part of a value: 1, 1.0 and True must not pass for each other.
+    bag = [tuple((type(_plain(row[i])).__name__, _plain(row[i])) for i in order) for row in rows]
+    return [names[i] for i in order], sorted(bag, key=repr)
+
+
+def spark_rows(df):
+    return as_bag(df.columns, [tuple(row) for row in df.collect()])
+
+
+def duck_rows(con, sql):
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    return as_bag(names, result.fetchall())
+
+
+def main(sf_dir: str, only: list[str]) -> int:
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+    import __spark_entry__ as entry
+    from ticketlens.session import build_session
+
+    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    sqls, failed = entry.oracle_sql(), 0
+    for name, query in entry.queries().items():
+        if only and name not in only:
+            continue
+        started = time.time()
+        try:
+            names, got = spark_rows(query(spark, sf_dir))
+            took = time.time() - started
+            started = time.time()
+            want_names, want = duck_rows(con, sqls[name])
+            duck_took = time.time() - started
+        except Exception as problem:
+            failed += 1
+            print(f"ERROR {name}: {str(problem)[:1500]}", flush=True)
+            continue
+        ok = names == want_names and got == want
+        failed += not ok
+        print(f"{'ok   ' if ok else 'WRONG'} {name}: {len(got)} rows, spark {took:.2f}s, duckdb {duck_took:.2f}s", flush=True)
+        if not ok:
+            print("  ", names, want_names, len(got), len(want))
+            missing = [r for r in want if r not in set(got)][:2]
+            extra = [r for r in got if r not in set(want)][:2]
+            print("   missing", str(missing)[:600], "\n   extra  ", str(extra)[:600])
+    return failed
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1], sys.argv[2:]))

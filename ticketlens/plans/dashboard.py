@@ -1,0 +1,164 @@
+"""The dashboard's summaries from one pass over the fact table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ticketlens.functions import expressions as X
+from ticketlens.operators.filters import ALL
+from ticketlens.operators.summaries import (
+    MEASURES,
+    churned_by_primary,
+    kpis,
+    sentiment_counts,
+    top_pairs,
+)
+
+#: Filter columns and group columns of all summaries.
+CELL_KEYS = ["plan_type", "is_churned", "primary_label", "secondary_label", "sentiment", "ticket_month"]
+
+#: summary -> its group columns
+SUMMARIES: dict[str, list[str]] = {
+    "total": [],
+    "by_primary": ["primary_label"],
+    "by_pair": ["primary_label", "secondary_label"],
+    "by_sentiment": ["sentiment"],
+    "by_month": ["primary_label", "ticket_month"],
+}
+
+_GROUP_COLUMNS = ["primary_label", "secondary_label", "sentiment", "ticket_month"]
+
+
+def summary_cells(fct: DataFrame) -> DataFrame:
+    """Fact rows reduced to counts per combination of filter and group columns.
+
+    All dashboard summaries, under any filter, are sums over these cells, so one
+    scan of the fact table serves every interaction until the next refresh.
+    """
+    return fct.groupBy(*CELL_KEYS).agg(
+        X.row_total().alias("tickets"),
+        *[F.count_if(condition()).alias(measure) for measure, condition in MEASURES.items()],
+    )
+
+
+def all_summaries(cells: DataFrame) -> DataFrame:
+    """Every summary in one aggregation, in long form.
+
+    The rows that grouping sets multiply are cells, not tickets. A null in a
+    column that a summary groups by is a null key, and dropped; a null in another
+    column only says that the summary does not use it.
+    """
+    measures = ["tickets", *MEASURES]
+    sets = [[F.col(c) for c in keys] for keys in SUMMARIES.values()]
+    grouped = cells.groupingSets(sets, *_GROUP_COLUMNS).agg(
+        *[F.coalesce(F.sum(m), F.lit(0).cast("bigint")).alias(m) for m in measures],
+        *[F.grouping(c).alias(f"_no_{c}") for c in _GROUP_COLUMNS],
+    )
+    name = F.lit(None).cast("string")
+    for summary, keys in SUMMARIES.items():
+        match = F.lit(True)
+        for c in _GROUP_COLUMNS:
+            match = match & (F.col(f"_no_{c}") == F.lit(0 if c in keys else 1))
+        name = F.when(match, F.lit(summary)).otherwise(name)
+    null_key = F.lit(False)
+    for c in _GROUP_COLUMNS:
+        null_key = null_key | ((F.col(f"_no_{c}") == 0) & F.col(c).isNull())
+    return grouped.where(~null_key).select(name.alias("summary"), *_GROUP_COLUMNS, *measures)
+
+
+def pick_summary(summaries: DataFrame, name: str, measure: str = "tickets") -> DataFrame:
+    """One summary out of ``all_summaries``; groups with nothing to count are left out."""
+    rows = summaries.where(F.col("summary") == name)
+    if name != "total":
+        rows = rows.where(F.col(measure) > 0)
+    return rows.select(*SUMMARIES[name], measure)
+
+
+def context_table(
+    df: DataFrame,
+    narrative: DataFrame | None = None,
+    plan: str = ALL,
+    primary: str = ALL,
+    churn: str = ALL,
+) -> DataFrame:
+    """What an analyst is told about the current view, in long form.
+
+    ``df`` holds the filtered fact rows or cells; the other arguments say which
+    filter was used. Columns ``(section_no, section, rank, key1, key2, value)``;
+    only the top list is ranked, the others order by key.
+    """
+    spark = df.sparkSession
+    no_rank = F.lit(None).cast("int")
+    no_key = F.lit(None).cast("string")
+
+    def rows(frame, number, section, rank, key1, key2, value):
+        return frame.select(
+            F.lit(number).alias("section_no"),
+            F.lit(section).alias("section"),
+            rank.cast("int").alias("rank"),
+            key1.alias("key1"),
+            key2.alias("key2"),
+            value.cast("string").alias("value"),
+        )
+
+    def spread(frame, number, section, items):
+        pairs = F.array(
+            *[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in items.items()]
+        )
+        exploded = frame.select(F.explode(pairs).alias("p"))
+        return rows(exploded, number, section, no_rank, F.col("p.k"), no_key, F.col("p.v"))
+
+    filters = spread(
+        spark.range(1), 1, "filter", {"Plan": F.lit(plan), "Primary": F.lit(primary), "Churn": F.lit(churn)}
+    )
+    totals = spread(
+        kpis(df),
+        2,
+        "total",
+        {
+            "Total tickets": F.col("total_tickets"),
+            "Churn risk signals": F.col("churn_signals"),
+            "Negative sentiment tickets": F.col("negative_tickets"),
+            "High urgency tickets": F.col("high_urgency_tickets"),
+        },
+    )
+    # At most ten rows reach this array, so ranking them needs no window.
+    ranked = (
+        top_pairs(df, 10)
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct((-F.col("count")).alias("n"), "primary_label", "secondary_label"))
+            ).alias("top")
+        )
+        .select(F.posexplode("top").alias("pos", "t"))
+    )
+    top = rows(
+        ranked,
+        3,
+        "top_categories",
+        F.col("pos") + 1,
+        F.col("t.primary_label"),
+        F.col("t.secondary_label"),
+        -F.col("t.n"),
+    )
+    churned = rows(
+        churned_by_primary(df), 4, "churned_tickets", no_rank, F.col("primary_label"), no_key, F.col("churned_tickets")
+    )
+    moods = rows(sentiment_counts(df), 5, "sentiment", no_rank, F.col("sentiment"), no_key, F.col("count"))
+    text = narrative if narrative is not None else spark.range(0).select(no_key.alias("narrative"))
+    # The aggregate gives a row, and so the default text, even without a narrative.
+    told = rows(
+        text.agg(F.coalesce(F.first("narrative"), F.lit("Not available")).alias("narrative")),
+        6,
+        "narrative",
+        no_rank,
+        no_key,
+        no_key,
+        F.col("narrative"),
+    )
+    parts = [filters, totals, top, churned, moods, told]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table.orderBy("section_no", "rank", "key1")
