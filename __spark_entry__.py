@@ -30,9 +30,10 @@ from ticketlens.plans.dashboard import all_summaries, context_table, pick_summar
 from ticketlens.plans.models import INSIGHT_KEYS, fact, insights, staging  # noqa: E402
 from ticketlens.plans.narrative import write_narrative  # noqa: E402
 from ticketlens.samples.labeler import CONTEXT, sample_labeler, sample_writer  # noqa: E402
-from ticketlens.samples.tickets import raw_tickets, source_tickets  # noqa: E402
+from ticketlens.samples.tickets import raw_tickets, read_table, source_tickets  # noqa: E402
 from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS  # noqa: E402
 from ticketlens.session import DEFAULT_CONF, scratch_path  # noqa: E402
+from ticketlens.taxonomy import PRIMARY_LABELS  # noqa: E402
 from ticketlens.sources.tables import append_narrative, latest_narrative, reset_narratives  # noqa: E402
 from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv  # noqa: E402
 
@@ -166,21 +167,26 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weighted_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, u = F.col("o_orderkey"), F.col("o_custkey")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    primary = assign.pick_from((k * 13 + u) % 6, quality.PRIMARY_LABELS)
-    return orders.select(
-        k.alias("order_key"),
-        primary.alias("primary_label"),
-        assign.weighted_pick((k * 31 + u * 7) % 100, assign.PLAN_WEIGHTS).alias("plan_type"),
-        assign.weighted_pick((k * 37 + u * 11) % 100, assign.STATUS_WEIGHTS).alias("status"),
-        assign.weighted_pick_by(primary, (k * 41 + u * 3) % 100, assign.SENTIMENT_WEIGHTS).alias("sentiment"),
+    keys = read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_key",
+        "(o_orderkey * 13 + o_custkey) % 6 AS p",
+        "(o_orderkey * 31 + o_custkey * 7) % 100 AS plan_bucket",
+        "(o_orderkey * 37 + o_custkey * 11) % 100 AS status_bucket",
+        "(o_orderkey * 41 + o_custkey * 3) % 100 AS mood_bucket",
+    )
+    labelled = keys.withColumn("primary_label", assign.pick_from("p", PRIMARY_LABELS))
+    return labelled.select(
+        "order_key",
+        "primary_label",
+        assign.weighted_pick("plan_bucket", assign.PLAN_WEIGHTS).alias("plan_type"),
+        assign.weighted_pick("status_bucket", assign.STATUS_WEIGHTS).alias("status"),
+        assign.weighted_pick_by("primary_label", "mood_bucket", assign.SENTIMENT_WEIGHTS).alias("sentiment"),
     )
 
 
 def _ticket_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = F.col("c_custkey"), F.col("copy_no")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey")
     copies = F.when(c % 10 < 3, 2 + c % 6).otherwise(1 + c % 5)
     return assign.fan_out(customers, copies).select(
         X.numbered_id("USR-", c, 5).alias("user_id"),

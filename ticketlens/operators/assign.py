@@ -18,37 +18,41 @@ SENTIMENT_WEIGHTS = {
 }
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _case(bucket: str, weights: dict[str, int]) -> str:
+    branches, hi = "", 0
+    for value, weight in weights.items():
+        hi += weight
+        branches += f" WHEN {bucket} < {hi} THEN {_text(value)}"
+    return f"CASE{branches} END"
+
+
 def hash_bucket(*key: Column, seed: int = 0, buckets: int = 100) -> Column:
     """Repeatable bucket of a key, whatever the order or partitioning of the rows."""
     return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(buckets))
 
 
-def weighted_pick(bucket: Column, weights: dict[str, int]) -> Column:
-    """The value whose cumulative weight range ``[lo, hi)`` holds ``bucket``.
+def weighted_pick(bucket: str, weights: dict[str, int]) -> Column:
+    """The value whose cumulative weight range ``[lo, hi)`` holds ``bucket``, a column.
 
     Weights are integers, and buckets run from 0 to their sum. A CASE in
     generated code, so no join with a weights table is needed.
     """
-    pick, hi = None, 0
-    for value, weight in weights.items():
-        hi += weight
-        below = bucket < F.lit(hi)
-        pick = F.when(below, F.lit(value)) if pick is None else pick.when(below, F.lit(value))
-    return pick
+    return F.expr(_case(bucket, weights))
 
 
-def weighted_pick_by(group: Column, bucket: Column, weights: dict[str, dict[str, int]]) -> Column:
+def weighted_pick_by(group: str, bucket: str, weights: dict[str, dict[str, int]]) -> Column:
     """``weighted_pick`` with the weights of the row's group; null for an unknown group."""
-    pick = None
-    for name, group_weights in weights.items():
-        value = weighted_pick(bucket, group_weights)
-        pick = F.when(group == name, value) if pick is None else pick.when(group == name, value)
-    return pick
+    branches = " ".join(f"WHEN {_text(name)} THEN {_case(bucket, by)}" for name, by in weights.items())
+    return F.expr(f"CASE {group} {branches} END")
 
 
-def pick_from(bucket: Column, values: list[str]) -> Column:
+def pick_from(bucket: str, values: list[str]) -> Column:
     """Unweighted pick by a bucket from 0 to ``len(values) - 1``."""
-    return F.get(F.array(*[F.lit(v) for v in values]), bucket.cast("int"))
+    return F.expr(f"get(array({', '.join(map(_text, values))}), cast({bucket} AS INT))")
 
 
 def fan_out(df: DataFrame, copies: Column, number: str = "copy_no") -> DataFrame:

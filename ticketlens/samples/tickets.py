@@ -5,7 +5,7 @@ Integer arithmetic only, so that any SQL engine can restate the rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
@@ -15,14 +15,19 @@ from ticketlens.taxonomy import PRIMARY_LABELS, TAXONOMY
 
 _SECONDARY = [s for p in TAXONOMY for s in TAXONOMY[p]]
 _TERTIARY = [t for p in TAXONOMY for s in TAXONOMY[p] for t in TAXONOMY[p][s]]
+_MOODS = {str(p): SENTIMENT_WEIGHTS[name] for p, name in enumerate(PRIMARY_LABELS)}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Columns read from the order tables; stated, so that no job is run to look them up.
+_SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "documents": "doc_id BIGINT, text STRING",
+}
 
 
-def _unless(condition: Column, value: Column) -> Column:
-    return F.when(~condition, value)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def source_tickets(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
@@ -32,56 +37,60 @@ def source_tickets(spark: SparkSession, sf_dir: str, body: bool = True) -> DataF
     that does not read bodies asks for ``body=False`` and so saves the join with
     the documents, which neither adds nor drops tickets.
     """
-    orders = _table(spark, sf_dir, "orders")
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    orders, customers = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     if body:
-        documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        documents = read_table(spark, sf_dir, "documents")
         count = documents.agg(F.count(F.lit(1))).scalar()
         rows = rows.withColumn("_doc", F.col("o_orderkey") % count)
         rows = rows.join(documents, F.col("_doc") == F.col("doc_id"), "left")
-    else:
-        rows = rows.withColumn("text", F.lit(None).cast("string"))
-
-    k, u = F.col("o_orderkey"), F.col("o_custkey")
-    p = (k * 7 + u) % 6
-    # (k mod 1009) squared, not k squared, which would overflow for large keys
-    s = ((k % 1009) * (k % 1009) % 1009 + u) % 4
-    t = (k * 31 % 1013 + u) % 3
-    primary = pick_from(p, PRIMARY_LABELS)
-    segment, order_status = F.col("c_mktsegment"), F.col("o_orderstatus")
-    mood = weighted_pick_by(primary, (k * 17 + u * 5) % 100, SENTIMENT_WEIGHTS)
+    keyed = rows.selectExpr(
+        "o_orderkey AS k",
+        "o_custkey AS u",
+        "c_mktsegment AS segment",
+        "o_orderstatus AS order_status",
+        "o_orderpriority AS order_priority",
+        "o_orderdate AS order_date",
+        "(o_orderkey * 7 + o_custkey) % 6 AS p",
+        # (key mod 1009) squared: key squared would overflow for large keys
+        "((o_orderkey % 1009) * (o_orderkey % 1009) % 1009 + o_custkey) % 4 AS s",
+        "(o_orderkey * 31 % 1013 + o_custkey) % 3 AS t",
+        "(o_orderkey * 17 + o_custkey * 5) % 100 AS b",
+        "text" if body else "CAST(NULL AS STRING) AS text",
+    )
+    k, u = F.col("k"), F.col("u")
     columns = {
-        "ticket_id": _unless(k % 97 == 0, X.numbered_id("TKT-", k, 8)),
-        "user_id": _unless(k % 89 == 0, X.numbered_id("USR-", u, 5)),
-        "plan_type": F.when(segment.isin("MACHINERY", "BUILDING"), "Basic")
-        .when(segment.isin("AUTOMOBILE", "HOUSEHOLD"), "Standard")
-        .otherwise("Premium"),
-        "is_churned": F.when(u % 10 < 3, "True").otherwise("False"),
-        "channel": pick_from(k % 3, CHANNELS),
-        "status": F.when(order_status == "F", "Resolved")
-        .when(order_status == "O", "Open")
-        .when(k % 4 == 0, "Escalated")
-        .otherwise("In Progress"),
-        "sentiment": _unless(k % 101 == 0, mood),
-        "primary_label": _unless(k % 103 == 0, primary),
-        "secondary_label": pick_from(p * 4 + s, _SECONDARY),
-        "tertiary_label": pick_from((p * 4 + s) * 3 + t, _TERTIARY),
+        "ticket_id": F.when(k % 97 != 0, X.numbered_id("TKT-", k, 8)),
+        "user_id": F.when(k % 89 != 0, X.numbered_id("USR-", u, 5)),
+        "plan_type": F.expr(
+            "CASE WHEN segment IN ('MACHINERY', 'BUILDING') THEN 'Basic' "
+            "WHEN segment IN ('AUTOMOBILE', 'HOUSEHOLD') THEN 'Standard' ELSE 'Premium' END"
+        ),
+        "is_churned": F.expr("if(u % 10 < 3, 'True', 'False')"),
+        "channel": pick_from("k % 3", CHANNELS),
+        "status": F.expr(
+            "CASE WHEN order_status = 'F' THEN 'Resolved' WHEN order_status = 'O' THEN 'Open' "
+            "WHEN k % 4 = 0 THEN 'Escalated' ELSE 'In Progress' END"
+        ),
+        "sentiment": F.when(k % 101 != 0, weighted_pick_by("p", "b", _MOODS)),
+        "primary_label": F.when(k % 103 != 0, pick_from("p", PRIMARY_LABELS)),
+        "secondary_label": pick_from("p * 4 + s", _SECONDARY),
+        "tertiary_label": pick_from("(p * 4 + s) * 3 + t", _TERTIARY),
         "ticket_body": F.col("text"),
-        "created_at": F.col("o_orderdate").cast("date").cast("string"),
-        "priority": F.when(F.col("o_orderpriority") == "1-URGENT", "3")
-        .when(F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM"), "2")
-        .otherwise("1"),
+        "created_at": F.expr("CAST(CAST(order_date AS DATE) AS STRING)"),
+        "priority": F.expr(
+            "CASE WHEN order_priority = '1-URGENT' THEN '3' "
+            "WHEN order_priority IN ('2-HIGH', '3-MEDIUM') THEN '2' ELSE '1' END"
+        ),
     }
-    return rows.select(*[columns[c].alias(c) for c in [*CSV_COLUMNS, "priority"]])
+    return keyed.select(*[columns[c].alias(c) for c in [*CSV_COLUMNS, "priority"]])
 
 
 def raw_tickets(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
     """The raw table as a labeller that keeps every label would leave it."""
+    labelled = {
+        "urgency": F.col("priority"),
+        "one_line_summary": F.concat(F.col("secondary_label"), F.lit(" reported by "), F.col("channel")),
+    }
     tickets = source_tickets(spark, sf_dir, body)
-    return tickets.withColumns(
-        {
-            "urgency": F.col("priority"),
-            "one_line_summary": F.concat(F.col("secondary_label"), F.lit(" reported by "), F.col("channel")),
-        }
-    ).select(*RAW_COLUMNS)
+    return tickets.select(*[labelled[c].alias(c) if c in labelled else c for c in RAW_COLUMNS])
