@@ -29,10 +29,10 @@ from ticketlens.operators.labeling import (  # noqa: E402
 from ticketlens.plans.dashboard import all_summaries, context_table, pick_summary, summary_cells  # noqa: E402
 from ticketlens.plans.models import INSIGHT_KEYS, fact, insights, staging  # noqa: E402
 from ticketlens.plans.narrative import write_narrative  # noqa: E402
-from ticketlens.samples.labeler import CONTEXT, sample_labeler, sample_writer  # noqa: E402
+from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler, sample_writer  # noqa: E402
 from ticketlens.samples.tickets import raw_tickets, read_table, source_tickets  # noqa: E402
 from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS  # noqa: E402
-from ticketlens.session import DEFAULT_CONF, scratch_path  # noqa: E402
+from ticketlens.session import DEFAULT_CONF, scratch_path, stage  # noqa: E402
 from ticketlens.taxonomy import PRIMARY_LABELS  # noqa: E402
 from ticketlens.sources.tables import append_narrative, latest_narrative, reset_narratives  # noqa: E402
 from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv  # noqa: E402
@@ -113,6 +113,11 @@ def _labels_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir).withColumn("urgency", X.to_whole_number(F.col("urgency")))
 
 
+def _labels_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = label_tickets(source_tickets(spark, sf_dir), careful_labeler, context=CONTEXT)
+    return labels_of(answers).drop("batch_id").withColumn("urgency", X.to_whole_number(F.col("urgency")))
+
+
 def _labels_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     tickets = source_tickets(spark, sf_dir, body=False).where(F.col("ticket_id").isNotNull())
     return unlabelled(tickets, _labels(spark, sf_dir)).select("ticket_id")
@@ -158,7 +163,8 @@ def _latest_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = summary_cells(_fact(spark, sf_dir))
+    # Four summaries read the cells: store them, so that the fact rows are scanned once.
+    cells = stage(summary_cells(_fact(spark, sf_dir)), "cells")
     filters = {"plan": "Standard", "churn": "Churned Only"}
     return context_table(apply_filters(cells, **filters), None, **filters)
 
@@ -241,6 +247,7 @@ _QUERIES: dict[str, Query] = {
     "label_prompts": _label_prompts,
     "label_batch_report": _label_batch_report,
     "labels_parsed": _labels_parsed,
+    "labels_in_place": _labels_in_place,
     "labels_remaining": _labels_remaining,
     "enriched_tickets": lambda spark, d: _enriched(spark, d, body=True),
     "label_join_accounting": _join_accounting,

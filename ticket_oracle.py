@@ -122,15 +122,16 @@ numbered AS (
 batched AS (
     SELECT * EXCLUDE (n), n // 20 AS batch_id, (n % 20)::INTEGER AS batch_pos FROM numbered
 ),
-parsed AS (
+replied AS (
     SELECT batch_id, ticket_id,
            CASE WHEN k % 61 = 0 THEN 'Other' ELSE primary_label END AS primary_label,
            secondary_label, sentiment,
            CASE WHEN k % 71 = 0 THEN '2' WHEN k % 67 = 0 THEN '9' ELSE priority END AS urgency,
            secondary_label || ' reported by ' || channel AS one_line_summary, k
     FROM batched
-    WHERE batch_id % 11 NOT IN (5, 6, 7) AND k % 53 <> 0
+    WHERE k % 53 <> 0
 ),
+parsed AS (SELECT * FROM replied WHERE batch_id % 11 NOT IN (5, 6, 7)),
 labels AS (
     SELECT * EXCLUDE (k), false AS is_fallback FROM parsed
     UNION ALL
@@ -379,6 +380,12 @@ SELECT count(*) AS tickets, ceil(count(*) / 20.0)::BIGINT AS batches_needed,
 FROM batched""",
         ),
         "labels_parsed": _q(_LABELS, "SELECT * REPLACE (urgency::INTEGER AS urgency) FROM labels"),
+        "labels_in_place": _q(
+            _LABELS,
+            """
+SELECT * EXCLUDE (k, batch_id) REPLACE (urgency::INTEGER AS urgency), false AS is_fallback FROM replied
+UNION ALL SELECT * EXCLUDE (k, batch_id) REPLACE (1 AS urgency), false FROM replied WHERE k % 59 = 0""",
+        ),
         "labels_remaining": _q(
             _LABELS,
             """

@@ -266,7 +266,8 @@ def unlabelled(tickets: DataFrame, labels: DataFrame, retry_fallbacks: bool = Tr
     """Tickets that still need a label, for a rerun that adds to earlier answers."""
     done = labels.where(~F.col("is_fallback")) if retry_fallbacks else labels
     # Reduced to distinct ids first, so an id labelled many times costs one row.
-    return tickets.join(done.select("ticket_id").distinct(), "ticket_id", "left_anti")
+    # Tickets without an id cannot be labelled, and would all meet in one partition.
+    return tickets.where(F.col("ticket_id").isNotNull()).join(done.select("ticket_id").distinct(), "ticket_id", "left_anti")
 
 
 def attach_labels(tickets: DataFrame, labels: DataFrame, null_safe: bool = False) -> DataFrame:

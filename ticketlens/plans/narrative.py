@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ticketlens.operators.summaries import churned_by_primary, top_pairs
+from ticketlens.functions import expressions as X
+from ticketlens.operators.summaries import MEASURES, PAIR, churned_by_primary, top_pairs
+from ticketlens.session import stage
 
 #: A writer turns the prompt into the narrative.
 NarrativeWriter = Callable[[str], str]
@@ -18,8 +21,15 @@ MAX_PRIMARY_LABELS = 1_000
 
 
 def narrative_inputs(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The most frequent label pairs and the churned tickets per primary label."""
-    return top_pairs(tickets, TOP_PAIRS), churned_by_primary(tickets)
+    """The most frequent label pairs and the churned tickets per primary label.
+
+    Both come from one stored row per label pair, so tickets are scanned once.
+    """
+    pairs = tickets.groupBy(*PAIR).agg(
+        X.row_total().alias("tickets"), F.count_if(MEASURES["churned_tickets"]()).alias("churned_tickets")
+    )
+    stored = stage(pairs, "narrative-inputs")
+    return top_pairs(stored, TOP_PAIRS), churned_by_primary(stored)
 
 
 def narrative_prompt(tickets: DataFrame) -> str:

@@ -7,9 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of
+from ticketlens.plans.dashboard import summary_cells
 from ticketlens.plans.models import fact, insights, staging
 from ticketlens.plans.narrative import NarrativeWriter, write_narrative
-from ticketlens.schemas import FACT_TABLE, INSIGHTS_TABLE, NARRATIVE_TABLE, RAW_COLUMNS, RAW_TABLE, STAGING_VIEW
+from ticketlens.schemas import (
+    CELLS_TABLE,
+    FACT_TABLE,
+    INSIGHTS_TABLE,
+    NARRATIVE_TABLE,
+    RAW_COLUMNS,
+    RAW_TABLE,
+    STAGING_VIEW,
+)
 from ticketlens.sources.tables import (
     append_narrative,
     latest_narrative,
@@ -42,10 +51,11 @@ class Warehouse:
         return text
 
     def build_models(self, lenient: bool = False) -> None:
-        """Staging view, fact table, insights table; each reads what the one before stored."""
+        """Staging view, fact, insights and summary cells; each reads what the one before stored."""
         stg = publish_view(staging(self.spark.table(RAW_TABLE), lenient), STAGING_VIEW)
         fct = replace_table(fact(stg), FACT_TABLE, self.location)
         replace_table(insights(fct), INSIGHTS_TABLE, self.location)
+        replace_table(summary_cells(fct), CELLS_TABLE, self.location)
 
     @property
     def fact(self) -> DataFrame:
@@ -55,6 +65,10 @@ class Warehouse:
     def insights(self) -> DataFrame:
         return self.spark.table(INSIGHTS_TABLE)
 
+    @property
+    def cells(self) -> DataFrame:
+        return self.spark.table(CELLS_TABLE)
+
     @property
     def narrative(self) -> DataFrame:
         return latest_narrative(self.spark)

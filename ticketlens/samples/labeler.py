@@ -63,6 +63,11 @@ def sample_labeler(request: LabelRequest) -> str:
     return reply
 
 
+def careful_labeler(request: LabelRequest) -> str:
+    """Always answers, in one plain array; only its per-ticket faults remain."""
+    return json.dumps([row for ticket in request.tickets for row in _rows_for(ticket)])
+
+
 def sample_writer(prompt: str) -> str:
     """A narrative that just lists the figures of the prompt."""
     return "; ".join(line[2:] for line in prompt.splitlines() if line.startswith("* "))

@@ -11,6 +11,9 @@ FACT_TABLE = "fct_support_tickets"
 INSIGHTS_TABLE = "support_insights"
 NARRATIVE_TABLE = "product_gap_narrative"
 
+#: Fact rows reduced to counts, for the dashboard.
+CELLS_TABLE = "support_summary_cells"
+
 # Columns of the ticket file, in file order.
 CSV_COLUMNS = [
     "ticket_id",
