@@ -13,13 +13,8 @@ BATCH_SIZE = 20
 _ROW_BITS = 33
 
 
-def number_rows(df: DataFrame, order_by: str, number: str = "row_no") -> DataFrame:
-    """Number all rows 0, 1, 2, ... in the order of a column, in parallel.
-
-    The rows are split by range, sorted inside each range and written once; the
-    written files fix every row's range and place, so nothing depends on a plan
-    running twice in the same way. A running sum over the sizes of the ranges, one
-    row per range, then turns places into global numbers.
+def place_rows(df: DataFrame, order_by: str) -> DataFrame:
+    """Split rows by range, sort each range, and store every row's ``_range`` and ``_place``.
 
     Rows with the same order value are told apart by a hash of the whole row, and
     equal copies by their place in their sorted input partition. So the ranges can
@@ -32,19 +27,32 @@ def number_rows(df: DataFrame, order_by: str, number: str = "row_no") -> DataFra
         .sortWithinPartitions(order_by, "_tie")
         .withColumn("_copy", F.monotonically_increasing_id())
     )
-    placed = stage(
+    placed = (
         tied.repartitionByRange(*ordering)
         .sortWithinPartitions(*ordering)
-        .select(*kept, F.monotonically_increasing_id().alias("_place")),
-        "numbered",
-    ).withColumn("_range", F.shiftright("_place", _ROW_BITS))
+        .select(*kept, F.monotonically_increasing_id().alias("_place"))
+    )
+    return stage(placed, "placed").select(
+        *kept,
+        F.shiftright("_place", _ROW_BITS).alias("_range"),
+        F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"),
+    )
+
+
+def number_rows(df: DataFrame, order_by: str, number: str = "row_no") -> DataFrame:
+    """Number all rows 0, 1, 2, ... in the order of a column, in parallel.
+
+    The stored ranges and places are fixed, so nothing depends on a plan running
+    twice in the same way. A running sum over the sizes of the ranges, one row per
+    range, turns places into global numbers.
+    """
+    placed = place_rows(df, order_by)
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     # One row per range of the shuffle above: bounded by its partition count.
     numbered = placed.join(F.broadcast(starts), "_range")
-    place_in_range = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return numbered.select(*kept, (F.col("_start") + place_in_range).alias(number))
+    return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(number))
 
 
 def assign_batches(tickets: DataFrame, batch_size: int = BATCH_SIZE, order_by: str = "ticket_id") -> DataFrame:

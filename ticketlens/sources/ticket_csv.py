@@ -10,7 +10,7 @@ from ticketlens.schemas import CSV_SCHEMA, NULL_WORDS
 #: A quoted field may span lines, so a file is read by one task; keep files small.
 MAX_ROWS_PER_FILE = 200_000
 
-_DIALECT = {
+DIALECT = {
     "header": "true",
     "quote": '"',
     "escape": '"',
@@ -32,14 +32,14 @@ def blank_null_words(df: DataFrame) -> DataFrame:
 
 def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read ticket files with a stated schema: guessed types turn ids into dates."""
-    files = spark.read.options(**_DIALECT).option("multiLine", "true").option("mode", "FAILFAST")
+    files = spark.read.options(**DIALECT).option("multiLine", "true").option("mode", "FAILFAST")
     return blank_null_words(files.schema(CSV_SCHEMA).csv(path))
 
 
 def write_ticket_csv(df: DataFrame, path: str, max_rows_per_file: int = MAX_ROWS_PER_FILE) -> None:
     (
         df.write.mode("overwrite")
-        .options(**_DIALECT)
+        .options(**DIALECT)
         .option("maxRecordsPerFile", max_rows_per_file)
         .csv(path)
     )

@@ -1,0 +1 @@
+"""Tickets that keep arriving, through the same models as the batch run."""
