@@ -128,7 +128,10 @@ def parse_reply(reply: str) -> list[dict]:
         raise ValueError("reply is not a JSON array of objects")
 
     def text_of(value):
-        return value if value is None or isinstance(value, str) else json.dumps(value)
+        text = value if value is None or isinstance(value, str) else json.dumps(value)
+        if text is not None:
+            text.encode()  # half a surrogate pair cannot be stored: a ValueError too
+        return text
 
     return [{name: text_of(item.get(name)) for name in ["ticket_id", *LABEL_COLUMNS]} for item in parsed]
 
@@ -151,7 +154,8 @@ def answer(labeler: Labeler, request: LabelRequest) -> dict:
     try:
         labels, error = parse_reply(labeler(request)), None
     except Exception as problem:
-        labels, error = fallback_labels(request.tickets), f"{type(problem).__name__}: {problem}"
+        reason = f"{type(problem).__name__}: {problem}".encode(errors="replace").decode()
+        labels, error = fallback_labels(request.tickets), reason
     return {
         "batch_id": request.batch_id,
         "tickets": len(request.tickets),

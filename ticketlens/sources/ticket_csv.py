@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.schemas import CSV_SCHEMA, NULL_WORDS
@@ -14,26 +14,35 @@ DIALECT = {
     "header": "true",
     "quote": '"',
     "escape": '"',
+    # Stated, so that line ends inside quoted fields are kept as they are.
+    "lineSep": "\n",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "encoding": "UTF-8",
 }
 
+READ_OPTIONS = {**DIALECT, "multiLine": "true", "mode": "FAILFAST"}
 
-def blank_null_words(df: DataFrame) -> DataFrame:
-    """Turn the usual words for a missing value into nulls in all text columns."""
-    return df.select(
-        [
-            F.when(~F.col(name).isin(NULL_WORDS), F.col(name)).alias(name) if kind == "string" else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
+
+def clean_fields(df: DataFrame) -> DataFrame:
+    """Turn the usual words for a missing value into nulls, in all text columns.
+
+    The last column first loses the carriage return of files whose lines end in CRLF.
+    """
+    last = df.columns[-1]
+
+    def clean(name: str, kind: str) -> Column:
+        if kind != "string":
+            return F.col(name)
+        text = F.regexp_replace(name, r"\r\z", "") if name == last else F.col(name)
+        return F.when(~text.isin(NULL_WORDS), text).alias(name)
+
+    return df.select([clean(name, kind) for name, kind in df.dtypes])
 
 
 def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read ticket files with a stated schema: guessed types turn ids into dates."""
-    files = spark.read.options(**DIALECT).option("multiLine", "true").option("mode", "FAILFAST")
-    return blank_null_words(files.schema(CSV_SCHEMA).csv(path))
+    return clean_fields(spark.read.options(**READ_OPTIONS).schema(CSV_SCHEMA).csv(path))
 
 
 def write_ticket_csv(df: DataFrame, path: str, max_rows_per_file: int = MAX_ROWS_PER_FILE) -> None:

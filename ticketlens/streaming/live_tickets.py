@@ -9,13 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of
 from ticketlens.plans.models import fact, staging
 from ticketlens.schemas import CSV_SCHEMA
-from ticketlens.sources.ticket_csv import DIALECT, blank_null_words
+from ticketlens.sources.ticket_csv import READ_OPTIONS, clean_fields
 
 
 def ticket_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """New ticket files of a folder, at most ``max_files`` per micro-batch."""
-    reader = spark.readStream.options(**DIALECT).option("multiLine", "true").option("maxFilesPerTrigger", max_files)
-    return blank_null_words(reader.schema(CSV_SCHEMA).csv(folder))
+    reader = spark.readStream.options(**READ_OPTIONS).option("maxFilesPerTrigger", max_files)
+    return clean_fields(reader.schema(CSV_SCHEMA).csv(folder))
 
 
 def first_arrivals(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
