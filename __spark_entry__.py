@@ -156,7 +156,7 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = write_narrative(staging(raw_tickets(spark, sf_dir, body=False)), sample_writer)
+    text = write_narrative(raw_tickets(spark, sf_dir, body=False), sample_writer)
     reset_narratives(spark, location=scratch_path(spark, "narratives"))
     append_narrative(spark, text)
     return latest_narrative(spark)

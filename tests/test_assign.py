@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
 from ticketlens.operators import assign as A
+from ticketlens.session import session_conf
 
 
 def test_weights_fill_their_ranges(spark):
@@ -59,6 +60,15 @@ def test_shuffle_is_repeatable_and_whole(spark):
     assert order != [r["id"] for r in A.shuffle_rows(ids, "id", seed=7).collect()]
 
 
+def test_shuffle_splits_a_hot_key(spark):
+    rows = spark.range(0, 30_000, 1, 6).selectExpr("if(id % 3 = 0, 'hot', cast(id AS STRING)) AS k")
+    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        spread = A.shuffle_rows(rows, "k").select("k", F.spark_partition_id().alias("p"))
+        sizes = [r["count"] for r in spread.groupBy("p").count().collect()]
+        assert spread.where("k = 'hot'").select("p").distinct().count() >= 3
+    assert sum(sizes) == 30_000 and max(sizes) < 10_000
+
+
 def test_ids_dates_and_text(spark):
     row = dicts(
         spark.range(1).select(

@@ -4,7 +4,7 @@ from conftest import SMALL, dicts, final_plan
 from ticketlens.operators import summaries as S
 from ticketlens.operators.filters import apply_filters, filter_choices, pick_columns
 from ticketlens.plans.dashboard import all_summaries, context_table, pick_summary, summary_cells
-from ticketlens.plans.models import fact, staging
+from ticketlens.plans.models import fact, insights, staging
 from ticketlens.samples.tickets import raw_tickets
 from ticketlens.schemas import EXPLORER_COLUMNS
 
@@ -96,6 +96,10 @@ def test_cells_answer_like_fact_rows(fct, cells, filters):
         assert summary(apply_filters(cells, **filters)).collect() == on_fact
 
 
+def test_insights_from_cells(fct, cells):
+    assert sorted(map(str, insights(cells).collect())) == sorted(map(str, insights(fct).collect()))
+
+
 def test_one_pass_equals_single_summaries(fct, cells):
     summaries = all_summaries(cells).persist()
 

@@ -42,6 +42,15 @@ def test_ids_stay_text_and_null_words_become_null(spark, tmp_path):
     assert rows[0]["ticket_body"] is None and rows[1]["user_id"] is None and rows[2]["user_id"] is None
 
 
+def test_large_files_can_be_shared_by_tasks(spark, tmp_path):
+    write_rows(tmp_path / "t.csv", *[{"ticket_id": f"T{i}", "ticket_body": 'a "b", c'} for i in range(5000)])
+    with session_conf(spark, spark__sql__files__maxPartitionBytes="100KB"):
+        df = read_ticket_csv(spark, str(tmp_path / "t.csv"), multi_line=False)
+        assert df.rdd.getNumPartitions() > 3
+        assert df.count() == 5000 and df.where("created_at = '2024-02-29'").count() == 5000
+        assert df.where(r"""ticket_body = 'a "b", c'""").count() == 5000
+
+
 def test_a_malformed_file_fails(spark, tmp_path):
     (tmp_path / "t.csv").write_text(",".join(CSV_COLUMNS) + "\nonly,two\n")
     with pytest.raises(Exception):

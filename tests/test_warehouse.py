@@ -1,11 +1,13 @@
 import pytest
 from conftest import SMALL, dicts
+from test_sources import write_rows
 
 from ticketlens.operators.filters import apply_filters
 from ticketlens.operators.summaries import kpis
 from ticketlens.plans import narrative as N
 from ticketlens.plans.models import insights
 from ticketlens.plans.warehouse import Warehouse
+from ticketlens.run import main
 from ticketlens.samples.labeler import CONTEXT, sample_labeler, sample_writer
 from ticketlens.samples.tickets import source_tickets
 from ticketlens.schemas import INSIGHTS_TABLE, RAW_COLUMNS, RAW_TABLE
@@ -47,8 +49,8 @@ def test_rebuilding_replaces(spark, house):
     assert dicts(house.narrative) == [{"narrative": "short"}]
 
 
-def test_narrative_prompt(fact_rows, monkeypatch):
-    rows = fact_rows({"is_churned": "True"}, {"secondary_label": None, "is_churned": "True"}, {"primary_label": "Onboarding"})
+def test_narrative_prompt(raw_rows, monkeypatch):
+    rows = raw_rows({"is_churned": "True", "ticket_id": None}, {"secondary_label": None, "is_churned": "True"}, {"primary_label": "Onboarding"})
     lines = N.narrative_prompt(rows).splitlines()
     assert [line for line in lines if line.startswith("*")] == [
         "* Billing / Failed Payment: 1",
@@ -58,3 +60,17 @@ def test_narrative_prompt(fact_rows, monkeypatch):
     monkeypatch.setattr(N, "MAX_PRIMARY_LABELS", 0)
     with pytest.raises(ValueError):
         N.narrative_prompt(rows)
+
+
+def test_runner_builds_from_files(spark, tmp_path):
+    rows = [{"ticket_id": f"TKT-{i}", "ticket_body": "two\nlines"} for i in range(30)]
+    write_rows(tmp_path / "t.csv", *rows, {"ticket_id": "TKT-BAD", "created_at": "soon"})
+    main(
+        [str(tmp_path), "--labeler", "plain_labeler:label", "--writer", "plain_labeler:write"]
+        + ["--location", str(tmp_path / "tables"), "--concurrency", "3", "--lenient"]
+    )
+    fct = spark.table("fct_support_tickets")
+    assert fct.count() == 30 and fct.where("is_high_urgency AND is_negative_sentiment").count() == 30
+    assert spark.table(RAW_TABLE).count() == 31
+    assert spark.table("support_insights").agg({"total_tickets": "sum"}).first()[0] == 30
+    assert spark.table("product_gap_narrative").first()["narrative"].endswith(" lines")

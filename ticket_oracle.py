@@ -264,12 +264,12 @@ UNION ALL SELECT 6, 'narrative', NULL, NULL, NULL, 'Not available'
 
 _NARRATIVE = """,
 top AS (
-    SELECT primary_label, secondary_label, count(*) AS n FROM stg
+    SELECT primary_label, secondary_label, count(*) AS n FROM raw
     WHERE primary_label IS NOT NULL AND secondary_label IS NOT NULL
     GROUP BY ALL ORDER BY n DESC, primary_label, secondary_label LIMIT 20
 ),
 churned AS (
-    SELECT primary_label, count(*) AS n FROM stg WHERE is_churned AND primary_label IS NOT NULL GROUP BY ALL
+    SELECT primary_label, count(*) AS n FROM raw WHERE is_churned::BOOLEAN AND primary_label IS NOT NULL GROUP BY ALL
 )
 SELECT (SELECT string_agg(primary_label || ' / ' || secondary_label || ': ' || n, '; '
                           ORDER BY n DESC, primary_label, secondary_label) FROM top)
@@ -358,7 +358,7 @@ UNION ALL SELECT DISTINCT 'primary_label', 1, primary_label FROM fct WHERE prima
         ),
         "volume_by_primary_from_cells": _q(_FCT, _count_by("primary_label", "tickets", "NOT is_churned")),
         "context_table": _q(_FCT + _CONTEXT, _CONTEXT_ROWS),
-        "latest_narrative": "WITH " + (_FCT + _NARRATIVE).strip(),
+        "latest_narrative": "WITH " + (_RAW + _NARRATIVE).strip(),
         "taxonomy_pairs": _q(_FCT, _taxonomy_volume(_PAIR_TABLE, pair)),
         "taxonomy_leaves": _q(_FCT, _taxonomy_volume(_LEAF_TABLE, leaf)),
         "label_batches": _q(_LABELS, "SELECT ticket_id, batch_id, batch_pos FROM batched"),

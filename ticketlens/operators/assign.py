@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.operators.batching import break_ties
+
 # Weights in percent.
 PLAN_WEIGHTS = {"Basic": 40, "Standard": 35, "Premium": 25}
 STATUS_WEIGHTS = {"Open": 15, "In Progress": 20, "Resolved": 55, "Escalated": 10}
@@ -63,4 +65,5 @@ def fan_out(df: DataFrame, copies: Column, number: str = "copy_no") -> DataFrame
 def shuffle_rows(df: DataFrame, *key: str, seed: int = 42) -> DataFrame:
     """Rows in a random-looking order that the key and the seed fix."""
     mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    return df.withColumn("shuffle_key", mixed).orderBy("shuffle_key", *key)
+    tied, ordering = break_ties(df.withColumn("shuffle_key", mixed), "shuffle_key")
+    return tied.orderBy(*ordering).select(*df.columns, "shuffle_key")

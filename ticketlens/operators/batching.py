@@ -13,20 +13,26 @@ BATCH_SIZE = 20
 _ROW_BITS = 33
 
 
-def place_rows(df: DataFrame, order_by: str) -> DataFrame:
-    """Split rows by range, sort each range, and store every row's ``_range`` and ``_place``.
+def break_ties(df: DataFrame, order_by: str) -> tuple[DataFrame, list[str]]:
+    """Add two columns that tell rows with the same order value apart.
 
-    Rows with the same order value are told apart by a hash of the whole row, and
-    equal copies by their place in their sorted input partition. So the ranges can
-    split any group of equal ids, and of equal rows, however large.
+    They are a hash of the whole row and, for equal copies, the place in the sorted
+    input partition (sorted, so that a task that runs again numbers its copies the
+    same). Ordering by the returned columns, ranges can split any group of equal
+    values, and of equal rows, however large.
     """
-    kept = df.columns
-    ordering = [F.col(order_by), F.col("_tie"), F.col("_copy")]
     tied = (
-        df.withColumn("_tie", F.xxhash64(*kept))
+        df.withColumn("_tie", F.xxhash64(*df.columns))
         .sortWithinPartitions(order_by, "_tie")
         .withColumn("_copy", F.monotonically_increasing_id())
     )
+    return tied, [order_by, "_tie", "_copy"]
+
+
+def place_rows(df: DataFrame, order_by: str) -> DataFrame:
+    """Split rows by range, sort each range, and store every row's ``_range`` and ``_place``."""
+    kept = df.columns
+    tied, ordering = break_ties(df, order_by)
     placed = (
         tied.repartitionByRange(*ordering)
         .sortWithinPartitions(*ordering)

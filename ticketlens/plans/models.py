@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
+from ticketlens.operators.summaries import total_of, total_tickets
 
 INSIGHT_KEYS = ["primary_label", "secondary_label", "plan_type", "ticket_month"]
 
@@ -70,22 +71,22 @@ def fact(stg: DataFrame) -> DataFrame:
     )
 
 
-def insights(fct: DataFrame) -> DataFrame:
-    """Counts and shares per label pair, plan and month.
+def insights(tickets: DataFrame) -> DataFrame:
+    """Counts and shares per label pair, plan and month, of fact rows or summary cells.
 
     Each task first reduces its rows to one per group, so a group with a large
     part of all tickets costs the shuffle no more than any other.
     """
-    total = X.row_total()
-    churned = F.count_if("is_churned")
-    negative = F.count_if("is_negative_sentiment")
-    return fct.groupBy(*INSIGHT_KEYS).agg(
+    total = total_tickets(tickets)
+    churned = total_of(tickets, "churned_tickets")
+    negative = total_of(tickets, "negative_tickets")
+    return tickets.groupBy(*INSIGHT_KEYS).agg(
         total.alias("total_tickets"),
         churned.alias("churned_customer_tickets"),
         negative.alias("negative_sentiment_tickets"),
-        F.count_if("is_high_urgency").alias("high_urgency_tickets"),
-        F.count_if("is_churn_risk_signal").alias("churn_risk_signals"),
-        F.count_if(X.escalated(F.col("status"))).alias("escalated_tickets"),
+        total_of(tickets, "high_urgency_tickets").alias("high_urgency_tickets"),
+        total_of(tickets, "churn_signals").alias("churn_risk_signals"),
+        total_of(tickets, "escalated_tickets").alias("escalated_tickets"),
         X.percent(churned, total).alias("pct_from_churned_customers"),
         X.percent(negative, total).alias("pct_negative_sentiment"),
     )

@@ -20,21 +20,23 @@ TOP_PAIRS = 20
 MAX_PRIMARY_LABELS = 1_000
 
 
-def narrative_inputs(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def narrative_inputs(raw: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
     """The most frequent label pairs and the churned tickets per primary label.
 
-    Both come from one stored row per label pair, so tickets are scanned once.
+    They count all raw tickets, also those without ids. Both come from one stored
+    row per label pair, so tickets are scanned once.
     """
-    pairs = tickets.groupBy(*PAIR).agg(
+    labelled = raw.select(*PAIR, X.to_boolean(F.col("is_churned"), lenient).alias("is_churned"))
+    pairs = labelled.groupBy(*PAIR).agg(
         X.row_total().alias("tickets"), F.count_if(MEASURES["churned_tickets"]()).alias("churned_tickets")
     )
     stored = stage(pairs, "narrative-inputs")
     return top_pairs(stored, TOP_PAIRS), churned_by_primary(stored)
 
 
-def narrative_prompt(tickets: DataFrame) -> str:
+def narrative_prompt(raw: DataFrame, lenient: bool = False) -> str:
     """The writer's prompt. Only the two summaries, never tickets, reach the driver."""
-    top, churned = narrative_inputs(tickets)
+    top, churned = narrative_inputs(raw, lenient)
     pairs = top.collect()
     by_primary = churned.limit(MAX_PRIMARY_LABELS + 1).collect()
     if len(by_primary) > MAX_PRIMARY_LABELS:
@@ -51,5 +53,5 @@ def narrative_prompt(tickets: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def write_narrative(tickets: DataFrame, writer: NarrativeWriter) -> str:
-    return writer(narrative_prompt(tickets)).strip()
+def write_narrative(raw: DataFrame, writer: NarrativeWriter, lenient: bool = False) -> str:
+    return writer(narrative_prompt(raw, lenient)).strip()

@@ -19,6 +19,7 @@ from ticketlens.schemas import (
     RAW_TABLE,
     STAGING_VIEW,
 )
+from ticketlens.session import stage
 from ticketlens.sources.tables import (
     append_narrative,
     latest_narrative,
@@ -26,6 +27,7 @@ from ticketlens.sources.tables import (
     replace_table,
     reset_narratives,
 )
+from ticketlens.sources.ticket_csv import read_ticket_csv
 
 
 @dataclass
@@ -35,6 +37,10 @@ class Warehouse:
     spark: SparkSession
     location: str | None = None
 
+    def read_tickets(self, path: str, multi_line: bool = True) -> DataFrame:
+        """Ticket files as a columnar copy: labelling and joining read it several times."""
+        return stage(read_ticket_csv(self.spark, path, multi_line), "tickets")
+
     def load_labelled(self, tickets: DataFrame, labeler: Labeler, **options) -> DataFrame:
         """Label tickets and replace the raw table by the result."""
         answers = label_tickets(tickets, labeler, **options)
@@ -43,19 +49,22 @@ class Warehouse:
     def load_raw(self, raw: DataFrame) -> DataFrame:
         return replace_table(raw.select(*RAW_COLUMNS), RAW_TABLE, self.location)
 
-    def tell(self, writer: NarrativeWriter) -> str:
-        """Write and store a narrative on the staged raw table."""
-        text = write_narrative(staging(self.spark.table(RAW_TABLE)), writer)
+    def tell(self, writer: NarrativeWriter, lenient: bool = False) -> str:
+        """Write and store a narrative on the raw table."""
+        text = write_narrative(self.spark.table(RAW_TABLE), writer, lenient)
         reset_narratives(self.spark, NARRATIVE_TABLE, self.location)
         append_narrative(self.spark, text)
         return text
 
     def build_models(self, lenient: bool = False) -> None:
-        """Staging view, fact, insights and summary cells; each reads what the one before stored."""
+        """Staging view, fact, summary cells and insights; each reads what the one before stored.
+
+        Insights are sums over the cells, so the fact table is scanned once for both.
+        """
         stg = publish_view(staging(self.spark.table(RAW_TABLE), lenient), STAGING_VIEW)
         fct = replace_table(fact(stg), FACT_TABLE, self.location)
-        replace_table(insights(fct), INSIGHTS_TABLE, self.location)
-        replace_table(summary_cells(fct), CELLS_TABLE, self.location)
+        cells = replace_table(summary_cells(fct), CELLS_TABLE, self.location)
+        replace_table(insights(cells), INSIGHTS_TABLE, self.location)
 
     @property
     def fact(self) -> DataFrame:

@@ -40,9 +40,13 @@ def clean_fields(df: DataFrame) -> DataFrame:
     return df.select([clean(name, kind) for name, kind in df.dtypes])
 
 
-def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read ticket files with a stated schema: guessed types turn ids into dates."""
-    return clean_fields(spark.read.options(**READ_OPTIONS).schema(CSV_SCHEMA).csv(path))
+def read_ticket_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Read ticket files with a stated schema: guessed types turn ids into dates.
+
+    Where no field spans lines, ``multi_line=False`` lets many tasks share a large file.
+    """
+    reader = spark.read.options(**READ_OPTIONS).option("multiLine", multi_line)
+    return clean_fields(reader.schema(CSV_SCHEMA).csv(path))
 
 
 def write_ticket_csv(df: DataFrame, path: str, max_rows_per_file: int = MAX_ROWS_PER_FILE) -> None:
