@@ -1,12 +1,13 @@
 import csv
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from conftest import SMALL, TICKET, dicts
 
 from ticketlens.samples.tickets import source_tickets
 from ticketlens.schemas import CSV_COLUMNS, NARRATIVE_TABLE
-from ticketlens.session import session_conf, shared_dir, stage
+from ticketlens.session import scratch_folder, session_conf, shared_dir, stage
 from ticketlens.sources.tables import (
     Snapshot,
     append_narrative,
@@ -106,6 +107,15 @@ def test_stage_uses_the_session_folder(spark):
     assert stage(spark.range(3), "x").inputFiles()[0].startswith(f"file://{root}")
 
 
+def test_scratch_folder_goes_with_its_files(spark):
+    with scratch_folder(spark, "gone") as folder:
+        path = Path(stage(spark.range(3), "x", folder).inputFiles()[0].removeprefix("file://"))
+        assert path.exists() and path.is_relative_to(folder)
+    assert not Path(folder).exists() and Path(shared_dir(spark)).exists()
+    with scratch_folder(spark, "never-used"):
+        pass
+
+
 def test_session_conf_is_put_back(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

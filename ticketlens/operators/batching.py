@@ -29,7 +29,7 @@ def break_ties(df: DataFrame, order_by: str) -> tuple[DataFrame, list[str]]:
     return tied, [order_by, "_tie", "_copy"]
 
 
-def place_rows(df: DataFrame, order_by: str) -> DataFrame:
+def place_rows(df: DataFrame, order_by: str, folder: str | None = None) -> DataFrame:
     """Split rows by range, sort each range, and store every row's ``_range`` and ``_place``."""
     kept = df.columns
     tied, ordering = break_ties(df, order_by)
@@ -38,21 +38,23 @@ def place_rows(df: DataFrame, order_by: str) -> DataFrame:
         .sortWithinPartitions(*ordering)
         .select(*kept, F.monotonically_increasing_id().alias("_place"))
     )
-    return stage(placed, "placed").select(
+    return stage(placed, "placed", folder).select(
         *kept,
         F.shiftright("_place", _ROW_BITS).alias("_range"),
         F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"),
     )
 
 
-def number_rows(df: DataFrame, order_by: str, number: str = "row_no") -> DataFrame:
+def number_rows(
+    df: DataFrame, order_by: str, number: str = "row_no", folder: str | None = None
+) -> DataFrame:
     """Number all rows 0, 1, 2, ... in the order of a column, in parallel.
 
     The stored ranges and places are fixed, so nothing depends on a plan running
     twice in the same way. A running sum over the sizes of the ranges, one row per
     range, turns places into global numbers.
     """
-    placed = place_rows(df, order_by)
+    placed = place_rows(df, order_by, folder)
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
@@ -61,14 +63,19 @@ def number_rows(df: DataFrame, order_by: str, number: str = "row_no") -> DataFra
     return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(number))
 
 
-def assign_batches(tickets: DataFrame, batch_size: int = BATCH_SIZE, order_by: str = "ticket_id") -> DataFrame:
+def assign_batches(
+    tickets: DataFrame,
+    batch_size: int = BATCH_SIZE,
+    order_by: str = "ticket_id",
+    folder: str | None = None,
+) -> DataFrame:
     """Add ``batch_id`` and ``batch_pos`` (both from 0), by ticket order.
 
     Tickets without an id cannot be matched to an answer and are left out.
     """
-    numbered = number_rows(tickets.where(F.col(order_by).isNotNull()), order_by, "_row_no")
+    numbered = number_rows(tickets.where(F.col(order_by).isNotNull()), order_by, "_row_no", folder)
     return numbered.select(
         *tickets.columns,
-        F.floor(F.col("_row_no") / batch_size).alias("batch_id"),
+        F.expr(f"_row_no DIV {int(batch_size)}").alias("batch_id"),
         F.pmod("_row_no", F.lit(batch_size)).cast("int").alias("batch_pos"),
     )

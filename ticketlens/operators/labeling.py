@@ -29,7 +29,7 @@ from ticketlens.schemas import (
     REPLACED_COLUMNS,
     SENTIMENTS,
 )
-from ticketlens.session import session_conf, stage
+from ticketlens.session import scratch_folder, session_conf, stage
 from ticketlens.taxonomy import PAIRS_BY_PRIMARY
 
 # Ship this module's functions to the workers by value, so that executors need
@@ -238,24 +238,25 @@ def label_tickets(
     ticket columns the labeller may look at. ``concurrency`` sets the number of
     partitions, and so of parallel labeller calls.
     """
-    context = list(context)
-    if stable_batches:
-        prompts = render_prompts(assign_batches(tickets, batch_size), context, concurrency)
-        answers = answers_of_prompts(prompts, labeler)
-    else:
-        source = tickets.repartition(concurrency) if concurrency else tickets
-        answers = answers_in_place(source, labeler, context, batch_size)
-    if observation is not None:
-        answers = answers.observe(
-            observation,
-            F.count(F.lit(1)).alias("batches"),
-            F.count_if("is_fallback").alias("failed_batches"),
-            F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets"),
-            F.coalesce(F.sum(F.size("labels")), F.lit(0)).alias("labels"),
-        )
-    with session_conf(
-        tickets.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=str(ARROW_BATCH_BYTES)
+    spark, context = tickets.sparkSession, list(context)
+    with (
+        session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(ARROW_BATCH_BYTES)),
+        scratch_folder(spark, "batches") as folder,
     ):
+        if stable_batches:
+            prompts = render_prompts(assign_batches(tickets, batch_size, folder=folder), context, concurrency)
+            answers = answers_of_prompts(prompts, labeler)
+        else:
+            source = tickets.repartition(concurrency) if concurrency else tickets
+            answers = answers_in_place(source, labeler, context, batch_size)
+        if observation is not None:
+            answers = answers.observe(
+                observation,
+                F.count(F.lit(1)).alias("batches"),
+                F.count_if("is_fallback").alias("failed_batches"),
+                F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets"),
+                F.coalesce(F.sum(F.size("labels")), F.lit(0)).alias("labels"),
+            )
         return stage(answers, "answers")
 
 

@@ -56,14 +56,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str):
+    """A fresh path below the shared folder, removed with all files in it afterwards."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written files.
 
     Readers of the result never run the plan behind ``df`` again, whatever
-    executors are lost, and still get column pruning and filter pushdown.
+    executors are lost, and still get column pruning and filter pushdown. The files
+    stay, unless ``folder`` is one that goes (``scratch_folder``).
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{folder}/{name}" if folder else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
