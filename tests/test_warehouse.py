@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import SMALL, dicts
 from test_sources import write_rows
@@ -74,3 +76,54 @@ def test_runner_builds_from_files(spark, tmp_path):
     assert spark.table(RAW_TABLE).count() == 31
     assert spark.table("support_insights").agg({"total_tickets": "sum"}).first()[0] == 30
     assert spark.table("product_gap_narrative").first()["narrative"].endswith(" lines")
+
+
+def test_a_rerun_asks_only_for_what_is_missing(spark, csv_tickets, tmp_path):
+    house = Warehouse(spark, str(tmp_path / "tables"))
+    tickets = csv_tickets(*[{"ticket_id": f"T{i:02d}"} for i in range(10)])
+
+    def run(healthy, tickets):
+        asked = tmp_path / f"asked-{len(list(tmp_path.iterdir()))}"
+        asked.mkdir()
+        folder = str(asked)
+
+        def labeler(request):
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(t["ticket_id"] for t in request.tickets))
+            if not healthy and any(t["ticket_id"] < "T05" for t in request.tickets):
+                raise TimeoutError
+            return json.dumps([{**t, "urgency": 1} for t in request.tickets])
+
+        options = {"stable_batches": True, "batch_size": 5, "resume": True}
+        raw = house.load_labelled(tickets, labeler, **options)
+        return raw, sorted(line for f in asked.iterdir() for line in f.read_text().splitlines())
+
+    spark.sql("DROP TABLE IF EXISTS support_ticket_labels")
+    raw, asked = run(False, tickets)
+    assert len(asked) == 10 and raw.where("urgency = '2'").count() == 5
+    raw, asked = run(True, tickets.unionByName(csv_tickets({"ticket_id": "T99"})))
+    assert asked == ["T00", "T01", "T02", "T03", "T04", "T99"]
+    assert raw.count() == 11 and raw.where("urgency = '1'").count() == 11
+    assert run(True, tickets)[1] == []
+
+
+def test_runaway_joins_are_refused(spark, csv_tickets, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    same = csv_tickets(*[{}] * 30)
+
+    def labeler(request):
+        return json.dumps([{**t, "urgency": 1} for t in request.tickets])
+
+    with pytest.raises(ValueError, match="not unique"):
+        house.load_labelled(same, labeler)
+    assert house.load_labelled(same, labeler, max_growth=None).count() == 900
+
+
+def test_no_tickets(spark, csv_tickets, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    house.load_labelled(csv_tickets({}).where("false"), sample_labeler, context=["channel"], stable_batches=True)
+    house.build_models()
+    assert house.fact.count() == house.insights.count() == house.cells.count() == 0
+    assert kpis(house.cells).first()["total_tickets"] == 0

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of
+from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of, unlabelled
+from ticketlens.operators.quality import label_join_accounting
 from ticketlens.plans.dashboard import summary_cells
 from ticketlens.plans.models import fact, insights, staging
 from ticketlens.plans.narrative import NarrativeWriter, write_narrative
@@ -14,6 +16,7 @@ from ticketlens.schemas import (
     CELLS_TABLE,
     FACT_TABLE,
     INSIGHTS_TABLE,
+    LABELS_TABLE,
     NARRATIVE_TABLE,
     RAW_COLUMNS,
     RAW_TABLE,
@@ -41,10 +44,38 @@ class Warehouse:
         """Ticket files as a columnar copy: labelling and joining read it several times."""
         return stage(read_ticket_csv(self.spark, path, multi_line), "tickets")
 
-    def load_labelled(self, tickets: DataFrame, labeler: Labeler, **options) -> DataFrame:
-        """Label tickets and replace the raw table by the result."""
-        answers = label_tickets(tickets, labeler, **options)
-        return self.load_raw(attach_labels(tickets, labels_of(answers)))
+    def load_labelled(
+        self,
+        tickets: DataFrame,
+        labeler: Labeler,
+        resume: bool = False,
+        max_growth: float | None = 10.0,
+        **options,
+    ) -> DataFrame:
+        """Label tickets and replace the labels table and the raw table by the result.
+
+        With ``resume``, stored labels are kept, and only tickets without one are
+        labelled, or whose batch had failed. ``options`` go to ``label_tickets``.
+
+        Ids that repeat on both sides multiply rows. The size of the join is computed
+        before it is run, and one of more than ``max_growth`` rows per ticket is
+        refused: then ticket ids are not unique, and need mending, not joining.
+        """
+        known = None
+        if resume and self.spark.catalog.tableExists(LABELS_TABLE):
+            known = self.spark.table(LABELS_TABLE).where(~F.col("is_fallback"))
+        asked = tickets if known is None else unlabelled(tickets, known)
+        labels = labels_of(label_tickets(asked, labeler, **options))
+        if known is not None:
+            # A table cannot be replaced while it is read.
+            labels = stage(known.unionByName(labels), "labels")
+        labels = replace_table(labels, LABELS_TABLE, self.location)
+        if max_growth is not None:
+            measures = label_join_accounting(tickets, labels).collect()
+            sizes = {row["measure"]: row["value"] for row in measures}
+            if sizes["joined_rows"] > max_growth * sizes["tickets"]:
+                raise ValueError(f"ticket ids are not unique, the labels would multiply the tickets: {sizes}")
+        return self.load_raw(attach_labels(tickets, labels))
 
     def load_raw(self, raw: DataFrame) -> DataFrame:
         return replace_table(raw.select(*RAW_COLUMNS), RAW_TABLE, self.location)

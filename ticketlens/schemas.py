@@ -11,6 +11,9 @@ FACT_TABLE = "fct_support_tickets"
 INSIGHTS_TABLE = "support_insights"
 NARRATIVE_TABLE = "product_gap_narrative"
 
+#: The labels as answered, before they are joined to tickets.
+LABELS_TABLE = "support_ticket_labels"
+
 #: Fact rows reduced to counts, for the dashboard.
 CELLS_TABLE = "support_summary_cells"
 
