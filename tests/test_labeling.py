@@ -22,7 +22,7 @@ from ticketlens.operators.labeling import (
     unlabelled,
 )
 from ticketlens.plans.models import staging
-from ticketlens.samples.labeler import CONTEXT, careful_labeler
+from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler
 from ticketlens.samples.tickets import source_tickets
 from ticketlens.schemas import FALLBACK_SUMMARY, LABEL_COLUMNS, RAW_COLUMNS
 from ticketlens.session import session_conf
@@ -226,38 +226,75 @@ def test_null_safe_join_differs_only_before_staging(csv_tickets, label_rows):
     assert dicts(staging(plain)) == dicts(staging(safe))
 
 
-def test_a_hot_id_is_split_by_the_join(spark, csv_tickets, label_rows):
+def test_like_a_left_join(spark, label_rows):
+    tickets = source_tickets(spark, SMALL, body=False)
+    labels = labels_of(label_tickets(tickets, sample_labeler, context=CONTEXT))
+    got = attach_labels(tickets.drop("priority"), labels)
+    plain = tickets.drop("priority", "primary_label", "secondary_label", "sentiment").join(
+        labels.drop("batch_id", "is_fallback"), "ticket_id", "left"
+    )
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.select(*got.columns).collect()))
+
+
+@pytest.mark.parametrize("hot_side", ["tickets", "labels", "unknown labels"])
+def test_a_hot_id_is_split_by_the_join(spark, hot_side):
+    """A third of one side has one id; with "unknown labels" it is that of no ticket."""
     n = 60_000
-    tickets = spark.range(0, n, 1, 12).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("ticket_id"),
-        *[
-            F.lit(TICKET[c]).alias(c)
-            for c in RAW_COLUMNS
-            if c not in ["ticket_id", "ticket_body", "one_line_summary", "urgency"]
-        ],
-        F.sha2(F.col("id").cast("string"), 256).alias("ticket_body"),
+
+    def ids(hot):
+        plain = F.col("id").cast("string")
+        return spark.range(0, n, 1, 12).select(
+            (F.when(F.col("id") % 3 == 0, "0") if hot else F.when(F.col("id") < 0, "")).otherwise(plain).alias("ticket_id"),
+            F.sha2(plain, 256).alias("text"),
+        )
+
+    constant = {**TICKET, **{c: str(v) for c, v in LABEL.items()}}
+    tickets = ids(hot_side == "tickets").select(
+        "ticket_id",
+        *[F.lit(constant[c]).alias(c) for c in RAW_COLUMNS if c not in ["ticket_id", "ticket_body", *LABEL_COLUMNS]],
+        F.col("text").alias("ticket_body"),
     )
-    labels = spark.range(n).select(
-        F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("ticket_id"),
-        *[F.lit(str(LABEL[c])).alias(c) for c in LABEL_COLUMNS],
+    labels = ids(hot_side != "tickets").select(
+        "ticket_id",
+        *[F.lit(constant[c]).alias(c) for c in LABEL_COLUMNS if c != "one_line_summary"],
+        F.col("text").alias("one_line_summary"),
     )
+    if hot_side == "unknown labels":
+        tickets = tickets.where("ticket_id <> '0'")
     with session_conf(
         spark,
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="0",
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="100KB",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="100KB",
     ):
         joined = attach_labels(tickets, labels)
-        assert "skew=true" in final_plan(joined)
-        assert joined.count() == n and joined.where("primary_label IS NULL").count() == 0
+        plan = final_plan(joined)
+        final = plan.split("Initial Plan")[0]
+        # Hot tickets are split in both joins, hot labels in the one that keeps them.
+        assert final.count("skew=true") == (2 if hot_side == "tickets" else 1)
+        rows = joined.count()
+        missing = joined.where("primary_label IS NULL").count()
+    if hot_side == "tickets":
+        assert (rows, missing) == (n, 0)
+    elif hot_side == "labels":
+        assert (rows, missing) == (n + n // 3 - 1, n // 3 - 1)
+    else:
+        assert (rows, missing) == (n - 1, n // 3 - 1)
 
 
-def test_tickets_without_id_bypass_the_shuffle(spark, csv_tickets, label_rows):
-    plan = attach_labels(csv_tickets({}), label_rows("a"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join LeftOuter") == 1
-    assert "Union" in plan and "isnotnull(ticket_id" in plan and "isnull(ticket_id" in plan
+def test_tickets_are_shuffled_once_and_not_without_id(spark, csv_tickets, label_rows):
+    with session_conf(
+        spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"
+    ):
+        joined = attach_labels(csv_tickets({}, {"ticket_id": None}), label_rows("a", "TKT-00000001"))
+        plan = final_plan(joined).split("Initial Plan")[0]
+        assert "ReusedExchange" in plan
+        assert "isnull(ticket_id" in plan.replace("NOT isnull", "")
+        # The narrow label side is hashed; no texts are sorted.
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_unlabelled(csv_tickets, label_rows):

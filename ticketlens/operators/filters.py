@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.session import one_row
+
 # The choices of the filters.
 ALL = "All"
 CHURNED_ONLY = "Churned Only"
@@ -46,7 +48,7 @@ def filter_choices(df: DataFrame, columns: tuple[str, ...] = ("plan_type", "prim
         .where(F.col("choice").isNotNull())
         .distinct()
     )
-    alls = spark.range(1).select(
+    alls = one_row(spark).select(
         F.explode(F.array(*[F.lit(c) for c in columns])).alias("filter"),
         F.lit(0).alias("is_value"),
         F.lit(ALL).alias("choice"),

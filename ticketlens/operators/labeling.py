@@ -267,22 +267,36 @@ def labels_of(answers: DataFrame) -> DataFrame:
     )
 
 
+def _answered_ids(labels: DataFrame) -> DataFrame:
+    """The ids of labels, each at most eight times, for semi and anti joins.
+
+    Reduced by id and a salt of the row, so that labels piled up on one id cost
+    little. Not by id alone: that would leave the result partitioned for the join,
+    and adaptive skew handling only splits joins whose sides are both freshly shuffled.
+    """
+    salt = F.pmod(F.xxhash64(*LABEL_COLUMNS), F.lit(8)).alias("_salt")
+    return labels.select("ticket_id", salt).distinct().select("ticket_id")
+
+
 def unlabelled(tickets: DataFrame, labels: DataFrame, retry_fallbacks: bool = True) -> DataFrame:
     """Tickets that still need a label, for a rerun that adds to earlier answers."""
     done = labels.where(~F.col("is_fallback")) if retry_fallbacks else labels
-    # Reduced to distinct ids first, so an id labelled many times costs one row.
     # Tickets without an id cannot be labelled, and would all meet in one partition.
-    return tickets.where(F.col("ticket_id").isNotNull()).join(done.select("ticket_id").distinct(), "ticket_id", "left_anti")
+    return tickets.where(F.col("ticket_id").isNotNull()).join(_answered_ids(done), "ticket_id", "left_anti")
 
 
 def attach_labels(tickets: DataFrame, labels: DataFrame, null_safe: bool = False) -> DataFrame:
     """Replace the tickets' labels by the returned ones, where there are any.
 
-    A left join: a ticket without an answer gets null labels, one answered twice
-    becomes two rows, answers for unknown ids disappear. A hot id is split over
-    tasks by adaptive skew handling. Tickets without an id match nothing, so they
+    The result is that of a left join: a ticket without an answer gets null labels,
+    one answered twice becomes two rows, answers for unknown ids disappear.
+
+    It is put together from an inner and an anti join over the same shuffle of the
+    tickets. Adaptive skew handling may split either side of an inner join, but only
+    the left side of a left join, and labels too can pile up on one id (of a ticket,
+    or one that a labeller made up). Tickets without an id match nothing, so they
     bypass the shuffle rather than meet in one of its partitions. ``null_safe``
-    matches them with labels without an id instead.
+    matches them with labels without an id instead, in one plain left join.
     """
     kept = [c for c in tickets.columns if c not in REPLACED_COLUMNS + LABEL_COLUMNS]
     left = tickets.select(*kept)
@@ -290,8 +304,12 @@ def attach_labels(tickets: DataFrame, labels: DataFrame, null_safe: bool = False
     if null_safe:
         renamed = right.withColumnRenamed("ticket_id", "_label_id")
         return left.join(renamed, F.col("ticket_id").eqNullSafe(F.col("_label_id")), "left").drop("_label_id")
-    keyed = left.where(F.col("ticket_id").isNotNull()).join(right, "ticket_id", "left")
-    keyless = left.where(F.col("ticket_id").isNull()).select(
-        *kept, *[F.lit(None).cast("string").alias(c) for c in LABEL_COLUMNS]
-    )
-    return keyed.select(*kept, *LABEL_COLUMNS).unionByName(keyless)
+
+    def unanswered(rows: DataFrame) -> DataFrame:
+        return rows.select(*kept, *[F.lit(None).cast("string").alias(c) for c in LABEL_COLUMNS])
+
+    keyed = left.where(F.col("ticket_id").isNotNull())
+    answered = keyed.join(right, "ticket_id").select(*kept, *LABEL_COLUMNS)
+    missed = keyed.join(_answered_ids(right), "ticket_id", "left_anti")
+    keyless = left.where(F.col("ticket_id").isNull())
+    return answered.unionByName(unanswered(missed)).unionByName(unanswered(keyless))

@@ -14,6 +14,7 @@ from ticketlens.operators.summaries import (
     sentiment_counts,
     top_pairs,
 )
+from ticketlens.session import one_row
 
 #: Filter columns and group columns of all summaries.
 CELL_KEYS = ["plan_type", "is_churned", "primary_label", "secondary_label", "sentiment", "ticket_month"]
@@ -110,7 +111,7 @@ def context_table(
         return rows(exploded, number, section, no_rank, F.col("p.k"), no_key, F.col("p.v"))
 
     filters = spread(
-        spark.range(1), 1, "filter", {"Plan": F.lit(plan), "Primary": F.lit(primary), "Churn": F.lit(churn)}
+        one_row(spark), 1, "filter", {"Plan": F.lit(plan), "Primary": F.lit(primary), "Churn": F.lit(churn)}
     )
     totals = spread(
         kpis(df),
@@ -146,7 +147,7 @@ def context_table(
         churned_by_primary(df), 4, "churned_tickets", no_rank, F.col("primary_label"), no_key, F.col("churned_tickets")
     )
     moods = rows(sentiment_counts(df), 5, "sentiment", no_rank, F.col("sentiment"), no_key, F.col("count"))
-    text = narrative if narrative is not None else spark.range(0).select(no_key.alias("narrative"))
+    text = narrative if narrative is not None else one_row(spark).where("false").select(no_key.alias("narrative"))
     # The aggregate gives a row, and so the default text, even without a narrative.
     told = rows(
         text.agg(F.coalesce(F.first("narrative"), F.lit("Not available")).alias("narrative")),

@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Hash the narrow side of a join, where all its partitions turn out this small,
+    # rather than sort the texts of the other side.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
@@ -31,6 +34,11 @@ def build_session(app_name: str = "ticketlens", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def one_row(spark: SparkSession) -> DataFrame:
+    """A row to select literals from, in a single task."""
+    return spark.range(0, 1, 1, 1)
+
+
 @lru_cache(maxsize=None)
 def _local_scratch(app_id: str) -> str:
     return tempfile.mkdtemp(prefix="ticketlens-")

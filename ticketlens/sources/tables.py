@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.schemas import NARRATIVE_SCHEMA, NARRATIVE_TABLE
+from ticketlens.session import one_row
 
 
 def replace_table(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def reset_narratives(spark: SparkSession, name: str = NARRATIVE_TABLE, location:
 
 def append_narrative(spark: SparkSession, text: str, name: str = NARRATIVE_TABLE) -> None:
     """Add one narrative, stamped with the current time."""
-    row = spark.range(1).select(
+    row = one_row(spark).select(
         F.current_timestamp().alias("generated_at"), F.lit(text).cast("string").alias("narrative")
     )
     row.write.mode("append").format("parquet").saveAsTable(name)

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.session import one_row
+
 # Primary -> secondary -> tertiary labels.
 TAXONOMY = {
     "Billing": {
@@ -56,7 +58,7 @@ PAIRS_BY_PRIMARY = {primary: list(secondaries) for primary, secondaries in TAXON
 def taxonomy_pairs(spark: SparkSession) -> DataFrame:
     """24 rows ``(primary_label, secondary_label)``; its size is fixed, so it may be broadcast."""
     return (
-        spark.range(1)
+        one_row(spark)
         .select(F.from_json(F.lit(json.dumps(PAIRS_BY_PRIMARY)), "map<string,array<string>>").alias("tree"))
         .select(F.explode("tree").alias("primary_label", "children"))
         .select("primary_label", F.explode("children").alias("secondary_label"))
@@ -66,7 +68,7 @@ def taxonomy_pairs(spark: SparkSession) -> DataFrame:
 def taxonomy_leaves(spark: SparkSession) -> DataFrame:
     """72 rows ``(primary_label, secondary_label, tertiary_label)``; fixed size."""
     return (
-        spark.range(1)
+        one_row(spark)
         .select(F.from_json(F.lit(json.dumps(TAXONOMY)), "map<string,map<string,array<string>>>").alias("tree"))
         .select(F.explode("tree").alias("primary_label", "children"))
         .select("primary_label", F.explode("children").alias("secondary_label", "leaves"))
