@@ -230,6 +230,8 @@ def test_like_a_left_join(spark, label_rows):
     tickets = source_tickets(spark, SMALL, body=False)
     labels = labels_of(label_tickets(tickets, sample_labeler, context=CONTEXT))
     got = attach_labels(tickets.drop("priority"), labels)
+    unsplit = attach_labels(tickets.drop("priority"), labels, split_labels=False)
+    assert sorted(map(str, got.collect())) == sorted(map(str, unsplit.collect()))
     plain = tickets.drop("priority", "primary_label", "secondary_label", "sentiment").join(
         labels.drop("batch_id", "is_fallback"), "ticket_id", "left"
     )

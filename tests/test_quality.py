@@ -77,6 +77,7 @@ def test_join_accounting(spark):
         "tickets_without_label": 2,
         "ids_labelled_more_than_once": 1,
         "labels_of_unknown_ids": 2,
+        "most_labels_of_one_id": 2,
         "joined_rows": tickets.join(labels, "ticket_id", "left").count(),
     }
     nothing = Q.label_join_accounting(tickets.where("false"), labels.where("false"))

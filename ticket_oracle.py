@@ -405,6 +405,7 @@ UNION ALL SELECT 'ids_labelled_more_than_once', count(*) FROM (
     GROUP BY ticket_id HAVING count(*) > 1)
 UNION ALL SELECT 'labels_of_unknown_ids', count(*) FROM labels l
     WHERE NOT EXISTS (SELECT 1 FROM tickets t WHERE t.ticket_id = l.ticket_id)
+UNION ALL SELECT 'most_labels_of_one_id', max(n) FROM (SELECT count(*) AS n FROM labels GROUP BY ticket_id)
 UNION ALL SELECT 'joined_rows', count(*) FROM tickets t LEFT JOIN labels l ON l.ticket_id = t.ticket_id""",
         ),
         "dq_unique_ids": _q(

@@ -285,7 +285,9 @@ def unlabelled(tickets: DataFrame, labels: DataFrame, retry_fallbacks: bool = Tr
     return tickets.where(F.col("ticket_id").isNotNull()).join(_answered_ids(done), "ticket_id", "left_anti")
 
 
-def attach_labels(tickets: DataFrame, labels: DataFrame, null_safe: bool = False) -> DataFrame:
+def attach_labels(
+    tickets: DataFrame, labels: DataFrame, null_safe: bool = False, split_labels: bool = True
+) -> DataFrame:
     """Replace the tickets' labels by the returned ones, where there are any.
 
     The result is that of a left join: a ticket without an answer gets null labels,
@@ -294,9 +296,12 @@ def attach_labels(tickets: DataFrame, labels: DataFrame, null_safe: bool = False
     It is put together from an inner and an anti join over the same shuffle of the
     tickets. Adaptive skew handling may split either side of an inner join, but only
     the left side of a left join, and labels too can pile up on one id (of a ticket,
-    or one that a labeller made up). Tickets without an id match nothing, so they
-    bypass the shuffle rather than meet in one of its partitions. ``null_safe``
-    matches them with labels without an id instead, in one plain left join.
+    or one that a labeller made up). Where the labels per id are known to be few,
+    ``split_labels=False`` takes one left join, which reads the tickets once.
+
+    Tickets without an id match nothing, so they bypass the shuffle rather than meet
+    in one of its partitions. ``null_safe`` matches them with labels without an id
+    instead, in one plain left join.
     """
     kept = [c for c in tickets.columns if c not in REPLACED_COLUMNS + LABEL_COLUMNS]
     left = tickets.select(*kept)
@@ -309,7 +314,9 @@ def attach_labels(tickets: DataFrame, labels: DataFrame, null_safe: bool = False
         return rows.select(*kept, *[F.lit(None).cast("string").alias(c) for c in LABEL_COLUMNS])
 
     keyed = left.where(F.col("ticket_id").isNotNull())
-    answered = keyed.join(right, "ticket_id").select(*kept, *LABEL_COLUMNS)
-    missed = keyed.join(_answered_ids(right), "ticket_id", "left_anti")
     keyless = left.where(F.col("ticket_id").isNull())
-    return answered.unionByName(unanswered(missed)).unionByName(unanswered(keyless))
+    joined = keyed.join(right, "ticket_id", "inner" if split_labels else "left").select(*kept, *LABEL_COLUMNS)
+    if split_labels:
+        missed = keyed.join(_answered_ids(right), "ticket_id", "left_anti")
+        joined = joined.unionByName(unanswered(missed))
+    return joined.unionByName(unanswered(keyless))

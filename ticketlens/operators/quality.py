@@ -173,6 +173,7 @@ def label_join_accounting(tickets: DataFrame, labels: DataFrame) -> DataFrame:
         "tickets_without_label": F.sum(F.when(matched == 0, t).otherwise(0)),
         "ids_labelled_more_than_once": F.count_if((t > 0) & (matched > 1)),
         "labels_of_unknown_ids": F.sum(F.when((t == 0) | ~has_id, F.col("l")).otherwise(0)),
+        "most_labels_of_one_id": F.max("l"),
         "joined_rows": F.sum(t * F.greatest(matched, F.lit(1))),
     }
     totals = per_id.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in measures.items()])

@@ -33,6 +33,10 @@ from ticketlens.sources.tables import (
 from ticketlens.sources.ticket_csv import read_ticket_csv
 
 
+#: Up to so many labels of one id (some megabytes) may meet in one task.
+FEW_LABELS_PER_ID = 10_000
+
+
 @dataclass
 class Warehouse:
     """The tables by name. ``location`` puts their files below a path of your choice."""
@@ -70,12 +74,11 @@ class Warehouse:
             # A table cannot be replaced while it is read.
             labels = stage(known.unionByName(labels), "labels")
         labels = replace_table(labels, LABELS_TABLE, self.location)
-        if max_growth is not None:
-            measures = label_join_accounting(tickets, labels).collect()
-            sizes = {row["measure"]: row["value"] for row in measures}
-            if sizes["joined_rows"] > max_growth * sizes["tickets"]:
-                raise ValueError(f"ticket ids are not unique, the labels would multiply the tickets: {sizes}")
-        return self.load_raw(attach_labels(tickets, labels))
+        sizes = {row["measure"]: row["value"] for row in label_join_accounting(tickets, labels).collect()}
+        if max_growth is not None and sizes["joined_rows"] > max_growth * sizes["tickets"]:
+            raise ValueError(f"ticket ids are not unique, the labels would multiply the tickets: {sizes}")
+        few = sizes["most_labels_of_one_id"] <= FEW_LABELS_PER_ID
+        return self.load_raw(attach_labels(tickets, labels, split_labels=not few))
 
     def load_raw(self, raw: DataFrame) -> DataFrame:
         return replace_table(raw.select(*RAW_COLUMNS), RAW_TABLE, self.location)
