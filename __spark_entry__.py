@@ -26,7 +26,7 @@ from ticketlens.operators.labeling import (  # noqa: E402
     render_prompts,
     unlabelled,
 )
-from ticketlens.plans.dashboard import all_summaries, context_table, pick_summary, summary_cells  # noqa: E402
+from ticketlens.plans.overview import all_summaries, context_table, pick_summary, summary_cells  # noqa: E402
 from ticketlens.plans.models import INSIGHT_KEYS, fact, insights, staging  # noqa: E402
 from ticketlens.plans.narrative import write_narrative  # noqa: E402
 from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler, sample_writer  # noqa: E402

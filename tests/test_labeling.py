@@ -2,9 +2,10 @@ import json
 import os
 import uuid
 
+import pandas as pd
 import pytest
 from conftest import SMALL, TICKET, dicts, final_plan
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -299,6 +300,27 @@ def test_tickets_are_shuffled_once_and_not_without_id(spark, csv_tickets, label_
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+ids = st.lists(st.sampled_from(["a", "b", "c", None]), max_size=8)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(ticket_ids=ids, label_ids=ids)
+def test_null_safe_join_is_a_pandas_merge(csv_tickets, label_rows, ticket_ids, label_ids):
+    left = pd.DataFrame({"ticket_id": pd.Series(ticket_ids, dtype=object)})
+    right = pd.DataFrame({"ticket_id": pd.Series(label_ids, dtype=object), "urgency": "3"})
+    tickets, labels = csv_tickets(*[{"ticket_id": i} for i in ticket_ids]), label_rows(*label_ids)
+
+    def bag(rows):
+        return sorted((str(i), u == "3") for i, u in rows)
+
+    merged = left.merge(right, on="ticket_id", how="left")
+    got = attach_labels(tickets, labels, null_safe=True).select("ticket_id", "urgency")
+    assert bag(got.collect()) == bag(zip(merged["ticket_id"], merged["urgency"], strict=True))
+    without_null = left.merge(right.dropna(), on="ticket_id", how="left")
+    got = attach_labels(tickets, labels).select("ticket_id", "urgency")
+    assert bag(got.collect()) == bag(zip(without_null["ticket_id"], without_null["urgency"], strict=True))
+
+
 def test_unlabelled(csv_tickets, label_rows):
     tickets = csv_tickets(*[{"ticket_id": i} for i in ("a", "b", "c", None)])
     labels = label_rows("a", "a").unionByName(label_rows("b", fallback=True))

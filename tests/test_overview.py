@@ -3,7 +3,7 @@ from conftest import SMALL, dicts, final_plan
 
 from ticketlens.operators import summaries as S
 from ticketlens.operators.filters import apply_filters, filter_choices, pick_columns
-from ticketlens.plans.dashboard import all_summaries, context_table, pick_summary, summary_cells
+from ticketlens.plans.overview import all_summaries, context_table, pick_summary, summary_cells
 from ticketlens.plans.models import fact, insights, staging
 from ticketlens.samples.tickets import raw_tickets
 from ticketlens.schemas import EXPLORER_COLUMNS

@@ -1,6 +1,6 @@
 """KPI cards, group counts and ranked lists.
 
-Every function takes fact rows, or the summary cells of ``plans.dashboard``,
+Every function takes fact rows, or the summary cells of ``plans.overview``,
 which stand for many tickets each. Rows with a null group key are left out, as
 a pandas group-by does.
 """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of, unlabelled
 from ticketlens.operators.quality import label_join_accounting
-from ticketlens.plans.dashboard import summary_cells
+from ticketlens.plans.overview import summary_cells
 from ticketlens.plans.models import fact, insights, staging
 from ticketlens.plans.narrative import NarrativeWriter, write_narrative
 from ticketlens.schemas import (

@@ -59,7 +59,7 @@ def latest_narrative(spark: SparkSession, name: str = NARRATIVE_TABLE) -> DataFr
 class Snapshot:
     """A table-derived frame kept in executor memory or disk, refreshed after ``ttl`` seconds.
 
-    ``derive`` should reduce the table (the summary cells of ``plans.dashboard``),
+    ``derive`` should reduce the table (the summary cells of ``plans.overview``),
     so that what is cached does not grow with the ticket count.
     """
 
