@@ -68,7 +68,8 @@ def main(sf_dir: str, only: list[str]) -> int:
             continue
         ok = names == want_names and got == want
         failed += not ok
-        print(f"{'ok   ' if ok else 'WRONG'} {name}: {len(got)} rows, spark {took:.2f}s, duckdb {duck_took:.2f}s", flush=True)
+        verdict = "ok   " if ok else "WRONG"
+        print(f"{verdict} {name}: {len(got)} rows, spark {took:.2f}s, duckdb {duck_took:.2f}s", flush=True)
         if not ok:
             print("  ", names, want_names, len(got), len(want))
             missing = [r for r in want if r not in set(got)][:2]

@@ -95,7 +95,8 @@ def test_prompt_holds_whole_texts_in_order(csv_tickets):
 
 @pytest.mark.parametrize(
     "reply",
-    ["", "no", '{"ticket_id": "a"}', '[{"ticket_id": "a"}] done', "[1]", "null", '"text"', "[{}", '[{"a": 1}, null]', '[{"ticket_id": "\\ud800"}]'],
+    ["", "no", '{"ticket_id": "a"}', '[{"ticket_id": "a"}] done', "[1]", "null", '"text"', "[{}"]
+    + ['[{"a": 1}, null]', '[{"ticket_id": "\\ud800"}]'],
 )
 def test_unusable_replies(reply):
     with pytest.raises(ValueError):

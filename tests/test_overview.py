@@ -139,7 +139,10 @@ def test_top_lists_and_explorer_need_no_full_sort(fct):
 
 def test_explorer(fact_rows):
     rows = fact_rows(
-        {"created_at": None, "ticket_id": "TKT-C"}, {"ticket_id": "TKT-B"}, {"created_at": "2024-03-01"}, {"ticket_id": "TKT-A"}
+        {"created_at": None, "ticket_id": "TKT-C"},
+        {"ticket_id": "TKT-B"},
+        {"created_at": "2024-03-01"},
+        {"ticket_id": "TKT-A"},
     )
     got = S.ticket_explorer(rows)
     assert got.columns == EXPLORER_COLUMNS

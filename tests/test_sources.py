@@ -1,6 +1,7 @@
 import csv
 import datetime as dt
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from conftest import SMALL, TICKET, dicts
@@ -27,14 +28,18 @@ def write_rows(path, *rows):
 
 
 def test_quoting_and_line_breaks(spark, tmp_path):
-    bodies = ['She said "no", twice', "one, two", "line\nbreak", "line\r\nbreak", "  padded  ", "back\\slash \\\" x", "é😀"]
+    bodies = ['She said "no", twice', "one, two", "line\nbreak", "line\r\nbreak", "  padded  "]
+    bodies += ['back\\slash \\" x', "é😀"]
     write_rows(tmp_path / "t.csv", *[{"ticket_body": b} for b in bodies])
     assert [r["ticket_body"] for r in read_ticket_csv(spark, str(tmp_path / "t.csv")).collect()] == bodies
 
 
 def test_ids_stay_text_and_null_words_become_null(spark, tmp_path):
     write_rows(
-        tmp_path / "t.csv", {"ticket_id": "T1", "ticket_body": "NA"}, {"ticket_id": "007", "user_id": ""}, {"user_id": "null"}
+        tmp_path / "t.csv",
+        {"ticket_id": "T1", "ticket_body": "NA"},
+        {"ticket_id": "007", "user_id": ""},
+        {"user_id": "null"},
     )
     df = read_ticket_csv(spark, str(tmp_path / "t.csv"))
     assert set(dict(df.dtypes).values()) == {"string"}
@@ -101,6 +106,17 @@ def test_snapshot_refreshes_after_its_time(spark):
     snapshot.drop()
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    def session(**conf):
+        settings = {"spark.app.id": "app", "spark.master": "yarn", **conf}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key, default)))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session())
+    assert shared_dir(session(**{"spark.checkpoint.dir": "hdfs:///tmp/"})) == "hdfs:///tmp/ticketlens/app"
+    assert shared_dir(session(**{"spark.master": "local[2]"})).startswith("/")
+
+
 def test_stage_uses_the_session_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark).startswith(root)

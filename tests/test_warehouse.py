@@ -52,7 +52,11 @@ def test_rebuilding_replaces(spark, house):
 
 
 def test_narrative_prompt(raw_rows, monkeypatch):
-    rows = raw_rows({"is_churned": "True", "ticket_id": None}, {"secondary_label": None, "is_churned": "True"}, {"primary_label": "Onboarding"})
+    rows = raw_rows(
+        {"is_churned": "True", "ticket_id": None},
+        {"is_churned": "True", "secondary_label": None},
+        {"primary_label": "Onboarding"},
+    )
     lines = N.narrative_prompt(rows).splitlines()
     assert [line for line in lines if line.startswith("*")] == [
         "* Billing / Failed Payment: 1",
