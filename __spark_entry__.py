@@ -157,9 +157,11 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _latest_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = write_narrative(raw_tickets(spark, sf_dir, body=False), sample_writer)
-    reset_narratives(spark, location=scratch_path(spark, "narratives"))
-    append_narrative(spark, text)
-    return latest_narrative(spark)
+    # Under another name than the warehouse's own table, which may exist.
+    table = "sample_narratives"
+    reset_narratives(spark, table, scratch_path(spark, "narratives"))
+    append_narrative(spark, text, table)
+    return latest_narrative(spark, table)
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,14 @@ def main(sf_dir: str, only: list[str]) -> int:
     import __spark_entry__ as entry
     from ticketlens.session import build_session
 
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    spark = build_session(
+        "compare",
+        "local[8]",
+        spark__sql__shuffle__partitions="8",
+        spark__ui__enabled="false",
+        spark__driver__memory="8g",
+        spark__driver__maxResultSize="4g",
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sqls, failed = entry.oracle_sql(), 0

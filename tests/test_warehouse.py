@@ -8,6 +8,7 @@ from ticketlens.operators.filters import apply_filters
 from ticketlens.operators.summaries import kpis
 from ticketlens.plans import narrative as N
 from ticketlens.plans.models import insights
+from ticketlens.plans.overview import dashboard
 from ticketlens.plans.warehouse import Warehouse
 from ticketlens.run import main
 from ticketlens.samples.labeler import CONTEXT, sample_labeler, sample_writer
@@ -38,6 +39,18 @@ def test_dashboard_reads_the_cells(house):
     assert kpis(apply_filters(house.cells, **filters)).collect() == kpis(apply_filters(house.fact, **filters)).collect()
 
 
+def test_dashboard_parts(house):
+    filters = {"primary": "Onboarding", "churn": "Active Only"}
+    snapshot = house.cached_cells()
+    parts = dashboard(snapshot.get(), house.fact, **filters)
+    on_fact = dashboard(house.fact, house.fact, **filters)
+    assert parts.keys() == on_fact.keys()
+    for name, df in parts.items():
+        assert df.collect() == on_fact[name].collect(), name
+    assert {r["primary_label"] for r in parts["ticket_explorer"].collect()} == {"Onboarding"}
+    snapshot.drop()
+
+
 def test_narrative_is_stored(house):
     text = dicts(house.narrative)[0]["narrative"]
     assert text.count("; ") >= 20 and "Billing / " in text

@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
-from ticketlens.operators.filters import ALL
+from ticketlens.operators.filters import ALL, apply_filters, filter_choices
 from ticketlens.operators.summaries import (
     MEASURES,
+    churn_risk_by_primary,
     churned_by_primary,
+    kpi_cards,
     kpis,
+    monthly_trend,
+    secondary_breakdown,
     sentiment_counts,
+    sentiment_distribution,
+    ticket_explorer,
     top_pairs,
+    volume_by_primary,
 )
 from ticketlens.session import one_row
 
@@ -76,6 +83,26 @@ def pick_summary(summaries: DataFrame, name: str, measure: str = "tickets") -> D
     return rows.select(*SUMMARIES[name], measure)
 
 
+def dashboard(
+    cells: DataFrame, fct: DataFrame, plan: str = ALL, primary: str = ALL, churn: str = ALL
+) -> dict[str, DataFrame]:
+    """Every part of the dashboard under a filter, by name.
+
+    All but the explorer are answered from the cells; only it reads fact rows.
+    """
+    shown = apply_filters(cells, plan, primary, churn)
+    return {
+        "filter_choices": filter_choices(cells),
+        "kpi_cards": kpi_cards(shown),
+        "volume_by_primary": volume_by_primary(shown),
+        "sentiment_distribution": sentiment_distribution(shown),
+        "churn_risk_by_primary": churn_risk_by_primary(shown),
+        "monthly_trend": monthly_trend(shown),
+        "secondary_breakdown": secondary_breakdown(shown),
+        "ticket_explorer": ticket_explorer(apply_filters(fct, plan, primary, churn)),
+    }
+
+
 def context_table(
     df: DataFrame,
     narrative: DataFrame | None = None,

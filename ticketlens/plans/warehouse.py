@@ -24,6 +24,7 @@ from ticketlens.schemas import (
 )
 from ticketlens.session import stage
 from ticketlens.sources.tables import (
+    Snapshot,
     append_narrative,
     latest_narrative,
     publish_view,
@@ -112,6 +113,10 @@ class Warehouse:
     def cells(self) -> DataFrame:
         return self.spark.table(CELLS_TABLE)
 
+    def cached_cells(self, ttl: float = 60.0) -> Snapshot:
+        """The cells kept in memory or on disk, read anew when older than ``ttl`` seconds."""
+        return Snapshot(self.spark, CELLS_TABLE, ttl=ttl)
+
     @property
     def narrative(self) -> DataFrame:
         return latest_narrative(self.spark)
