@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -281,9 +282,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["support_insights"](spark, f"{TESTDATA}/sf0.001")
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the corpus operators, which may be left out of an installation."""
+    if importlib.util.find_spec("ticketlens.llm") is None:
+        return {}, {}
+    from ticketlens.llm import registry
+
+    found, sql = registry.queries(), registry.oracle_sql()
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return {name: _registered(query) for name, query in _QUERIES.items()}
+    return {name: _registered(query) for name, query in {**_QUERIES, **_corpus()[0]}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ticket_oracle.build()
+    return {**ticket_oracle.build(), **_corpus()[1]}
