@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlens.llm import common, exact_dedup, packing, sharding
+from ticketlens.llm import common, exact_dedup, ngram_join, packing, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(_documents(spark, sf_dir))
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_words", "n_removed", kept)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), word_vocabulary())
 
@@ -31,11 +38,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_feistel_shards": op6_feistel_shards,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
