@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import common, exact_dedup, ngram_join, packing, sharding, substring_dedup
+from ticketlens.llm import (
+    common,
+    decontamination,
+    exact_dedup,
+    ngram_join,
+    packing,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", kept)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return decontamination.find_contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), word_vocabulary())
 
@@ -38,6 +52,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_documents(spark, sf_dir))
 
@@ -45,9 +65,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_feistel_shards": op6_feistel_shards,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_weak_toxicity": op9_weak_toxicity,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
