@@ -9,6 +9,7 @@ from ticketlens.llm import (
     common,
     decontamination,
     exact_dedup,
+    html_extraction,
     ngram_join,
     packing,
     sharding,
@@ -35,6 +36,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", kept)
 
 
+def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return html_extraction.extract_text(common.read_table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return decontamination.find_contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
@@ -65,6 +71,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_wrapper_extraction": op3_wrapper_extraction,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_feistel_shards": op6_feistel_shards,
