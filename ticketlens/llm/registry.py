@@ -10,8 +10,10 @@ from ticketlens.llm import (
     decontamination,
     exact_dedup,
     html_extraction,
+    license_scan,
     ngram_join,
     packing,
+    personal_data,
     sharding,
     substring_dedup,
     toxicity,
@@ -36,6 +38,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", kept)
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digest(personal_data.find_personal_data(_documents(spark, sf_dir)))
+
+
 def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return html_extraction.extract_text(common.read_table(spark, sf_dir, "pages"))
@@ -54,6 +60,14 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no paths: a source is a tree with a folder per language.
+    docs = _documents(spark, sf_dir)
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return license_scan.license_scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -71,10 +85,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op3_wrapper_extraction": op3_wrapper_extraction,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_feistel_shards": op6_feistel_shards,
+        "op7_license_scan": op7_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_weak_toxicity": op9_weak_toxicity,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
