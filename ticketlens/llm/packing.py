@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ PARTITION_PIECES = 40_000
 ROUNDS = 3
 #: Sequences filled less than this exchange their pieces in a further round.
 LOOSE_FILL = 0.98
+#: Stands between words while they are encoded; a token of its own.
+_BETWEEN = "\x01"
 #: Distinct words whose ids a task remembers; beyond it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -36,32 +39,52 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 class WordTokenizer:
     """Token ids of texts, from the ids of their distinct words.
 
-    The vocabulary drops white space and never joins tokens across it, so a text's ids are
-    those of its words in a row.
+    The vocabulary ignores case, drops white space and never joins tokens across it, nor
+    across a plain small letter and a following punctuation mark. So a text's ids are those of its words
+    in a row, and marks can be cut off and A-Z be lowered first. Only texts that hold the
+    start of a special token, which is matched as written, keep their case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.between,) = self._encode(_BETWEEN)
         self._forget()
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
+        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        begin = len(self.ids) + np.cumsum(size) - size
-        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32, size.sum())])
+        ids, sizes = [], []
+        plain = [w for w in words if _BETWEEN not in w]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            found = np.array(self._encode(f" {_BETWEEN} ".join(part)), np.uint32)
+            marks = np.flatnonzero(found == self.between)
+            ids.append(np.delete(found, marks))
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
+        odd = [w for w in words if _BETWEEN in w]
+        for w in odd:
+            found = self._encode(w)
+            ids.append(np.array(found, np.uint32))
+            sizes.append([len(found)])
+        size = np.concatenate(sizes)
+        have = len(self.ids[0])
+        begin = have + np.cumsum(size) - size
+        self.known.update(zip([*plain, *odd], range(len(self.size), len(self.size) + len(words))))
+        self.ids = [np.concatenate([*self.ids, *ids])]
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin."""
-        words, starts = split_words(texts)
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words, starts = split_words(pc.replace_substring_regex(texts, r"([a-zß-öø-ÿ])([.,;:!?#$%&*])", r"\1 \2"))
         codes, distinct = word_codes(words)
         if len(self.known) > REMEMBERED_WORDS:
             self._forget()
@@ -72,7 +95,7 @@ class WordTokenizer:
         size = self.size[word]
         ends = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(self.begin[word] - ends[:-1], size) + np.arange(ends[-1])
-        return self.ids[at], ends[starts]
+        return self.ids[0][at], ends[starts]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
