@@ -27,23 +27,24 @@ from ticketlens.llm.common import in_pieces, lower_ascii, shingle_hashes, split_
 from ticketlens.llm.components import components
 from ticketlens.session import stage
 
-#: Hash ranges of the suffix filter.
-RANGES = 32
-#: Leader rounds before all remaining pairs are verified; more only change how much work is left.
-LEADER_ROUNDS = 6
+#: 64-bit words of the parity sketch that the suffix filter compares.
+SKETCH_WORDS = 4
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+#: Rounds with leaders, and leaders per token from the second round on.
+LEADER_ROUNDS, LEADERS = 3, 3
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in rising order, and where each text's begin."""
     words, starts = split_words(lower_ascii(texts))
     hashes, begins = shingle_hashes(word_hashes(words), starts, size)
-    doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    doc, hashes = doc[new], hashes[new]
-    return hashes, np.searchsorted(doc, np.arange(len(begins)))
+    # Many short sorts are much faster than one over pairs of text and hash.
+    for a, b in zip(begins[:-1], begins[1:]):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[begins[:-1][begins[:-1] < len(hashes)]] = True
+    return hashes[new], np.concatenate([[0], np.cumsum(new)])[begins]
 
 
 def set_facts(docs: DataFrame, size: int) -> DataFrame:
@@ -74,7 +75,9 @@ def _sets_of(docs: pa.Table, chosen: pa.Table, size: int) -> tuple[np.ndarray, n
 def _packets(size: int, buckets: int):
     def send(key: tuple, docs: pa.Table, chosen: pa.Table) -> pa.Table:
         _, hashes, _ = _sets_of(docs, chosen, size)
-        keys, counts = np.unique(hashes, return_counts=True)
+        hashes.sort()
+        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        keys, counts = hashes[begin], np.diff(np.append(begin, len(hashes)))
         cuts = B.bucket_cuts(keys, buckets)
         rows = [
             (b, key[0].as_py(), B.squeeze_sorted(keys[a:e]), B.squeeze(counts[a:e].astype(np.uint32)))
@@ -104,36 +107,45 @@ def _frequencies(key: tuple, batches: pa.Table) -> pa.Table:
     )
 
 
+def parity_sketch(hashes: np.ndarray) -> list[int]:
+    """Bit k says whether an odd number of the set's hashes end in k.
+
+    Sketches of two sets differ in no more bits than the sets in elements.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _prefixes(size: int, percent: int):
-    """Sets that have a shared shingle in their prefix, with tokens, places and range counts."""
+    """Sets with a shared shingle in their prefix, as (tokens, places) of it, with sketch and set."""
 
     def choose(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         chosen = told.filter(pc.is_valid(told.column("doc_id")))
         answers = told.filter(pc.is_valid(told.column("totals"))).sort_by("bucket")
         ids, hashes, begins = _sets_of(docs, chosen, size)
-        keys = np.unique(hashes)
-        totals = [B.unsqueeze(x.as_py(), np.uint32) for x in answers.column("totals")]
-        count = np.concatenate([np.zeros(0, np.uint32), *totals])[np.searchsorted(keys, hashes)]
+        totals = np.concatenate(
+            [np.zeros(0, np.uint32), *(B.unsqueeze(x.as_py(), np.uint32) for x in answers.column("totals"))]
+        )
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        count = np.empty(len(order), np.uint32)
+        count[order] = totals[np.cumsum(new) - 1]
         n = np.diff(begins)
-        doc = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((hashes, count, doc))
-        place = np.arange(len(doc)) - begins[doc]
         prefix = n - (-(-percent * n // 100)) + 1
-        use = (place < prefix[doc]) & (count[order] > 1)
+        # Shingles of one set come first: where they fill the prefix, nothing can link.
+        single = np.diff(np.concatenate([[0], np.cumsum(count == 1)])[begins])
         rows = []
-        for d in np.unique(doc[use]):
-            a, b = begins[d], begins[d + 1]
-            inside = use[a:b]
-            own = hashes[a:b]
-            ranges = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=RANGES)
-            rows.append(
-                (ids[d], b - a, hashes[order[a:b]][inside].view(np.int64), place[a:b][inside].astype(np.int32),
-                 ranges.astype(np.int32), own.view(np.int64))
-            )
+        for d in np.flatnonzero((single < prefix) & (n > 0)):
+            own, rare = hashes[begins[d] : begins[d + 1]], count[begins[d] : begins[d + 1]]
+            first = np.lexsort((own, rare))[: prefix[d]]
+            places = np.flatnonzero(rare[first] > 1)
+            rows.append((ids[d], n[d], own[first][places].view(np.int64), places.astype(np.int32), parity_sketch(own), own.view(np.int64)))
         columns = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "n", "tokens", "places", "ranges", "shingles"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "n", "tokens", "places", "sketch", "shingles"]
         )
 
     return choose
@@ -159,7 +171,7 @@ def prefix_candidates(docs: DataFrame, chosen: DataFrame, size: int, percent: in
         .cogroup(told.groupBy("block"))
         .applyInArrow(
             _prefixes(size, percent),
-            "doc bigint, n bigint, tokens array<bigint>, places array<int>, ranges array<int>, shingles array<bigint>",
+            "doc bigint, n bigint, tokens array<bigint>, places array<int>, sketch array<bigint>, shingles array<bigint>",
         )
     )
 
@@ -173,34 +185,41 @@ def _least_overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def _may_link(percent: int) -> Column:
-    """Length and positional filter of two entries of one token, a and b."""
+    """Length, positional and suffix filter of two entries of one token, a and b."""
     n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
     length = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+    least = _least_overlap(n, m, percent)
     most = 1 + F.least(i, j) + F.least(n - 1 - i, m - 1 - j)
-    return length & (most >= _least_overlap(n, m, percent))
+    # What the rest of the sets differ in, at least, by their parity sketches.
+    apart = sum(
+        (F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(SKETCH_WORDS)), start=F.lit(0)
+    )
+    return length & (most >= least) & (apart <= n + m - 2 * least)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link; each is checked once."""
-    narrow = sets.select("doc", "n", "ranges")
-    left = narrow.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.col("ranges").alias("ar"))
-    right = narrow.select(F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("ranges").alias("br"))
-    shared = F.aggregate(F.zip_with("ar", "br", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    likely = (
-        pairs.join(left, "a").join(right, "b").where(shared >= _least_overlap(F.col("an"), F.col("bn"), percent)).select("a", "b")
-    )
-    full_a = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s"))
-    full_b = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t"))
+    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     links = 100 * both >= percent * (F.size("s") + F.size("t") - both)
-    return likely.join(full_a, "a").join(full_b, "b").where(links).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(links).select("a", "b")
 
 
 def _star_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Members of each token with the token's leader of this round."""
-    rank = F.col("doc") if turn == 0 else F.xxhash64("doc", "token", F.lit(turn))
-    leader = F.min(F.struct(rank.alias("rank"), "doc", "n", "place", "root")).alias("leader")
-    leaders = entries.groupBy("token").agg(leader).select("token", "leader.*")
+    """Members of each token with the token's leaders of this round.
+
+    The first round has one, the smallest id, which the tokens of a cluster mostly share;
+    later ones have ``LEADERS`` that differ from token to token.
+    """
+    rest = ["n", "place", "root", *SKETCH]
+    if turn == 0:
+        ranked = [F.min(F.struct("doc", *rest))]
+    else:
+        rank = [F.xxhash64("doc", "token", F.lit(turn * LEADERS + k)).alias("rank") for k in range(LEADERS)]
+        ranked = [F.min(F.struct(r, "doc", *rest)) for r in rank]
+    leaders = entries.groupBy("token").agg(F.array(*ranked).alias("leaders"))
+    leaders = leaders.select("token", F.inline(F.array_distinct("leaders")))
     met = entries.alias("a").join(
         leaders.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)
     )
@@ -219,34 +238,32 @@ def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
 
 
-def _still_open(entries: DataFrame) -> tuple[int, int]:
-    """Entries, and entry pairs of one token in different components, by counting."""
-    per_root = entries.groupBy("token", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    per_token = per_root.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    found = per_token.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).head()
-    return int(found[0] or 0), int(found[1] or 0)
-
-
 def linked_components(sets: DataFrame, percent: int) -> DataFrame:
-    """``node`` and ``root`` for every document that links with another."""
-    exploded = sets.select("doc", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e"))
-    entries = stage(exploded.select("doc", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place")), "entries")
+    """``node`` and ``root`` for every document that links with another.
+
+    Leader rounds only save work: whatever they leave apart is paired in full at the end.
+    """
+    sketch = [F.get("sketch", F.lit(k)).alias(name) for k, name in enumerate(SKETCH)]
+    exploded = sets.select("doc", "n", *sketch, F.explode(F.arrays_zip("tokens", "places")).alias("e"))
+    entries = exploded.select("doc", "n", *SKETCH, F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
+    entries = stage(entries, "entries")
     links, roots = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        if roots is None:
-            rooted = entries.withColumn("root", F.col("doc"))
-        else:
+        rooted = entries.withColumn("root", F.col("doc"))
+        if roots is not None:
             known = roots.select(F.col("node").alias("doc"), "root")
             rooted = entries.join(known, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
             rooted = stage(rooted, "rooted")
-        count, open_pairs = _still_open(rooted)
-        last = turn == LEADER_ROUNDS or open_pairs <= count
-        pairs = _open_pairs(rooted, percent) if last else _star_pairs(rooted, turn, percent)
-        found = stage(_verified(stage(pairs, "pairs"), sets, percent), "links")
+        last = turn == LEADER_ROUNDS
+        pairs = stage(_open_pairs(rooted, percent) if last else _star_pairs(rooted, turn, percent), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = stage(_verified(pairs, sets, percent), "links")
+        if found.isEmpty() and roots is not None:
+            continue
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-        if last:
-            return roots
+    return roots if roots is not None else sets.select(F.col("doc").alias("node"), F.col("doc").alias("root")).limit(0)
 
 
 def ngram_jaccard_join(
