@@ -248,6 +248,7 @@ def _varying(kind: Kind) -> int:
 
 
 def _constant(kind: Kind, pages: int) -> bool:
+    """Whether nearly all pages have the same text here."""
     if kind.repeated or pages < CONSTANT_PAGES or not kind.texts:
         return False
     return max(kind.texts.values()) >= CONSTANT_SHARE * pages
@@ -281,13 +282,15 @@ def decide(root: Kind) -> Kind:
         main = [node]
     chosen = set(map(id, main))
 
-    def mark(kind: Kind, inside: bool, side: bool) -> None:
+    def mark(kind: Kind, inside: bool, side: bool, in_text: bool) -> None:
         inside, side = inside or id(kind) in chosen, side or _is_side(kind)
-        kind.content = inside and not side and not _constant(kind, kind.pages)
+        # A word in bold or a link inside a text is part of it, however often it occurs.
+        inline = in_text and kind.label.partition(" ")[0] not in BLOCKS
+        kind.content = inside and not side and (inline or not _constant(kind, kind.pages))
         for child in kind.children:
-            mark(child, inside, side)
+            mark(child, inside, side, kind.mass > 0 or inline)
 
-    mark(root, False, False)
+    mark(root, False, False, False)
     return root
 
 
