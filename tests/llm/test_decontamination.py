@@ -1,0 +1,77 @@
+import pytest
+
+from llm.conftest import LOWER, long_text, words
+from ticketlens.llm.decontamination import drop_contaminated, find_contaminated, sketch_size
+
+
+def grams(text, size):
+    w = words((text or "").translate(LOWER))
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+
+
+def brute(docs, items):
+    out = []
+    for d, text in docs:
+        for i, item in items:
+            size = min(5, len(words(item)))
+            own = grams(item, size) if size else set()
+            shared = len(own & grams(text, size)) if size else 0
+            if own and shared >= 0.8 * len(own) - 1e-9:
+                out.append((d, i, shared, len(own), shared / len(own)))
+    return sorted(out, key=str)
+
+
+ITEMS = [(i, long_text(1_000 + i, 12 + 3 * i)) for i in range(12)]
+ITEMS += [(20, None), (21, ""), (22, "Only Three words"), (23, "w1"), (24, long_text(2_000, 900)), (None, ITEMS[2][1])]
+
+
+def damaged(text, places):
+    w = text.split()
+    for p in places:
+        w[p % len(w)] = "changed"
+    return " ".join(w)
+
+
+def corpus():
+    rows = [(i, long_text(i, 200)) for i in range(20)]
+    rows += [(100 + i, f"{long_text(i, 90)} {ITEMS[i][1].upper()}\n{long_text(i + 60, 3_000)}") for i in range(12)]
+    rows += [(200 + i, damaged(ITEMS[i][1], range(0, 2))) for i in range(12)]
+    rows += [(300 + k, damaged(ITEMS[11][1], range(0, 45, max(1, 9 - k)))) for k in range(9)]
+    rows += [(400, None), (401, ""), (402, "only three words"), (403, "x w1 y"), (404, f"a {ITEMS[3][1]} {ITEMS[4][1]}")]
+    return rows + [(405, long_text(2_000, 900)), (406, long_text(2_000, 700)), (None, ITEMS[5][1]), (404, ITEMS[3][1])]
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(*i, 1) for i in ITEMS], "item_id bigint, text string, doc_id int")
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_agrees_with_brute_force(documents, items, joined):
+    rows = corpus()
+    got = find_contaminated(documents(*rows), items, joined=joined).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, ITEMS)
+
+
+def test_clean_documents_stay(documents, items, monkeypatch):
+    rows = corpus()
+    docs = documents(*rows)
+    dirty = {r[:2] for r in brute(list(enumerate(t for _, t in rows)), ITEMS)}
+    want = sorted(str(i) for k, (i, _) in enumerate(rows) if k not in {d for d, _ in dirty})
+    for most in (1 << 20, 0):
+        monkeypatch.setattr("ticketlens.llm.decontamination.BROADCAST_BYTES", most)
+        kept = drop_contaminated(docs, items)
+        assert kept.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_sketches_grow_until_chance_suffices():
+    assert [sketch_size(n) for n in (1, 4, 16, 64, 100_000)] == [1, 1, 4, 13, 13]
+
+
+def test_no_rows_on_either_side(documents, items):
+    docs = documents((1, ITEMS[0][1]))
+    assert find_contaminated(docs.limit(0), items).count() == 0
+    assert find_contaminated(docs, items.limit(0)).count() == 0
+    assert find_contaminated(docs, items.limit(0), joined=True).count() == 0
+    assert drop_contaminated(docs, items.limit(0)).count() == 1

@@ -1,0 +1,63 @@
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from llm.conftest import words
+from llm.test_decontamination import brute as leaks
+from llm.test_exact_dedup import brute as copies
+from llm.test_ngram_join import brute as near
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def documents_of(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def test_stages_in_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "exact_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"
+    ]
+
+
+def test_every_stage_does_its_work_on_what_is_left(spark, documents_of, tmp_path):
+    docs, seen = documents_of, {}
+    for name, apply in corpus_pipeline.STAGES:
+        out = apply(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name != "best_fit_packing":
+            assert docs.columns == documents_of.columns
+        pairs = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+        left = sorted(r.doc_id for r in docs.select("doc_id").distinct().collect())
+        seen[name] = len(left)
+        if name == "exact_dedup":
+            assert left == sorted(i for i, _, _, kept, _ in copies(pairs) if kept)
+        elif name == "ngram_jaccard_join":
+            assert left == sorted({root for _, _, root in near(pairs, 5, 80)})
+        elif name == "benchmark_decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+            dirty = {d for d, *_ in leaks(pairs, items)}
+            assert dirty and left == sorted(i for i, _ in pairs if i not in dirty)
+        elif name == "best_fit_packing":
+            assert left == sorted(i for i, _ in pairs)
+    assert 0 < seen["toxicity"] < documents_of.count()
+    whole = corpus_pipeline.run(spark, SMALL)
+    assert Counter(r[0] for r in whole.select("doc_id").collect()) == Counter(r[0] for r in docs.select("doc_id").collect())
+
+
+def test_extra_columns_with_clashing_names_and_odd_rows(spark, documents_of):
+    extra = ["norm", "fp", "_row", "block", "root", "held_out", "score", "text_sha256", "length"]
+    docs = documents_of.limit(60).selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in extra])
+    odd = docs.limit(3).selectExpr(*[f"cast(null AS {t}) AS {c}" for c, t in docs.dtypes])
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).cache()
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        out = apply(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        row = out.where("doc_id IS NOT NULL").head()
+        assert all(row[c] == f"{c}{row.doc_id}" for c in extra), name
+        assert apply(spark, docs.limit(0), SMALL).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert packed.count() >= 60 and words("a b") == ["a", "b"]
