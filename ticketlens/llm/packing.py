@@ -8,6 +8,7 @@ the emptiest sequences of all, exchange pieces: they are dealt anew and packed a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,11 @@ ROUNDS = 3
 LOOSE_FILL = 0.98
 #: Stands between words while they are encoded; a token of its own.
 _BETWEEN = "\x01"
+#: Words that stay one piece as they are; their bytes beyond ASCII stand for characters that
+#: the vocabulary writes them with: printable Latin-1 as it is, others counted up from 256.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Distinct words whose ids a task remembers; beyond it starts anew.
 REMEMBERED_WORDS = 600_000
 
@@ -49,6 +55,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         (self.between,) = self._encode(_BETWEEN)
         self._forget()
 
@@ -57,15 +64,22 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        self.ids = np.zeros(0, np.uint32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a word of plain small letters: one piece, ready for the merges."""
+        data = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(data)]
+
     def _learn(self, words: list[str]) -> None:
-        ids, sizes = [], []
-        plain = [w for w in words if _BETWEEN not in w]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            found = np.array(self._encode(f" {_BETWEEN} ".join(part)), np.uint32)
+        letters = [w for w in words if _LETTERS.fullmatch(w)]
+        coded = [self._letters(w) for w in letters]
+        ids = [np.fromiter((i for c in coded for i in c), np.uint32)]
+        sizes = [np.fromiter(map(len, coded), np.int64, len(coded))]
+        mixed = [w for w in words if _BETWEEN not in w and not _LETTERS.fullmatch(w)]
+        for at in range(0, len(mixed), 512):
+            found = np.array(self._encode(f" {_BETWEEN} ".join(mixed[at : at + 512])), np.uint32)
             marks = np.flatnonzero(found == self.between)
             ids.append(np.delete(found, marks))
             sizes.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
@@ -73,12 +87,11 @@ class WordTokenizer:
         for w in odd:
             found = self._encode(w)
             ids.append(np.array(found, np.uint32))
-            sizes.append([len(found)])
+            sizes.append(np.array([len(found)]))
         size = np.concatenate(sizes)
-        have = len(self.ids[0])
-        begin = have + np.cumsum(size) - size
-        self.known.update(zip([*plain, *odd], range(len(self.size), len(self.size) + len(words))))
-        self.ids = [np.concatenate([*self.ids, *ids])]
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.known.update(zip([*letters, *mixed, *odd], range(len(self.size), len(self.size) + len(words))))
+        self.ids = np.concatenate([self.ids, *ids])
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +108,7 @@ class WordTokenizer:
         size = self.size[word]
         ends = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(self.begin[word] - ends[:-1], size) + np.arange(ends[-1])
-        return self.ids[0][at], ends[starts]
+        return self.ids[at], ends[starts]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
