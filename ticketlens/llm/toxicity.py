@@ -9,6 +9,7 @@ are the labels on which a linear classifier over words and word beginnings is tr
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,15 @@ from ticketlens.session import stage
 TRAIN_ROWS = 12_000
 #: Words and word beginnings the classifier knows, for and against.
 FEATURES_FOR, FEATURES_AGAINST = 1_500, 300
-#: Lexicon voters; a lexicon's entries are every LEXICONS-th of the strongest.
-LEXICONS, LEXICON_ENTRIES = 30, 240
+#: Lexicon voters, and entries that are dealt to them.
+LEXICONS, LEXICON_ENTRIES = 24, 240
 BEGINNINGS = (4, 5, 6, 7)
 ROUNDS = 5
 #: Residual agreement beyond which two voters count as one.
-CORRELATED = 0.25
+CORRELATED = 0.6
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOTHING: tuple[tuple[int, ...], int] = ((), -1)
 
 
 def train_fold() -> Column:
@@ -53,79 +56,87 @@ def word_features(word: str) -> list[str]:
     return [letters, *(letters[:n] + "*" for n in BEGINNINGS if len(letters) >= n)]
 
 
-# -- pattern voters ------------------------------------------------------------------
-
-
-def _share(pattern: str, least: float):
-    found = re.compile(pattern)
-    return lambda text: len(text) > 0 and sum(map(len, found.findall(text))) >= least * len(text)
-
+# -- features and votes of texts -----------------------------------------------------
 
-#: Voters that look at how a text is written.
+#: Pattern voters: bytes of a kind, and the share of a text from which they fire.
 PATTERNS = (
-    _share(r"[A-Z]", 0.4),
-    _share(r"!", 0.03),
-    _share(r"[#$%&*]", 0.1),
-    _share(r"[0-9]", 0.1),
-    _share(r"\|", 0.02),
-    _share(r"[^\x00-\x7f]", 0.08),
-    lambda text: len(text) < 200,
-    lambda text: len(text) > 10_000,
+    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.4),
+    (b"!", 0.03),
+    (b"#$%&*", 0.1),
+    (b"0123456789", 0.1),
+    (b"|", 0.02),
+    (bytes(range(128, 256)), 0.08),
 )
-
-VOTERS = LEXICONS + len(PATTERNS)
-
-
-# -- features and votes of texts -----------------------------------------------------
+#: Voters on the share of a text's words that any lexicon has, in per cent.
+OVERALL = (0.5, 1.0, 1.5)
+#: A lexicon fires once if it has a word of the text, and again if it has this share of them.
+DENSE = 0.5
+VOTERS = 2 * LEXICONS + len(OVERALL) + len(PATTERNS)
+#: A feature's value is its share of a text's words in per cent, up to this.
+MOST_SHARE = 3.0
 
 
 class Reader:
-    """Feature numbers and votes of texts, for a fixed vocabulary."""
+    """Features and votes of texts, for a fixed vocabulary and fixed lexicons."""
 
     def __init__(self, vocabulary: dict[str, int], lexicon: dict[str, int]):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[list[int], int]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], int]] = {}
 
-    def _word(self, word: str) -> tuple[list[int], int]:
+    def _word(self, word: str) -> tuple[tuple[int, ...], int]:
         names = word_features(word)
-        votes = 0
-        for name in names:
-            if name in self.lexicon:
-                votes |= 1 << self.lexicon[name]
-        return [self.vocabulary[n] for n in names if n in self.vocabulary], votes
-
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows and features of all texts (each pair once), and the lexicon votes per text."""
+        numbers = tuple(self.vocabulary[n] for n in names if n in self.vocabulary)
+        votes = [self.lexicon[n] for n in names if n in self.lexicon]
+        return (numbers, votes[0] if votes else -1) if numbers or votes else _NOTHING
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, features and values of all texts, and per text the share of each lexicon's words.
+
+        The last feature, after those of the vocabulary, is the share of all lexicons.
+        """
         words, starts = split_words(texts)
         codes, distinct = word_codes(words)
-        if len(self.known) > 500_000:
+        if len(self.known) > 150_000:
             self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        self.known.update((w, self._word(w)) for w in new)
+        self.known.update((w, self._word(w)) for w in distinct if w not in self.known)
         found = [self.known[w] for w in distinct]
+        texts_read, n = len(starts) - 1, np.maximum(np.diff(starts), 1)
+        row = np.repeat(np.arange(texts_read), np.diff(starts))
+        lexicon = np.fromiter((v for _, v in found), np.int64, len(found))[codes]
+        firing = lexicon >= 0
+        hits = np.bincount(row[firing] * LEXICONS + lexicon[firing], minlength=texts_read * LEXICONS)
+        share = 100.0 * hits.reshape(texts_read, LEXICONS) / n[:, None]
         count = np.fromiter((len(f) for f, _ in found), np.int64, len(found))
         begin = np.cumsum(count) - count
         table = np.fromiter((x for f, _ in found for x in f), np.int64, count.sum())
-        votes = np.fromiter((v for _, v in found), np.int64, len(found))
-        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        hit = count[codes] > 0 if len(codes) else np.zeros(0, bool)
+        hit = count[codes] > 0
         code, at = codes[hit], row[hit]
-        n = count[code]
-        index = np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs = np.unique(np.repeat(at, n) * (1 << 20) + table[index])
-        mask = np.zeros(len(starts) - 1, np.int64)
-        voting = votes[codes] != 0 if len(codes) else np.zeros(0, bool)
-        np.bitwise_or.at(mask, row[voting], votes[codes][voting])
-        return pairs >> 20, pairs & ((1 << 20) - 1), mask
-
-    def vote(self, texts: pa.Array) -> np.ndarray:
-        """All votes of each text, one bit per voter."""
-        mask = self.read(texts)[2]
-        for i, text in enumerate(texts.to_pylist()):
-            for k, fires in enumerate(PATTERNS):
-                if fires(text or ""):
-                    mask[i] |= 1 << (LEXICONS + k)
-        return mask
+        m = count[code]
+        index = np.repeat(begin[code] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        pairs, times = np.unique(np.repeat(at, m) * (1 << 20) + table[index], return_counts=True)
+        value = np.minimum(100.0 * times / n[pairs >> 20], MOST_SHARE)
+        total = np.minimum(share.sum(axis=1), MOST_SHARE)
+        some = np.flatnonzero(total)
+        rows = np.concatenate([pairs >> 20, some])
+        features = np.concatenate([pairs & ((1 << 20) - 1), np.full(len(some), len(self.vocabulary))])
+        order = np.argsort(rows, kind="stable")
+        return rows[order], features[order], np.concatenate([value, total[some]])[order], share
+
+    def votes(self, texts: pa.Array, share: np.ndarray) -> np.ndarray:
+        """All votes of each text, one bit per voter; ``share`` is that of ``read``."""
+        data = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = pc.binary_length(data).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        raw = np.frombuffer("".join(data.to_pylist()).encode(), np.uint8)
+        written = []
+        for kind, least in PATTERNS:
+            inside = np.zeros(256, np.uint8)
+            inside[list(kind)] = 1
+            before = np.concatenate([[0], np.cumsum(inside[raw], dtype=np.int64)])
+            written.append((before[ends] - before[ends - size] >= least * size) & (size > 0))
+        overall = share.sum(axis=1)[:, None] >= np.array(OVERALL)
+        fires = np.concatenate([share > 0, share >= DENSE, overall, np.stack(written, axis=1)], axis=1)
+        return (fires.astype(np.int64) << np.arange(VOTERS)).sum(axis=1)
 
 
 def _bits(mask: np.ndarray) -> np.ndarray:
@@ -176,21 +187,31 @@ def _expected(masks: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
     return out
 
 
-def fit_label_model(masks: DataFrame, start: LabelModel) -> LabelModel:
-    """Expectation maximisation over the counted votes (``mask``, ``times``) of all documents."""
+def fit_label_model(masks: DataFrame, start: LabelModel, known: np.ndarray | None = None) -> LabelModel:
+    """Expectation maximisation over the counted votes (``mask``, ``times``) of all documents.
+
+    ``known`` holds the same sums (class sizes, then votes per class) of labelled rows. Scaled
+    to weigh as much as all documents, they keep the hidden class from drifting to whatever
+    else votes have in common, such as the length of a text.
+    """
     model = start
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 2
         s = _expected(masks, model, pairs=last)
-        n, fired = s[:2], s[2 : 2 + 2 * VOTERS].reshape(2, VOTERS)
-        if n.sum() == 0:
+        if s[:2].sum() == 0:
             return model
+        seen = s[: 2 + 2 * VOTERS]
+        if known is not None:
+            seen = seen + known * (s[:2].sum() / known[:2].sum())
+        n, fired = seen[:2], seen[2:].reshape(2, VOTERS)
         rates = (fired + 0.05) / (n[:, None] + 0.1)
         model = LabelModel(float(n[1] / n.sum()), rates, model.weights)
         if last:
-            joint = s[2 + 2 * VOTERS :].reshape(2, VOTERS, VOTERS) / np.maximum(n, 1e-9)[:, None, None]
-            spread = np.sqrt(np.maximum(rates * (1 - rates), 1e-9))
-            excess = (joint - rates[:, :, None] * rates[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
+            own = np.maximum(s[:2], 1e-9)
+            mean = s[2 : 2 + 2 * VOTERS].reshape(2, VOTERS) / own[:, None]
+            joint = s[2 + 2 * VOTERS :].reshape(2, VOTERS, VOTERS) / own[:, None, None]
+            spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
+            excess = (joint - mean[:, :, None] * mean[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
             tied = (np.abs(excess).max(axis=0) > CORRELATED) | np.eye(VOTERS, dtype=bool)
             model = LabelModel(model.prior, rates, 1 / tied.sum(axis=1))
     return model
@@ -202,15 +223,16 @@ def fit_label_model(masks: DataFrame, start: LabelModel) -> LabelModel:
 @dataclass
 class ToxicityModel:
     vocabulary: dict[str, int]
+    lexicon: dict[str, int]
     weights: np.ndarray
     bias: float
 
     def scorer(self):
-        reader = Reader(self.vocabulary, {})
+        reader = Reader(self.vocabulary, self.lexicon)
 
         def score(texts: pa.Array) -> np.ndarray:
-            row, feature, _ = reader.read(texts)
-            z = self.bias + np.bincount(row, self.weights[feature], minlength=len(texts))
+            row, feature, value, _ = reader.read(texts)
+            z = self.bias + np.bincount(row, self.weights[feature] * value, minlength=len(texts))
             return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
         return score
@@ -242,22 +264,32 @@ def _strongest(counts: DataFrame, clean: int, toxic: int) -> tuple[list[str], li
     a, b = F.col("toxic"), F.col("clean")
     p, q, r = (a + 0.5) / (toxic + 1.0), (b + 0.5) / (clean + 1.0), (a + b + 1.0) / (clean + toxic + 2.0)
     gain = a * F.log(p / r) + b * F.log(q / r) + (toxic - a) * F.log((1 - p) / (1 - r)) + (clean - b) * F.log((1 - q) / (1 - r))
-    scored = counts.where(a + b >= 3).withColumn("gain", F.when(p > q, gain).otherwise(-gain))
-    up = scored.where("gain > 0").orderBy(F.desc("gain"), "feature").limit(FEATURES_FOR)
+    # Of so many features tried, chance gives some a gain; those only say that a text is long.
+    tried = counts.where(a + b >= 3)
+    scored = tried.where(gain >= math.log(1 + tried.count())).withColumn("gain", F.when(p > q, gain).otherwise(-gain))
+    up = scored.where((F.col("gain") > 0) & (p >= 2 * q)).orderBy(F.desc("gain"), "feature").limit(FEATURES_FOR)
     down = scored.where("gain < 0").orderBy("gain", "feature").limit(FEATURES_AGAINST)
     return [r[0] for r in up.select("feature").collect()], [r[0] for r in down.select("feature").collect()]
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, target: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+def _lexicons(strongest: list[str]) -> dict[str, int]:
+    """The lexicon of each entry. Entries that begin alike mostly fire together: they share one."""
+    stems: dict[str, int] = {}
+    return {name: stems.setdefault(name[: BEGINNINGS[0]], len(stems)) % LEXICONS for name in strongest}
+
+
+def _logistic(
+    row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.ndarray, size: int
+) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets, ridge penalty, full-batch Adam."""
     n = len(target)
     w, m, v = (np.zeros(size + 1) for _ in range(3))
     share = np.clip(target.mean(), 0.01, 0.99)
     w[size] = np.log(share / (1 - share))
     for t in range(1, 301):
-        z = w[size] + np.bincount(row, w[col], minlength=n)
+        z = w[size] + np.bincount(row, w[col] * value, minlength=n)
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.append(np.bincount(col, error[row], minlength=size), error.sum()) / n
+        g = np.append(np.bincount(col, error[row] * value, minlength=size), error.sum()) / n
         g[:size] += 2e-4 * w[:size]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -278,44 +310,51 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
-        return ToxicityModel({}, np.zeros(0), -40.0)
+        return ToxicityModel({}, {}, np.zeros(1), -40.0)
     up, down = _strongest(stage(_feature_counts(sample), "features"), clean, toxic)
     vocabulary = {name: i for i, name in enumerate([*up, *down])}
-    lexicon = {name: i % LEXICONS for i, name in enumerate(up[:LEXICON_ENTRIES])}
+    lexicon = _lexicons(up[:LEXICON_ENTRIES])
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader({}, lexicon)
         for batch in in_pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(reader.vote(batch.column("text")))], ["mask"])
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([pa.array(reader.votes(texts, reader.read(texts)[3]))], ["mask"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(vocabulary, lexicon)
         for batch in in_pieces(batches, "text"):
-            row, feature, _ = reader.read(batch.column("text"))
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            row, feature, value, share = reader.read(batch.column("text"))
+            cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("toxic"),
-                    pa.array(reader.vote(batch.column("text"))),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature.astype(np.int32))),
+                    pa.array(reader.votes(batch.column("text"), share)),
+                    pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))),
+                    pa.ListArray.from_arrays(cuts, pa.array(value)),
                 ],
-                ["toxic", "mask", "features"],
+                ["toxic", "mask", "features", "values"],
             )
 
     masks = docs.select(whole_text().alias("text")).mapInArrow(votes, "mask bigint")
     masks = stage(masks.groupBy("mask").agg(F.count(F.lit(1)).alias("times")), "votes")
     # Bounded by train_rows; a text has as many features as the vocabulary at most.
-    seen = sample.mapInArrow(read, "toxic int, mask bigint, features array<int>").toArrow()
+    seen = sample.mapInArrow(read, "toxic int, mask bigint, features array<int>, values array<double>").toArrow()
     bits, label = _bits(seen.column("mask").to_numpy()), seen.column("toxic").to_numpy()
     rates = np.stack([(bits[label == y].sum(axis=0) + 0.5) / ((label == y).sum() + 1.0) for y in (0, 1)])
-    model = fit_label_model(masks, LabelModel(toxic / (clean + toxic), rates, np.ones(VOTERS)))
+    known = np.concatenate([[clean, toxic], *(bits[label == y].sum(axis=0) for y in (0, 1))])
+    model = fit_label_model(masks, LabelModel(toxic / (clean + toxic), rates, np.ones(VOTERS)), known)
     target = model.posterior(bits)
-    features = seen.column("features").combine_chunks()
+    features, values = (seen.column(c).combine_chunks() for c in ("features", "values"))
     size = np.diff(features.offsets.to_numpy())
     weights, bias = _logistic(
-        np.repeat(np.arange(len(size)), size), features.flatten().to_numpy().astype(np.int64), target, len(vocabulary)
+        np.repeat(np.arange(len(size)), size),
+        features.flatten().to_numpy().astype(np.int64),
+        values.flatten().to_numpy(),
+        target,
+        len(vocabulary) + 1,
     )
-    return ToxicityModel(vocabulary, weights, bias)
+    return ToxicityModel(vocabulary, lexicon, weights, bias)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
