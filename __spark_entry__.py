@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,22 @@ from ticketlens.operators.labeling import (  # noqa: E402
     render_prompts,
     unlabelled,
 )
-from ticketlens.plans.overview import all_summaries, context_table, pick_summary, summary_cells  # noqa: E402
-from ticketlens.plans.models import INSIGHT_KEYS, fact, insights, staging  # noqa: E402
+from ticketlens.plans.overview import all_summaries, context_table, dashboard, pick_summary, summary_cells  # noqa: E402
+from ticketlens.plans.models import INSIGHT_KEYS, fact, insights, quarantine, staging  # noqa: E402
 from ticketlens.plans.narrative import write_narrative  # noqa: E402
+from ticketlens.plans.warehouse import Warehouse  # noqa: E402
 from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler, sample_writer  # noqa: E402
-from ticketlens.samples.tickets import raw_tickets, read_table, source_tickets  # noqa: E402
-from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS  # noqa: E402
+from ticketlens.samples.tickets import raw_tickets, source_tickets  # noqa: E402
+from ticketlens.samples.warehouse import (  # noqa: E402
+    faulty_raw,
+    reread,
+    reread_short_rows,
+    resumed_labels,
+    sample_warehouse,
+)
+from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS, STAGING_VIEW  # noqa: E402
 from ticketlens.session import DEFAULT_CONF, scratch_path, stage  # noqa: E402
-from ticketlens.taxonomy import PRIMARY_LABELS  # noqa: E402
-from ticketlens.sources.tables import append_narrative, latest_narrative, reset_narratives  # noqa: E402
+from ticketlens.sources.tables import append_table, latest_narrative, reset_narratives  # noqa: E402
 from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,51 +165,86 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = write_narrative(raw_tickets(spark, sf_dir, body=False), sample_writer)
-    # Under another name than the warehouse's own table, which may exist.
+    text = write_narrative(sample_warehouse(spark, sf_dir).raw, sample_writer)
+    # Under another name than the warehouse's own table, which keeps its narrative.
     table = "sample_narratives"
     reset_narratives(spark, table, scratch_path(spark, "narratives"))
-    append_narrative(spark, text, table)
+    stamps = [("an early one", "2024-01-01 00:00:00"), ("Also late", "2024-03-01 00:00:00"), (text, "2024-03-01 00:00:00")]
+    stored = spark.createDataFrame(stamps, "narrative STRING, at STRING")
+    append_table(stored.select(F.col("at").cast("timestamp").alias("generated_at"), "narrative"), table)
     return latest_narrative(spark, table)
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Four summaries read the cells: store them, so that the fact rows are scanned once.
-    cells = stage(summary_cells(_fact(spark, sf_dir)), "cells")
+    house = sample_warehouse(spark, sf_dir)
     filters = {"plan": "Standard", "churn": "Churned Only"}
-    return context_table(apply_filters(cells, **filters), None, **filters)
+    return context_table(apply_filters(house.cells, **filters), house.narrative, **filters)
+
+
+def _dashboard_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    house = sample_warehouse(spark, sf_dir)
+    parts = dashboard(house.cells, house.fact, plan="Standard", churn="Churned Only")
+    shown = {
+        "kpi_cards": ("card", "value"),
+        "volume_by_primary": ("primary_label", "tickets"),
+        "churn_risk_by_primary": ("primary_label", "churn_signals"),
+        "ticket_explorer": ("ticket_id", "created_at"),
+    }
+    rows = [
+        parts[name].select(F.lit(name).alias("part"), F.col(k).alias("item"), F.col(v).cast("string").alias("value"))
+        for name, (k, v) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    house = sample_warehouse(spark, sf_dir)
+    counts = [t.select(F.lit(n).alias("model"), F.lit(1).alias("one")) for n, t in house.models.items()]
+    return reduce(DataFrame.unionByName, counts).groupBy("model").agg(F.count("one").alias("rows"))
+
+
+def _stored(pick: Callable[[Warehouse], DataFrame]) -> Query:
+    return lambda spark, sf_dir: pick(sample_warehouse(spark, sf_dir))
+
+
+def _csv_of(*columns: str) -> Query:
+    return lambda spark, sf_dir: reread(spark, source_tickets(spark, sf_dir).selectExpr(*columns))
 
 
 # -- assignment ----------------------------------------------------------------------
 
 
+#: Review desks and the share of tickets, in percent, that each can take.
+_DESKS = {"first line": 60, "second line": 30, "specialist": 10}
+#: By urgency, who answers: urgent tickets go to more experienced desks.
+_DESKS_BY_URGENCY = {
+    "1": _DESKS,
+    "2": {"first line": 40, "second line": 40, "specialist": 20},
+    "3": {"first line": 10, "second line": 40, "specialist": 50},
+}
+
+
 def _weighted_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = read_table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS order_key",
-        "(o_orderkey * 13 + o_custkey) % 6 AS p",
-        "(o_orderkey * 31 + o_custkey * 7) % 100 AS plan_bucket",
-        "(o_orderkey * 37 + o_custkey * 11) % 100 AS status_bucket",
-        "(o_orderkey * 41 + o_custkey * 3) % 100 AS mood_bucket",
-    )
-    labelled = keys.withColumn("primary_label", assign.pick_from("p", PRIMARY_LABELS))
-    return labelled.select(
-        "order_key",
-        "primary_label",
-        assign.weighted_pick("plan_bucket", assign.PLAN_WEIGHTS).alias("plan_type"),
-        assign.weighted_pick("status_bucket", assign.STATUS_WEIGHTS).alias("status"),
-        assign.weighted_pick_by("primary_label", "mood_bucket", assign.SENTIMENT_WEIGHTS).alias("sentiment"),
+    raw = raw_tickets(spark, sf_dir, body=False).where("ticket_id IS NOT NULL")
+    number = "cast(substring(ticket_id, 5) AS BIGINT)"
+    dealt = raw.selectExpr("ticket_id", "urgency", f"({number} * 31 + 7) % 100 AS bucket")
+    return dealt.select(
+        "ticket_id",
+        "urgency",
+        assign.weighted_pick("bucket", _DESKS).alias("desk"),
+        assign.weighted_pick_by("urgency", "bucket", _DESKS_BY_URGENCY).alias("urgent_desk"),
     )
 
 
 def _ticket_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = F.col("c_custkey"), F.col("copy_no")
-    customers = read_table(spark, sf_dir, "customer").select("c_custkey")
-    copies = F.when(c % 10 < 3, 2 + c % 6).otherwise(1 + c % 5)
-    return assign.fan_out(customers, copies).select(
-        X.numbered_id("USR-", c, 5).alias("user_id"),
-        n.alias("ticket_no"),
-        X.hashed_id("TKT-", c.cast("string"), n.cast("string")).alias("ticket_id"),
-        X.days_before(F.lit("2024-06-30").cast("date"), (c * 37 + n * 11) % 181).alias("created_at"),
+    """Reminders for tickets that are not resolved: one per week of their urgency."""
+    stg = staging(raw_tickets(spark, sf_dir, body=False)).where("status <> 'Resolved'")
+    n = F.col("reminder_no")
+    return assign.fan_out(stg.select("ticket_id", "urgency", "created_at"), F.col("urgency"), "reminder_no").select(
+        "ticket_id",
+        "reminder_no",
+        X.hashed_id("REM-", F.col("ticket_id"), n.cast("string")).alias("reminder_id"),
+        X.days_before(F.col("created_at"), -7 * n).alias("due_on"),
     )
 
 
@@ -210,6 +253,8 @@ def _shuffled_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.shuffle_rows(ids.dropna(), "ticket_id")
 
 
+_FLAGS = ["ticket_id", "status", "is_negative_sentiment", "is_high_urgency", "is_churn_risk_signal", "ticket_month"]
+
 _QUERIES: dict[str, Query] = {
     # models
     "raw_support_tickets": lambda spark, d: raw_tickets(spark, d),
@@ -241,6 +286,22 @@ _QUERIES: dict[str, Query] = {
     "volume_by_primary_from_cells": _on_cells(summaries.volume_by_primary, churn="Active Only"),
     "context_table": _context,
     "latest_narrative": _latest_narrative,
+    # rows that can't be cast
+    "stg_lenient": lambda spark, d: staging(faulty_raw(spark, d), lenient=True).drop("ticket_body"),
+    "stg_quarantine": lambda spark, d: quarantine(faulty_raw(spark, d)).drop("ticket_body"),
+    "fct_null_inputs": lambda spark, d: fact(staging(faulty_raw(spark, d), lenient=True)).select(*_FLAGS),
+    "kpis_null_inputs": lambda spark, d: summaries.kpis(fact(staging(faulty_raw(spark, d), lenient=True))),
+    # stored tables, as a user builds and reads them
+    "stored_raw": _stored(lambda house: house.raw),
+    "stored_staging": _stored(lambda house: house.spark.table(STAGING_VIEW)),
+    "stored_fact": _stored(lambda house: house.fact),
+    "stored_insights": _stored(lambda house: house.insights),
+    "stored_cells": _stored(lambda house: house.cells),
+    "stored_row_counts": _row_counts,
+    "quality_report": _stored(lambda house: house.quality),
+    "dashboard_parts": _dashboard_parts,
+    "top20_labelled_pairs": _stored(lambda house: summaries.top_pairs(house.raw, 20)),
+    "labels_resumed": resumed_labels,
     # taxonomy
     "taxonomy_pairs": _on_fact(lambda df: quality.taxonomy_volume(df, quality.PAIR)),
     "taxonomy_leaves": _on_fact(lambda df: quality.taxonomy_volume(df, quality.LEAF)),
@@ -263,6 +324,9 @@ _QUERIES: dict[str, Query] = {
     "dq_ranges": _checked(lambda df: quality.run_checks(df, quality.range_checks())),
     # files and rows
     "csv_roundtrip": _csv_roundtrip,
+    "csv_reordered_columns": _csv_of(*reversed(CSV_COLUMNS)),
+    "csv_extra_columns": _csv_of("priority", *CSV_COLUMNS[6:], "priority AS other", *CSV_COLUMNS[:6]),
+    "csv_short_rows": lambda spark, d: reread_short_rows(spark, source_tickets(spark, d)),
     "weighted_assignment": _weighted_assignment,
     "ticket_fanout": _ticket_fanout,
     "shuffled_tickets": _shuffled_tickets,

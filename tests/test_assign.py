@@ -5,28 +5,32 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
 from ticketlens.operators import assign as A
+from ticketlens.samples.tickets import SENTIMENT_WEIGHTS
 from ticketlens.session import session_conf
 
+PLAN_WEIGHTS = {"Basic": 40, "Standard": 35, "Premium": 25}
+STATUS_WEIGHTS = {"Open": 15, "In Progress": 20, "Resolved": 55, "Escalated": 10}
+
 
 def test_weights_fill_their_ranges(spark):
-    rows = spark.range(100).select("id", A.weighted_pick("id", A.STATUS_WEIGHTS).alias("v")).orderBy("id").collect()
-    assert Counter(r["v"] for r in rows) == A.STATUS_WEIGHTS
+    rows = spark.range(100).select("id", A.weighted_pick("id", STATUS_WEIGHTS).alias("v")).orderBy("id").collect()
+    assert Counter(r["v"] for r in rows) == STATUS_WEIGHTS
     assert [rows[i]["v"] for i in (0, 14, 15, 34, 35, 89, 90, 99)] == [
         "Open", "Open", "In Progress", "In Progress", "Resolved", "Resolved", "Escalated", "Escalated",
     ]
 
 
 def test_all_weights_add_up_to_a_hundred():
-    for weights in [A.PLAN_WEIGHTS, A.STATUS_WEIGHTS, *A.SENTIMENT_WEIGHTS.values()]:
+    for weights in [PLAN_WEIGHTS, STATUS_WEIGHTS, *SENTIMENT_WEIGHTS.values()]:
         assert sum(weights.values()) == 100
 
 
 def test_weights_by_group(spark):
-    labels = spark.createDataFrame([(p,) for p in [*A.SENTIMENT_WEIGHTS, "Other"]], "label STRING")
+    labels = spark.createDataFrame([(p,) for p in [*SENTIMENT_WEIGHTS, "Other"]], "label STRING")
     buckets = spark.range(100).withColumnRenamed("id", "bucket")
     joined = labels.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    rows = joined.select("label", A.weighted_pick_by("label", "bucket", A.SENTIMENT_WEIGHTS).alias("v")).collect()
-    for label, weights in A.SENTIMENT_WEIGHTS.items():
+    rows = joined.select("label", A.weighted_pick_by("label", "bucket", SENTIMENT_WEIGHTS).alias("v")).collect()
+    for label, weights in SENTIMENT_WEIGHTS.items():
         assert Counter(r["v"] for r in rows if r["label"] == label) == weights
     assert {r["v"] for r in rows if r["label"] == "Other"} == {None}
     assert buckets.count() == 100

@@ -17,7 +17,15 @@ from ticketlens.sources.tables import (
     reset_narratives,
     row_count,
 )
-from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv
+from ticketlens.sources.ticket_csv import (
+    file_headers,
+    malformed,
+    parse_file,
+    read_ticket_csv,
+    read_ticket_rows,
+    well_formed,
+    write_ticket_csv,
+)
 
 
 def write_rows(path, *rows):
@@ -57,10 +65,39 @@ def test_large_files_can_be_shared_by_tasks(spark, tmp_path):
         assert df.where(r"""ticket_body = 'a "b", c'""").count() == 5000
 
 
-def test_a_malformed_file_fails(spark, tmp_path):
-    (tmp_path / "t.csv").write_text(",".join(CSV_COLUMNS) + "\nonly,two\n")
-    with pytest.raises(Exception):
-        read_ticket_csv(spark, str(tmp_path / "t.csv")).collect()
+def test_columns_go_by_name_in_each_file(spark, tmp_path):
+    other = ["user_id", "extra", *[c for c in CSV_COLUMNS if c not in ("user_id", "channel")]]
+    write_rows(tmp_path / "a b.csv", {"ticket_id": "T1", "user_id": "U1"})
+    (tmp_path / "b.csv").write_text(",".join(other) + "\nU2,x," + ",".join(f"v{i}" if c != "ticket_id" else "T2" for i, c in enumerate(other[2:])) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = {r["ticket_id"]: r for r in read_ticket_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"T1", "T2"}
+    assert (rows["T1"]["user_id"], rows["T2"]["user_id"], rows["T2"]["channel"]) == ("U1", "U2", None)
+    assert rows["T2"]["created_at"] == f"v{len(other) - 3}"
+    assert [f for files in file_headers(spark, str(tmp_path)).values() for f in files]
+
+
+def test_short_rows_are_padded_and_long_ones_kept_apart(spark, tmp_path):
+    head = ",".join(CSV_COLUMNS)
+    (tmp_path / "t.csv").write_text(f'{head}\r\nT1,U1\r\nT2,"U,2",{",".join("x" * 10)}\r\nT3,U3,{",".join("y" * 12)}\r\n')
+    rows = read_ticket_rows(spark, str(tmp_path / "t.csv"), True)
+    good = {r["ticket_id"]: r for r in well_formed(rows).collect()}
+    assert set(good) == {"T1", "T2"} and good["T1"]["created_at"] is None
+    assert (good["T2"]["user_id"], good["T2"]["created_at"]) == ("U,2", "x")
+    (bad,) = malformed(rows).collect()
+    assert (bad["ticket_id"], bad["surplus_field"]) == ("T3", "y") and bad["source_file"].endswith("t.csv")
+    (tmp_path / "none.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="none.csv"):
+        read_ticket_csv(spark, str(tmp_path))
+
+
+def test_whole_files_parse_as_tasks_do(spark, tmp_path):
+    write_rows(tmp_path / "t.csv", {"ticket_body": 'a "b"\nc'}, {"ticket_id": "NA"}, {"created_at": "x"})
+    with open(tmp_path / "t.csv", "a") as f:
+        f.write("short,row\r\n" + ",".join("z" * 14) + "\r\n")
+    rows = list(parse_file((tmp_path / "t.csv").read_bytes()))
+    want = read_ticket_rows(spark, str(tmp_path / "t.csv"), True).drop("source_file")
+    assert sorted(map(str, rows)) == sorted(str({c: r[c] for c in want.columns}) for r in want.collect())
 
 
 def test_round_trip_of_whole_documents_in_small_files(spark, tmp_path):
@@ -114,6 +151,11 @@ def test_a_cluster_must_name_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session())
     assert shared_dir(session(**{"spark.checkpoint.dir": "hdfs:///tmp/"})) == "hdfs:///tmp/ticketlens/app"
+    for local in ("/tmp", "file:/tmp/", "file:///var/tmp"):
+        with pytest.raises(ValueError, match="shared"):
+            shared_dir(session(**{"spark.checkpoint.dir": local}))
+    with pytest.raises(ValueError):
+        shared_dir(session(**{"spark.master": "local-cluster[2,1,1024]"}))
     assert shared_dir(session(**{"spark.master": "local[2]"})).startswith("/")
 
 

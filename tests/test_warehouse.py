@@ -1,9 +1,13 @@
 import json
+import os
+import sys
 
 import pytest
 from conftest import SMALL, dicts
 from test_sources import write_rows
 
+from pyspark import cloudpickle
+
 from ticketlens.operators.filters import apply_filters
 from ticketlens.operators.summaries import kpis
 from ticketlens.plans import narrative as N
@@ -16,6 +20,9 @@ from ticketlens.samples.tickets import source_tickets
 from ticketlens.schemas import INSIGHTS_TABLE, RAW_COLUMNS, RAW_TABLE
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @pytest.fixture(scope="module")
 def house(spark, tmp_path_factory):
     house = Warehouse(spark, str(tmp_path_factory.mktemp("tables")))
@@ -29,7 +36,8 @@ def test_tables(spark, house):
     assert spark.table(RAW_TABLE).columns == RAW_COLUMNS
     stg = spark.table("stg_support_tickets")
     assert house.fact.count() == stg.count() and len(house.fact.columns) == 18
-    assert spark.catalog.getTable("stg_support_tickets").tableType == "TEMPORARY"
+    assert spark.catalog.getTable("stg_support_tickets").tableType == "VIEW"
+    assert spark.newSession().table("stg_support_tickets").count() == stg.count()
     assert sorted(map(str, house.insights.collect())) == sorted(map(str, insights(house.fact).collect()))
     assert len(spark.table(INSIGHTS_TABLE).columns) == 12
 
@@ -64,21 +72,21 @@ def test_rebuilding_replaces(spark, house):
     assert dicts(house.narrative) == [{"narrative": "short"}]
 
 
-def test_narrative_prompt(raw_rows, monkeypatch):
+def test_narrative_prompt(raw_rows):
     rows = raw_rows(
         {"is_churned": "True", "ticket_id": None},
         {"is_churned": "True", "secondary_label": None},
         {"primary_label": "Onboarding"},
+        *[{"primary_label": f"Made up {i}", "secondary_label": None, "is_churned": "True"} for i in range(1500)],
     )
     lines = N.narrative_prompt(rows).splitlines()
     assert [line for line in lines if line.startswith("*")] == [
         "* Billing / Failed Payment: 1",
         "* Onboarding / Failed Payment: 1",
         "* Billing: 2",
+        "* Other labels: 1500",
     ]
-    monkeypatch.setattr(N, "MAX_PRIMARY_LABELS", 0)
-    with pytest.raises(ValueError):
-        N.narrative_prompt(rows)
+    assert N.narrative_prompt(rows, request="Say it.").endswith("\n\nSay it.")
 
 
 def test_runner_builds_from_files(spark, tmp_path):
@@ -91,6 +99,7 @@ def test_runner_builds_from_files(spark, tmp_path):
     fct = spark.table("fct_support_tickets")
     assert fct.count() == 30 and fct.where("is_high_urgency AND is_negative_sentiment").count() == 30
     assert spark.table(RAW_TABLE).count() == 31
+    assert [r["ticket_id"] for r in spark.table("quarantined_support_tickets").collect()] == ["TKT-BAD"]
     assert spark.table("support_insights").agg({"total_tickets": "sum"}).first()[0] == 30
     assert spark.table("product_gap_narrative").first()["narrative"].endswith(" lines")
 
@@ -114,8 +123,8 @@ def test_a_rerun_asks_only_for_what_is_missing(spark, csv_tickets, tmp_path):
             return json.dumps([{**t, "urgency": 1} for t in request.tickets])
 
         options = {"stable_batches": True, "batch_size": 5, "resume": True}
-        raw = house.load_labelled(tickets, labeler, **options)
-        return raw, sorted(line for f in asked.iterdir() for line in f.read_text().splitlines())
+        house.load_labelled(tickets, labeler, **options)
+        return spark.table(RAW_TABLE), sorted(line for f in asked.iterdir() for line in f.read_text().splitlines())
 
     spark.sql("DROP TABLE IF EXISTS support_ticket_labels")
     raw, asked = run(False, tickets)
@@ -126,16 +135,68 @@ def test_a_rerun_asks_only_for_what_is_missing(spark, csv_tickets, tmp_path):
     assert run(True, tickets)[1] == []
 
 
-def test_runaway_joins_are_refused(spark, csv_tickets, tmp_path):
+def echo(request):
+    return json.dumps([{**t, "urgency": 1} for t in request.tickets])
+
+
+def test_runaway_joins_are_refused_on_request(spark, csv_tickets, tmp_path):
     house = Warehouse(spark, str(tmp_path))
+    house.load_labelled(csv_tickets({"ticket_id": "before"}), echo)
     same = csv_tickets(*[{}] * 30)
+    with pytest.raises(ValueError, match="not unique"):
+        house.load_labelled(same, echo, max_growth=10)
+    assert [r["ticket_id"] for r in spark.table(RAW_TABLE).collect()] == ["before"]
+    report = house.load_labelled(same, echo)
+    assert (report.tickets, report.labels, report.failed_batches, report.raw_rows) == (30, 30, 0, 900)
 
-    def labeler(request):
-        return json.dumps([{**t, "urgency": 1} for t in request.tickets])
 
-    with pytest.raises(ValueError, match="not unique"):
-        house.load_labelled(same, labeler)
-    assert house.load_labelled(same, labeler, max_growth=None).count() == 900
+def test_a_failed_run_keeps_the_labels_of_its_steps(spark, csv_tickets, tmp_path):
+    house = Warehouse(spark, str(tmp_path / "tables"))
+    tickets = csv_tickets(*[{"ticket_id": f"T{i:02d}"} for i in range(40)])
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def labeler(allowed):
+        folder = str(asked)
+
+        def run(request):
+            import os
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(t["ticket_id"] for t in request.tickets))
+            if len(os.listdir(folder)) > allowed:
+                os._exit(1)
+            return echo(request)
+
+        return run
+
+    def known():
+        return sorted(r["ticket_id"] for r in house.labels.collect())
+
+    with pytest.raises(Exception):
+        house.load_labelled(tickets.coalesce(1), labeler(2), steps=4, batch_size=40)
+    first = known()
+    assert 0 < len(first) < 40
+    before = set(os.listdir(asked))
+    house.load_labelled(tickets.coalesce(1), labeler(10**6), steps=4, batch_size=40, resume=True)
+    again = [line for f in asked.iterdir() if f.name not in before for line in f.read_text().splitlines()]
+    assert not set(again) & set(first) and known() == sorted(f"T{i:02d}" for i in range(40))
+
+
+def test_malformed_rows_and_checks_are_stored(spark, tmp_path):
+    write_rows(tmp_path / "t.csv", *[{"ticket_id": f"T{i}"} for i in range(5)], {"ticket_id": "T1"}, {"ticket_id": ""})
+    with open(tmp_path / "t.csv", "a") as f:
+        f.write("T9,U9,Basic,False,Email,Open,Neutral,Billing,Failed Payment,Bank Decline,body,2024-01-01,too,many\r\n")
+    house = Warehouse(spark, str(tmp_path / "tables"))
+    house.load_labelled(house.read_tickets(str(tmp_path / "t.csv")), echo)
+    counts = house.build_models()
+    assert counts["malformed_ticket_rows"] == 1 and counts["raw_support_tickets"] == counts["fct_support_tickets"] + 1
+    failing = {(r["model"], r["check_name"], r["column_name"]): r["failing_rows"] for r in house.quality.collect()}
+    assert failing["raw_support_tickets", "not_null", "ticket_id"] == 1
+    assert failing["stg_support_tickets", "not_null", "ticket_id"] == 0
+    assert failing["fct_support_tickets", "unique", "ticket_id"] == 1
+    assert {m for m, *_ in failing} == {"raw_support_tickets", "stg_support_tickets", "fct_support_tickets", "support_insights"}
 
 
 def test_no_tickets(spark, csv_tickets, tmp_path):

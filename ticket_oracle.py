@@ -1,14 +1,69 @@
 """What each registered query must return, as SQL for DuckDB.
 
-The rules of the derived tickets and of the sample labeller are restated here by
-hand; only lists of words come from the package.
+Rules and fixed values are restated here by hand, so that an error in the package's own
+can't pass.
 """
 
 from __future__ import annotations
 
-from ticketlens.operators.labeling import prompt_head
-from ticketlens.schemas import NULL_WORDS, SENTIMENTS
-from ticketlens.taxonomy import PRIMARY_LABELS, TAXONOMY
+import json
+
+# Accepted words, the label taxonomy and the words for a missing value.
+SENTIMENTS = ["Positive", "Neutral", "Frustrated", "Angry"]
+TAXONOMY = {
+    "Billing": {
+        "Duplicate Charge": ["Subscription Upgrade Flow", "Payment Method Update", "Promo Code Applied"],
+        "Failed Payment": ["Credit Card Expired", "Insufficient Funds", "Bank Decline"],
+        "Refund Request": ["Cancellation Refund", "Overcharge Refund", "Trial Extension"],
+        "Invoice Question": ["Monthly Summary", "Annual Billing", "Tax Documentation"],
+    },
+    "Online Ordering": {
+        "Page Not Loading": ["Checkout Flow", "Menu Display", "Mobile Browser"],
+        "Menu Not Updating": ["Item Availability", "Price Sync", "Category Order"],
+        "Order Not Received": ["Third-Party Integration", "Notification Failure", "POS Sync"],
+        "Ordering Disabled": ["Account Suspension", "Setup Incomplete", "Integration Error"],
+    },
+    "Marketing / SEO": {
+        "Google Listing Issue": ["GMB Sync", "Address Incorrect", "Hours Not Updating"],
+        "Website Not Updating": ["Content Change", "Image Upload", "Domain Issue"],
+        "SEO Performance": ["Ranking Drop", "Review Response", "Keyword Targeting"],
+        "Campaign Not Running": ["Email Campaign", "SMS Campaign", "Ad Integration"],
+    },
+    "Product / Feature": {
+        "Feature Not Working": ["Dashboard", "Notifications", "Reporting"],
+        "Feature Request": ["Custom Branding", "Multi-Location", "API Access"],
+        "Performance Issue": ["Slow Load Time", "Timeout Error", "Data Lag"],
+        "Integration Issue": ["POS Integration", "Payment Gateway", "Third-Party App"],
+    },
+    "Account Access": {
+        "Login Issue": ["SSO Failure", "Password Reset", "2FA Problem"],
+        "Permissions Error": ["Staff Access", "Admin Role", "Read-Only Mode"],
+        "Account Locked": ["Too Many Attempts", "Suspicious Activity", "Billing Hold"],
+        "Account Setup": ["New User Invite", "Profile Incomplete", "Timezone Setting"],
+    },
+    "Onboarding": {
+        "Setup Confusion": ["POS Connection", "Domain Setup", "Menu Import"],
+        "Integration Help": ["Square Integration", "Toast Integration", "Clover Integration"],
+        "Training Request": ["Dashboard Walkthrough", "Reporting Tutorial", "Campaign Setup"],
+        "Go-Live Issue": ["Site Not Published", "Ordering Not Active", "Listing Not Live"],
+    },
+}
+PRIMARY_LABELS = list(TAXONOMY)
+NULL_WORDS = (
+    " #N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null"
+).strip().split("|") + [""]
+
+
+def prompt_head() -> str:
+    pairs = json.dumps({p: list(s) for p, s in TAXONOMY.items()}, indent=2)
+    return (
+        "Check and complete the labels of customer support tickets.\n\n"
+        f"Allowed secondary labels under each primary label:\n{pairs}\n\n"
+        "Allowed sentiments: Positive, Neutral, Frustrated, Angry\n\n"
+        "Answer with one JSON array and nothing else. It holds one object per ticket, with\n"
+        "the keys ticket_id, primary_label, secondary_label, sentiment, urgency (1 low, 2 medium,\n"
+        "3 high) and one_line_summary (ten words at most).\n\nTickets:\n"
+    )
 
 
 def _text(value: str) -> str:
@@ -259,7 +314,7 @@ UNION ALL SELECT 4, 'churned_tickets', NULL, primary_label, NULL, count(*)::VARC
        WHERE is_churned AND primary_label IS NOT NULL GROUP BY primary_label
 UNION ALL SELECT 5, 'sentiment', NULL, sentiment, NULL, count(*)::VARCHAR FROM f
        WHERE sentiment IS NOT NULL GROUP BY sentiment
-UNION ALL SELECT 6, 'narrative', NULL, NULL, NULL, 'Not available'
+UNION ALL SELECT 6, 'narrative', NULL, NULL, NULL, narrative FROM told
 """
 
 _NARRATIVE = """,
@@ -269,14 +324,50 @@ top AS (
     GROUP BY ALL ORDER BY n DESC, primary_label, secondary_label LIMIT 20
 ),
 churned AS (
-    SELECT primary_label, count(*) AS n FROM raw WHERE is_churned::BOOLEAN AND primary_label IS NOT NULL GROUP BY ALL
+    SELECT CASE WHEN primary_label IN ('Billing', 'Online Ordering', 'Marketing / SEO', 'Product / Feature',
+                                       'Account Access', 'Onboarding') THEN primary_label ELSE 'Other labels' END AS label,
+           count(*) AS n
+    FROM raw WHERE is_churned::BOOLEAN AND primary_label IS NOT NULL GROUP BY ALL
 )
 SELECT (SELECT string_agg(primary_label || ' / ' || secondary_label || ': ' || n, '; '
                           ORDER BY n DESC, primary_label, secondary_label) FROM top)
        || '; ' ||
-       (SELECT string_agg(primary_label || ': ' || n, '; ' ORDER BY n DESC, primary_label) FROM churned) AS narrative
+       (SELECT string_agg(label || ': ' || n, '; ' ORDER BY label = 'Other labels', n DESC, label) FROM churned) AS narrative
 """
 
+
+
+def _told() -> str:
+    """The narrative of the labelled tickets as a table ``told``."""
+    ctes, _, select = _NARRATIVE.rpartition(")\nSELECT (SELECT")
+    return f"{ctes.replace('top AS', 'told_top AS').replace('churned AS', 'told_churned AS')}),\ntold AS (SELECT (SELECT{select.replace('FROM top', 'FROM told_top').replace('FROM churned', 'FROM told_churned')})"
+
+
+_FAULTY = """,
+faulty AS (
+    SELECT * EXCLUDE (ticket_body, n) REPLACE (
+        CASE WHEN n % 37 = 0 THEN 'high' WHEN n % 41 <> 0 THEN urgency END AS urgency,
+        CASE WHEN n % 43 = 0 THEN 'maybe' WHEN n % 47 <> 0 THEN is_churned END AS is_churned,
+        CASE WHEN n % 53 = 0 THEN 'soon' ELSE created_at END AS created_at,
+        CASE WHEN n % 59 <> 0 THEN status END AS status)
+    FROM (SELECT *, coalesce(substr(ticket_id, 5)::BIGINT, 1) AS n FROM raw)
+    WHERE ticket_id IS NOT NULL AND user_id IS NOT NULL
+),
+good AS (
+    SELECT ticket_id, user_id, plan_type, channel, status, is_churned::BOOLEAN AS is_churned, primary_label,
+           secondary_label, tertiary_label, sentiment, urgency::INTEGER AS urgency, one_line_summary,
+           created_at::DATE AS created_at
+    FROM faulty
+    WHERE coalesce(urgency, '') <> 'high' AND coalesce(is_churned, '') <> 'maybe' AND created_at <> 'soon'
+),
+fct AS (
+    SELECT *, coalesce(sentiment IN ('Frustrated', 'Angry'), false) AS is_negative_sentiment,
+           coalesce(urgency = 3, false) AS is_high_urgency,
+           coalesce(is_churned AND sentiment IN ('Frustrated', 'Angry'), false) AS is_churn_risk_signal,
+           date_trunc('month', created_at)::DATE AS ticket_month
+    FROM good
+)"""
+
 _LINE = "'- ticket_id: ' || ticket_id || ' | body: ' || ticket_body"
 
 _WORDS = r"len(regexp_split_to_array(regexp_replace(one_line_summary, '^\s+|\s+$', '', 'g'), '\s+'))"
@@ -295,6 +386,41 @@ def _taxonomy_volume(table: str, columns: str) -> str:
     )
 
 
+def _quality(pair_unknown: str, leaf_unknown: str) -> str:
+    def counted(model: str, table: str, checks: list[tuple[str, str, str]]) -> list[str]:
+        return [
+            f"SELECT {_text(model)} AS model, {_text(check)} AS check_name, {_text(column)} AS column_name, "
+            f"count(*) FILTER (WHERE {bad}) AS failing_rows FROM {table}"
+            for check, column, bad in checks
+        ]
+
+    def repeated(model: str, table: str, keys: str, where: str) -> str:
+        return (
+            f"SELECT {_text(model)}, 'unique', {_text(keys.replace(' ', ''))}, count(*) FROM "
+            f"(SELECT 1 FROM {table} WHERE {where} GROUP BY {keys} HAVING count(*) > 1)"
+        )
+
+    ids = [("not_null", c, f"{c} IS NULL") for c in ("ticket_id", "user_id")]
+    fct = [
+        ("not_null", c, f"{c} IS NULL")
+        for c in ("ticket_id", "user_id", "is_churned", "primary_label", "secondary_label", "sentiment")
+    ]
+    fct += [
+        ("accepted_values", "primary_label", f"primary_label NOT IN {_in(PRIMARY_LABELS)}"),
+        ("accepted_values", "sentiment", f"sentiment NOT IN {_in(SENTIMENTS)}"),
+        ("accepted_range", "urgency", "urgency NOT BETWEEN 1 AND 3"),
+        ("max_words", "one_line_summary", f"one_line_summary IS NOT NULL AND {_WORDS} > 10"),
+        ("relationship", "secondary_label", pair_unknown),
+        ("relationship", "tertiary_label", leaf_unknown),
+    ]
+    parts = counted("raw_support_tickets", "raw", ids) + counted("stg_support_tickets", "stg", ids)
+    parts += counted("fct_support_tickets", "fct", fct)
+    for model, table in (("raw_support_tickets", "raw"), ("stg_support_tickets", "stg"), ("fct_support_tickets", "fct")):
+        parts.append(repeated(model, table, "ticket_id", "ticket_id IS NOT NULL"))
+    parts.append(repeated("support_insights", "insights", "primary_label, secondary_label, plan_type, ticket_month", "true"))
+    return " UNION ALL ".join(parts)
+
+
 def build() -> dict[str, str]:
     csv = [
         "ticket_id", "user_id", "plan_type", "is_churned", "channel", "status", "sentiment",
@@ -357,8 +483,8 @@ UNION ALL SELECT DISTINCT 'primary_label', 1, primary_label FROM fct WHERE prima
             _FCT, _count_by("primary_label", "churn_signals", "is_churn_risk_signal AND plan_type = 'Basic'")
         ),
         "volume_by_primary_from_cells": _q(_FCT, _count_by("primary_label", "tickets", "NOT is_churned")),
-        "context_table": _q(_FCT + _CONTEXT, _CONTEXT_ROWS),
-        "latest_narrative": "WITH " + (_RAW + _NARRATIVE).strip(),
+        "context_table": _q(_CHECKED + _told() + _CONTEXT, _CONTEXT_ROWS),
+        "latest_narrative": "WITH " + (_ENRICHED + _NARRATIVE).strip(),
         "taxonomy_pairs": _q(_FCT, _taxonomy_volume(_PAIR_TABLE, pair)),
         "taxonomy_leaves": _q(_FCT, _taxonomy_volume(_LEAF_TABLE, leaf)),
         "label_batches": _q(_LABELS, "SELECT ticket_id, batch_id, batch_pos FROM batched"),
@@ -453,30 +579,76 @@ UNION ALL SELECT 'relationship', 'tertiary_label', count(*) FROM fct WHERE {leaf
             ),
         ),
         "csv_roundtrip": _q(_SOURCE, f"SELECT {_unnulled(csv)} FROM tickets"),
-        "weighted_assignment": f"""
-WITH w AS (
-    SELECT o_orderkey AS order_key, (o_orderkey * 13 + o_custkey) % 6 AS p,
-           (o_orderkey * 31 + o_custkey * 7) % 100 AS bp, (o_orderkey * 37 + o_custkey * 11) % 100 AS bs,
-           (o_orderkey * 41 + o_custkey * 3) % 100 AS b
-    FROM orders
-)
-SELECT order_key, {_list(PRIMARY_LABELS)}[p + 1] AS primary_label,
-       CASE WHEN bp < 40 THEN 'Basic' WHEN bp < 75 THEN 'Standard' ELSE 'Premium' END AS plan_type,
-       CASE WHEN bs < 15 THEN 'Open' WHEN bs < 35 THEN 'In Progress' WHEN bs < 90 THEN 'Resolved'
-            ELSE 'Escalated' END AS status,
-       {_MOOD} AS sentiment
-FROM w""",
-        "ticket_fanout": """
-WITH c AS (
-    SELECT c_custkey AS c,
-           unnest(range(1, 1 + CASE WHEN c_custkey % 10 < 3 THEN 2 + c_custkey % 6 ELSE 1 + c_custkey % 5 END)) AS n
-    FROM customer
-)
-SELECT 'USR-' || lpad(c::VARCHAR, greatest(5, length(c::VARCHAR))::INT, '0') AS user_id,
-       n::INTEGER AS ticket_no,
-       'TKT-' || upper(substr(md5(c || '|' || n), 1, 16)) AS ticket_id,
-       strftime(DATE '2024-06-30' - ((c * 37 + n * 11) % 181)::INTEGER, '%Y-%m-%d') AS created_at
-FROM c""",
+        "csv_reordered_columns": _q(_SOURCE, f"SELECT {_unnulled(csv)} FROM tickets"),
+        "csv_extra_columns": _q(_SOURCE, f"SELECT {_unnulled(csv)} FROM tickets"),
+        "csv_short_rows": _q(_SOURCE, f"SELECT {_unnulled(csv[:-1])}, NULL::VARCHAR AS created_at FROM tickets"),
+        "stg_lenient": _q(_RAW + _FAULTY, "SELECT * FROM good"),
+        "stg_quarantine": _q(
+            _RAW + _FAULTY,
+            "SELECT * FROM faulty WHERE urgency = 'high' OR is_churned = 'maybe' OR created_at = 'soon'",
+        ),
+        "fct_null_inputs": _q(
+            _RAW + _FAULTY,
+            "SELECT ticket_id, status, is_negative_sentiment, is_high_urgency, is_churn_risk_signal, ticket_month FROM fct",
+        ),
+        "kpis_null_inputs": _q(_RAW + _FAULTY + _kpis(), "SELECT * FROM kpis"),
+        "stored_raw": _q(_ENRICHED, "SELECT * FROM raw"),
+        "stored_staging": _q(_CHECKED, "SELECT * FROM stg"),
+        "stored_fact": _q(_CHECKED, "SELECT * FROM fct"),
+        "stored_insights": _q(_CHECKED + _INSIGHTS, "SELECT * FROM insights"),
+        "stored_cells": _q(_CHECKED + _CELLS, "SELECT * FROM cells"),
+        "stored_row_counts": _q(
+            _CHECKED + _INSIGHTS,
+            """
+SELECT 'raw_support_tickets' AS model, count(*) AS rows FROM raw
+UNION ALL SELECT 'stg_support_tickets', count(*) FROM stg
+UNION ALL SELECT 'fct_support_tickets', count(*) FROM fct
+UNION ALL SELECT 'support_insights', count(*) FROM insights""",
+        ),
+        "quality_report": _q(_CHECKED + _INSIGHTS, _quality(pair_unknown, leaf_unknown)),
+        "dashboard_parts": _q(
+            _CHECKED + _kpis("plan_type = 'Standard' AND is_churned") + f", cards AS ({_CARDS})"
+            ", shown AS (SELECT * FROM fct WHERE plan_type = 'Standard' AND is_churned)",
+            """
+SELECT 'kpi_cards' AS part, card AS item, value FROM cards
+UNION ALL SELECT 'volume_by_primary', primary_label, count(*)::VARCHAR FROM shown
+       WHERE primary_label IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'churn_risk_by_primary', primary_label, count(*)::VARCHAR FROM shown
+       WHERE primary_label IS NOT NULL AND is_churn_risk_signal GROUP BY ALL
+UNION ALL (SELECT 'ticket_explorer', ticket_id, created_at::VARCHAR FROM shown
+       ORDER BY created_at DESC NULLS LAST, ticket_id LIMIT 100)""",
+        ),
+        "top20_labelled_pairs": _q(
+            _ENRICHED,
+            """
+SELECT primary_label, secondary_label, count(*) AS count FROM raw
+WHERE primary_label IS NOT NULL AND secondary_label IS NOT NULL
+GROUP BY ALL ORDER BY count DESC, primary_label, secondary_label LIMIT 20""",
+        ),
+        "labels_resumed": _q(
+            _LABELS,
+            """
+SELECT * EXCLUDE (k, batch_id), false AS is_fallback FROM replied
+UNION ALL
+SELECT * EXCLUDE (k, batch_id) REPLACE ('1' AS urgency), false FROM replied WHERE k % 59 = 0""",
+        ),
+        "weighted_assignment": _q(
+            _RAW,
+            """
+SELECT ticket_id, urgency,
+       CASE WHEN b < 60 THEN 'first line' WHEN b < 90 THEN 'second line' ELSE 'specialist' END AS desk,
+       CASE WHEN b < CASE urgency WHEN '1' THEN 60 WHEN '2' THEN 40 ELSE 10 END THEN 'first line'
+            WHEN b < CASE urgency WHEN '1' THEN 90 WHEN '2' THEN 80 ELSE 50 END THEN 'second line'
+            ELSE 'specialist' END AS urgent_desk
+FROM (SELECT *, (substr(ticket_id, 5)::BIGINT * 31 + 7) % 100 AS b FROM raw WHERE ticket_id IS NOT NULL)""",
+        ),
+        "ticket_fanout": _q(
+            _FCT,
+            """
+SELECT ticket_id, n::INTEGER AS reminder_no, 'REM-' || upper(substr(md5(ticket_id || '|' || n), 1, 16)) AS reminder_id,
+       strftime(created_at + (7 * n)::INTEGER, '%Y-%m-%d') AS due_on
+FROM (SELECT *, unnest(range(1, urgency + 1)) AS n FROM stg WHERE status <> 'Resolved')""",
+        ),
         "shuffled_tickets": _q(
             _SOURCE,
             """

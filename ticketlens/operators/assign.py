@@ -7,18 +7,6 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.batching import break_ties
 
-# Weights in percent.
-PLAN_WEIGHTS = {"Basic": 40, "Standard": 35, "Premium": 25}
-STATUS_WEIGHTS = {"Open": 15, "In Progress": 20, "Resolved": 55, "Escalated": 10}
-SENTIMENT_WEIGHTS = {
-    "Billing": {"Positive": 5, "Neutral": 15, "Frustrated": 40, "Angry": 40},
-    "Online Ordering": {"Positive": 5, "Neutral": 20, "Frustrated": 45, "Angry": 30},
-    "Marketing / SEO": {"Positive": 10, "Neutral": 35, "Frustrated": 40, "Angry": 15},
-    "Product / Feature": {"Positive": 10, "Neutral": 30, "Frustrated": 40, "Angry": 20},
-    "Account Access": {"Positive": 5, "Neutral": 25, "Frustrated": 45, "Angry": 25},
-    "Onboarding": {"Positive": 15, "Neutral": 40, "Frustrated": 30, "Angry": 15},
-}
-
 
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

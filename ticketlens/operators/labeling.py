@@ -225,6 +225,7 @@ def label_tickets(
     stable_batches: bool = False,
     concurrency: int | None = None,
     observation: Observation | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Label all tickets that have an id and return the stored answers.
 
@@ -236,15 +237,16 @@ def label_tickets(
     the labeller again. ``observation`` receives ``batches``, ``failed_batches``,
     ``tickets`` and ``labels`` without another scan. ``context`` names further
     ticket columns the labeller may look at. ``concurrency`` sets the number of
-    partitions, and so of parallel labeller calls.
+    partitions, and so of parallel labeller calls. ``folder`` takes the answers, if the
+    caller removes it when they are read.
     """
     spark, context = tickets.sparkSession, list(context)
     with (
         session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(ARROW_BATCH_BYTES)),
-        scratch_folder(spark, "batches") as folder,
+        scratch_folder(spark, "batches") as batches,
     ):
         if stable_batches:
-            prompts = render_prompts(assign_batches(tickets, batch_size, folder=folder), context, concurrency)
+            prompts = render_prompts(assign_batches(tickets, batch_size, folder=batches), context, concurrency)
             answers = answers_of_prompts(prompts, labeler)
         else:
             source = tickets.repartition(concurrency) if concurrency else tickets
@@ -257,7 +259,7 @@ def label_tickets(
                 F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets"),
                 F.coalesce(F.sum(F.size("labels")), F.lit(0)).alias("labels"),
             )
-        return stage(answers, "answers")
+        return stage(answers, "answers", folder)
 
 
 def labels_of(answers: DataFrame) -> DataFrame:
@@ -285,38 +287,39 @@ def unlabelled(tickets: DataFrame, labels: DataFrame, retry_fallbacks: bool = Tr
     return tickets.where(F.col("ticket_id").isNotNull()).join(_answered_ids(done), "ticket_id", "left_anti")
 
 
-def attach_labels(
-    tickets: DataFrame, labels: DataFrame, null_safe: bool = False, split_labels: bool = True
-) -> DataFrame:
-    """Replace the tickets' labels by the returned ones, where there are any.
+#: Labels of one id that meet in one part of the join, about.
+LABELS_PER_PART = 10_000
 
-    The result is that of a left join: a ticket without an answer gets null labels,
-    one answered twice becomes two rows, answers for unknown ids disappear.
 
-    It is put together from an inner and an anti join over the same shuffle of the
-    tickets. Adaptive skew handling may split either side of an inner join, but only
-    the left side of a left join, and labels too can pile up on one id (of a ticket,
-    or one that a labeller made up). Where the labels per id are known to be few,
-    ``split_labels=False`` takes one left join, which reads the tickets once.
+def attach_labels(tickets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Replace the tickets' labels by the returned ones, where there are any.
 
-    Tickets without an id match nothing, so they bypass the shuffle rather than meet
-    in one of its partitions. ``null_safe`` matches them with labels without an id
-    instead, in one plain left join.
+    The result is that of a left join: a ticket without an answer gets null labels,
+    one answered twice becomes two rows, answers for unknown ids disappear. Tickets without
+    an id match nothing.
+
+    It is one left join, so tickets are evaluated once. A ticket without an id gets a key
+    of its own that no label has, so these spread over all partitions. Adaptive skew
+    handling splits the tickets of a hot id, but can't split the right side of a left join:
+    where labels pile up on an id (which a labeller may have made up), they are dealt to
+    parts, and the few tickets of the id are repeated for each.
     """
     kept = [c for c in tickets.columns if c not in REPLACED_COLUMNS + LABEL_COLUMNS]
-    left = tickets.select(*kept)
-    right = labels.select("ticket_id", *LABEL_COLUMNS)
-    if null_safe:
-        renamed = right.withColumnRenamed("ticket_id", "_label_id")
-        return left.join(renamed, F.col("ticket_id").eqNullSafe(F.col("_label_id")), "left").drop("_label_id")
-
-    def unanswered(rows: DataFrame) -> DataFrame:
-        return rows.select(*kept, *[F.lit(None).cast("string").alias(c) for c in LABEL_COLUMNS])
-
-    keyed = left.where(F.col("ticket_id").isNotNull())
-    keyless = left.where(F.col("ticket_id").isNull())
-    joined = keyed.join(right, "ticket_id", "inner" if split_labels else "left").select(*kept, *LABEL_COLUMNS)
-    if split_labels:
-        missed = keyed.join(_answered_ids(right), "ticket_id", "left_anti")
-        joined = joined.unionByName(unanswered(missed))
-    return joined.unionByName(unanswered(keyless))
+    keyed = labels.where(F.col("ticket_id").isNotNull())
+    many = keyed.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LABELS_PER_PART)
+    many = many.select(F.col("ticket_id").alias("_many"), F.ceil(F.col("_n") / LABELS_PER_PART).alias("_parts"))
+    no_id = F.concat(F.lit("none:"), F.xxhash64(*kept).cast("string"))
+    key = F.when(F.col("ticket_id").isNull(), no_id).otherwise(F.concat(F.lit("id:"), "ticket_id"))
+
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    left = tickets.select(*kept).join(many, F.col("ticket_id") == F.col("_many"), "left")
+    left = left.select(*kept, "_many", key.alias("_key"), F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("_part"))
+    right = keyed.join(many, F.col("ticket_id") == F.col("_many"), "left").select(
+        F.concat(F.lit("id:"), "ticket_id").alias("_key"),
+        F.pmod(F.monotonically_increasing_id(), parts).cast("int").alias("_part"),
+        F.lit(True).alias("_answered"),
+        *LABEL_COLUMNS,
+    )
+    joined = left.join(right, ["_key", "_part"], "left")
+    # A repeated ticket has answers; a part that happens to hold none of them adds nothing.
+    return joined.where(F.col("_many").isNull() | F.col("_answered")).select(*kept, *LABEL_COLUMNS)

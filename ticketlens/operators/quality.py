@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
 from ticketlens.schemas import SENTIMENTS, SUMMARY_MAX_WORDS, URGENCY_RANGE
-from ticketlens.taxonomy import PRIMARY_LABELS, taxonomy_leaves, taxonomy_pairs
+from ticketlens.taxonomy import PRIMARY_LABELS, TAXONOMY, taxonomy_leaves, taxonomy_pairs
 
 PAIR = ["primary_label", "secondary_label"]
 LEAF = ["primary_label", "secondary_label", "tertiary_label"]
@@ -94,21 +96,18 @@ def leaf_violations(df: DataFrame) -> DataFrame:
 
 
 def with_taxonomy_marks(df: DataFrame) -> DataFrame:
-    """Add ``pair_known`` and ``leaf_known`` (null where a label is null)."""
-    spark = df.sparkSession
-    pairs = taxonomy_pairs(spark).withColumn("_pair", F.lit(True))
-    leaves = taxonomy_leaves(spark).withColumn("_leaf", F.lit(True))
-    marked = df.join(F.broadcast(pairs), PAIR, "left").join(F.broadcast(leaves), LEAF, "left")
+    """Add ``pair_known`` and ``leaf_known`` (null where a label is null), by lookup in literal maps."""
 
-    def known(mark: str, columns: list[str]) -> Column:
+    def known(columns: list[str], entries: list[tuple[str, ...]]) -> Column:
+        table = F.create_map(*[x for e in entries for x in (F.lit("\x1f".join(e)), F.lit(True))])
         complete = F.lit(True)
         for c in columns:
             complete = complete & F.col(c).isNotNull()
-        return F.when(complete, F.coalesce(F.col(mark), F.lit(False)))
+        return F.when(complete, F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", *columns)), F.lit(False)))
 
-    return marked.select(
-        *df.columns, known("_pair", PAIR).alias("pair_known"), known("_leaf", LEAF).alias("leaf_known")
-    )
+    pairs = [(p, s) for p in TAXONOMY for s in TAXONOMY[p]]
+    leaves = [(p, s, t) for p, s in pairs for t in TAXONOMY[p][s]]
+    return df.select("*", known(PAIR, pairs).alias("pair_known"), known(LEAF, leaves).alias("leaf_known"))
 
 
 def taxonomy_checks() -> list[Check]:
@@ -130,6 +129,19 @@ def quality_report(fct: DataFrame, insights: DataFrame | None = None) -> DataFra
     return report
 
 
+def build_report(raw: DataFrame, stg: DataFrame, fct: DataFrame, insights: DataFrame) -> DataFrame:
+    """The checks of every model of a build, with the model's name as ``model``."""
+    ids = ["ticket_id", "user_id"]
+    parts = {
+        "raw_support_tickets": [run_checks(raw, not_null(ids)), unique_key(raw, ["ticket_id"])],
+        "stg_support_tickets": [run_checks(stg, not_null(ids)), unique_key(stg, ["ticket_id"])],
+        "fct_support_tickets": [quality_report(fct)],
+        "support_insights": [unique_group_key(insights, ["primary_label", "secondary_label", "plan_type", "ticket_month"])],
+    }
+    named = [part.select(F.lit(model).alias("model"), "*") for model, found in parts.items() for part in found]
+    return reduce(DataFrame.unionByName, named)
+
+
 # -- label coverage ------------------------------------------------------------------
 
 

@@ -27,7 +27,8 @@ MEASURES = {
 
 
 def is_cells(df: DataFrame) -> bool:
-    return "tickets" in df.columns
+    """Whether rows are counts (a column for all tickets, and for some measure) or tickets."""
+    return "tickets" in df.columns and not set(MEASURES).isdisjoint(df.columns)
 
 
 def total_tickets(df: DataFrame) -> Column:

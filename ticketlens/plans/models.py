@@ -48,6 +48,19 @@ def staging(raw: DataFrame, lenient: bool = False) -> DataFrame:
     )
 
 
+def staging_sql(source: str, lenient: bool = False) -> str:
+    """``staging`` of a stored table as SQL, for a view that the catalog keeps."""
+    cast = "TRY_CAST" if lenient else "CAST"
+    casts = {
+        "is_churned": f"{cast}(is_churned AS BOOLEAN)",
+        "urgency": f"{cast}(BROUND({cast}(urgency AS DOUBLE)) AS INT)",
+        "created_at": f"{cast}(created_at AS DATE)",
+    }
+    columns = ", ".join(f"{casts[c]} AS {c}" if c in casts else c for c in STAGING_COLUMNS)
+    good = "".join(f" AND ({c} IS NULL OR {x} IS NOT NULL)" for c, x in casts.items()) if lenient else ""
+    return f"SELECT {columns} FROM {source} WHERE ticket_id IS NOT NULL AND user_id IS NOT NULL{good}"
+
+
 def quarantine(raw: DataFrame) -> DataFrame:
     """The identified raw rows that a lenient ``staging`` leaves out."""
     return _identified(raw).where(_has_bad_cast())

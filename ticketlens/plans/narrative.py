@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from ticketlens.functions import expressions as X
 from ticketlens.operators.summaries import MEASURES, PAIR, churned_by_primary, top_pairs
 from ticketlens.session import stage
+from ticketlens.taxonomy import PRIMARY_LABELS
 
 #: A writer turns the prompt into the narrative.
 NarrativeWriter = Callable[[str], str]
 
 TOP_PAIRS = 20
 
-#: Primary labels are six by the taxonomy; far more means labels went unchecked.
-MAX_PRIMARY_LABELS = 1_000
+#: The closing request of the prompt; a caller may pass another.
+REQUEST = (
+    "In a short paragraph, say which product gaps are largest, which issues go with churn,\n"
+    "and what should be done about them first."
+)
+OTHER_LABELS = "Other labels"
 
 
 def narrative_inputs(raw: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -34,23 +39,21 @@ def narrative_inputs(raw: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     return top_pairs(stored, TOP_PAIRS), churned_by_primary(stored)
 
 
-def narrative_prompt(raw: DataFrame, lenient: bool = False) -> str:
-    """The writer's prompt. Only the two summaries, never tickets, reach the driver."""
+def narrative_prompt(raw: DataFrame, lenient: bool = False, request: str = REQUEST) -> str:
+    """The writer's prompt. Only bounded summaries, never tickets, reach the driver.
+
+    Labels of the taxonomy have a line each; all others, of which an unchecked labeller may
+    make up any number, share one with the sum of their counts.
+    """
     top, churned = narrative_inputs(raw, lenient)
-    pairs = top.collect()
-    by_primary = churned.limit(MAX_PRIMARY_LABELS + 1).collect()
-    if len(by_primary) > MAX_PRIMARY_LABELS:
-        raise ValueError("too many distinct primary labels; run the quality checks first")
+    known = F.when(F.col("primary_label").isin(PRIMARY_LABELS), F.col("primary_label")).otherwise(F.lit(OTHER_LABELS))
+    by_primary = churned.groupBy(known.alias("primary_label")).agg(F.sum("churned_tickets").alias("churned_tickets"))
+    by_primary = by_primary.orderBy(F.col("primary_label") == OTHER_LABELS, F.desc("churned_tickets"), "primary_label")
     lines = ["Most frequent ticket categories:"]
-    lines += [f"* {r['primary_label']} / {r['secondary_label']}: {r['count']}" for r in pairs]
+    lines += [f"* {r['primary_label']} / {r['secondary_label']}: {r['count']}" for r in top.collect()]
     lines += ["", "Tickets of churned customers by category:"]
-    lines += [f"* {r['primary_label']}: {r['churned_tickets']}" for r in by_primary]
-    lines += [
-        "",
-        "Write four to six sentences for a vice president: the two or three largest product gaps,",
-        "the issues most tied to churn, and what product and customer success should do first.",
-    ]
-    return "\n".join(lines)
+    lines += [f"* {r['primary_label']}: {r['churned_tickets']}" for r in by_primary.collect()]
+    return "\n".join([*lines, "", request])
 
 
 def write_narrative(raw: DataFrame, writer: NarrativeWriter, lenient: bool = False) -> str:

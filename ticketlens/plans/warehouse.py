@@ -4,38 +4,61 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of, unlabelled
-from ticketlens.operators.quality import label_join_accounting
+from ticketlens.operators.quality import build_report, label_join_accounting
 from ticketlens.plans.overview import summary_cells
-from ticketlens.plans.models import fact, insights, staging
+from ticketlens.plans.models import fact, insights, quarantine, staging, staging_sql
 from ticketlens.plans.narrative import NarrativeWriter, write_narrative
 from ticketlens.schemas import (
     CELLS_TABLE,
     FACT_TABLE,
     INSIGHTS_TABLE,
+    LABEL_FIELDS,
     LABELS_TABLE,
+    MALFORMED_TABLE,
     NARRATIVE_TABLE,
+    QUALITY_TABLE,
+    QUARANTINE_TABLE,
     RAW_COLUMNS,
     RAW_TABLE,
     STAGING_VIEW,
 )
-from ticketlens.session import stage
+from ticketlens.session import scratch_folder, stage
 from ticketlens.sources.tables import (
     Snapshot,
     append_narrative,
+    append_table,
     latest_narrative,
     publish_view,
     replace_table,
     reset_narratives,
+    row_count,
+)
+from ticketlens.sources.ticket_csv import malformed, read_ticket_rows, well_formed
+
+#: The labels table: answered labels, whether their batch had failed, and the run of the answer.
+STORED_LABELS = T.StructType(
+    [
+        T.StructField("batch_id", T.LongType()),
+        *LABEL_FIELDS.fields,
+        T.StructField("is_fallback", T.BooleanType()),
+        T.StructField("run", T.LongType()),
+    ]
 )
-from ticketlens.sources.ticket_csv import read_ticket_csv
 
+@dataclass(frozen=True)
+class LoadReport:
+    """What a labelling run did."""
 
-#: Up to so many labels of one id (some megabytes) may meet in one task.
-FEW_LABELS_PER_ID = 10_000
+    batches: int
+    failed_batches: int
+    tickets: int
+    labels: int
+    raw_rows: int
 
 
 @dataclass
@@ -46,40 +69,64 @@ class Warehouse:
     location: str | None = None
 
     def read_tickets(self, path: str, multi_line: bool = True) -> DataFrame:
-        """Ticket files as a columnar copy: labelling and joining read it several times."""
-        return stage(read_ticket_csv(self.spark, path, multi_line), "tickets")
+        """Ticket files as a columnar copy: labelling and joining read it several times.
+
+        Malformed rows are stored in a table of their own, whose size ``row_counts`` tells.
+        """
+        rows = stage(read_ticket_rows(self.spark, path, multi_line), "tickets")
+        replace_table(malformed(rows), MALFORMED_TABLE, self.location)
+        return well_formed(rows)
 
     def load_labelled(
         self,
         tickets: DataFrame,
         labeler: Labeler,
         resume: bool = False,
-        max_growth: float | None = 10.0,
+        steps: int = 1,
+        max_growth: float | None = None,
         **options,
-    ) -> DataFrame:
-        """Label tickets and replace the labels table and the raw table by the result.
+    ) -> LoadReport:
+        """Label tickets into the labels table, and replace the raw table by the join with it.
 
-        With ``resume``, stored labels are kept, and only tickets without one are
-        labelled, or whose batch had failed. ``options`` go to ``label_tickets``.
+        Tickets are labelled in ``steps`` parts by a hash of the id, and each part's answers
+        are appended to the labels table before the next is asked for. A run that failed is
+        taken up with ``resume``: only tickets without a label are asked for, or whose batch
+        had failed. A ticket's newest batch counts. ``options`` go to ``label_tickets``.
 
-        Ids that repeat on both sides multiply rows. The size of the join is computed
-        before it is run, and one of more than ``max_growth`` rows per ticket is
-        refused: then ticket ids are not unique, and need mending, not joining.
+        Ids that repeat on both sides multiply rows. With ``max_growth``, a join of more
+        rows per ticket is refused before the raw table is touched.
         """
-        known = None
-        if resume and self.spark.catalog.tableExists(LABELS_TABLE):
-            known = self.spark.table(LABELS_TABLE).where(~F.col("is_fallback"))
-        asked = tickets if known is None else unlabelled(tickets, known)
-        labels = labels_of(label_tickets(asked, labeler, **options))
-        if known is not None:
-            # A table cannot be replaced while it is read.
-            labels = stage(known.unionByName(labels), "labels")
-        labels = replace_table(labels, LABELS_TABLE, self.location)
-        sizes = {row["measure"]: row["value"] for row in label_join_accounting(tickets, labels).collect()}
-        if max_growth is not None and sizes["joined_rows"] > max_growth * sizes["tickets"]:
-            raise ValueError(f"ticket ids are not unique, the labels would multiply the tickets: {sizes}")
-        few = sizes["most_labels_of_one_id"] <= FEW_LABELS_PER_ID
-        return self.load_raw(attach_labels(tickets, labels, split_labels=not few))
+        if not resume:
+            replace_table(self.spark.createDataFrame([], STORED_LABELS), LABELS_TABLE, self.location)
+        elif not self.spark.catalog.tableExists(LABELS_TABLE):
+            resume = False
+            replace_table(self.spark.createDataFrame([], STORED_LABELS), LABELS_TABLE, self.location)
+        totals = dict.fromkeys(("batches", "failed_batches", "tickets", "labels"), 0)
+        run = self.spark.table(LABELS_TABLE).agg(F.coalesce(F.max("run"), F.lit(0))).head()[0]
+        for step in range(steps):
+            part = tickets.where(F.pmod(F.xxhash64("ticket_id"), F.lit(steps)) == step) if steps > 1 else tickets
+            asked = unlabelled(part, self.labels) if resume else part
+            seen = Observation()
+            with scratch_folder(self.spark, "answers") as folder:
+                answers = label_tickets(asked, labeler, observation=seen, folder=folder, **options)
+                stored = labels_of(answers).withColumn("run", F.lit(run + 1 + step).cast("bigint"))
+                append_table(stored, LABELS_TABLE)
+            for name in totals:
+                totals[name] += seen.get[name]
+        if max_growth is not None:
+            sizes = {row["measure"]: row["value"] for row in label_join_accounting(tickets, self.labels).collect()}
+            if sizes["joined_rows"] > max_growth * sizes["tickets"]:
+                raise ValueError(f"ticket ids are not unique, the labels would multiply the tickets: {sizes}")
+        raw = self.load_raw(attach_labels(tickets, self.labels))
+        return LoadReport(**totals, raw_rows=raw.count())
+
+    @property
+    def labels(self) -> DataFrame:
+        """The labels that count: those of the newest run that answered for a ticket."""
+        stored = self.spark.table(LABELS_TABLE)
+        newest = stored.groupBy(F.col("ticket_id").alias("_id")).agg(F.max("run").alias("_run"))
+        match = F.col("ticket_id").eqNullSafe(F.col("_id")) & (F.col("run") == F.col("_run"))
+        return stored.join(newest, match, "left_semi").drop("run")
 
     def load_raw(self, raw: DataFrame) -> DataFrame:
         return replace_table(raw.select(*RAW_COLUMNS), RAW_TABLE, self.location)
@@ -91,15 +138,40 @@ class Warehouse:
         append_narrative(self.spark, text)
         return text
 
-    def build_models(self, lenient: bool = False) -> None:
-        """Staging view, fact, summary cells and insights; each reads what the one before stored.
+    def build_models(self, lenient: bool = False) -> dict[str, int]:
+        """Staging view, fact, cells, insights and the checks' report; returns all row counts.
 
-        Insights are sums over the cells, so the fact table is scanned once for both.
+        Each reads what the one before stored; insights are sums over the cells, so the fact
+        table is scanned once for both. With ``lenient``, rows that cannot be cast are kept
+        in the quarantine table instead of failing the build.
         """
-        stg = publish_view(staging(self.spark.table(RAW_TABLE), lenient), STAGING_VIEW)
+        raw = self.spark.table(RAW_TABLE)
+        bad = quarantine(raw) if lenient else raw.limit(0)
+        replace_table(bad, QUARANTINE_TABLE, self.location)
+        stg = publish_view(staging(raw, lenient), STAGING_VIEW, staging_sql(RAW_TABLE, lenient))
         fct = replace_table(fact(stg), FACT_TABLE, self.location)
         cells = replace_table(summary_cells(fct), CELLS_TABLE, self.location)
-        replace_table(insights(cells), INSIGHTS_TABLE, self.location)
+        ins = replace_table(insights(cells), INSIGHTS_TABLE, self.location)
+        replace_table(build_report(raw, stg, fct, ins), QUALITY_TABLE, self.location)
+        return self.row_counts()
+
+    def row_counts(self) -> dict[str, int]:
+        """Rows of every table that exists."""
+        names = [MALFORMED_TABLE, LABELS_TABLE, RAW_TABLE, QUARANTINE_TABLE, FACT_TABLE, CELLS_TABLE, INSIGHTS_TABLE]
+        return {n: row_count(self.spark, n) for n in names if self.spark.catalog.tableExists(n)}
+
+    @property
+    def quality(self) -> DataFrame:
+        return self.spark.table(QUALITY_TABLE)
+
+    @property
+    def raw(self) -> DataFrame:
+        return self.spark.table(RAW_TABLE)
+
+    @property
+    def models(self) -> dict[str, DataFrame]:
+        """The models that users query, by name."""
+        return {n: self.spark.table(n) for n in (RAW_TABLE, STAGING_VIEW, FACT_TABLE, INSIGHTS_TABLE)}
 
     @property
     def fact(self) -> DataFrame:

@@ -7,6 +7,7 @@ from importlib import import_module
 
 from pyspark import cloudpickle
 
+from ticketlens.operators.batching import BATCH_SIZE
 from ticketlens.plans.warehouse import Warehouse
 from ticketlens.session import build_session
 
@@ -27,15 +28,29 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--location", help="folder for the tables; the session's warehouse if left out")
     parser.add_argument("--concurrency", type=int, help="partitions, and so parallel labeller calls")
     parser.add_argument("--single-line", action="store_true", help="no field spans lines: split large files")
-    parser.add_argument("--lenient", action="store_true", help="leave out rows that cannot be cast")
+    parser.add_argument("--lenient", action="store_true", help="store rows that cannot be cast apart instead of failing")
+    parser.add_argument("--resume", action="store_true", help="keep stored labels, ask for what lacks one")
+    parser.add_argument("--steps", type=int, default=1, help="parts whose labels are stored one by one")
+    parser.add_argument("--batch-size", type=int, default=BATCH_SIZE, help="tickets per labeller call")
+    parser.add_argument("--stable-batches", action="store_true", help="batches by ticket id, whatever the files")
     args = parser.parse_args(argv)
 
     house = Warehouse(build_session(), args.location)
     tickets = house.read_tickets(args.tickets, multi_line=not args.single_line)
-    house.load_labelled(tickets, load(args.labeler), concurrency=args.concurrency)
+    report = house.load_labelled(
+        tickets,
+        load(args.labeler),
+        resume=args.resume,
+        steps=args.steps,
+        concurrency=args.concurrency,
+        batch_size=args.batch_size,
+        stable_batches=args.stable_batches,
+    )
+    print(report)
     if args.writer:
         house.tell(load(args.writer), args.lenient)
-    house.build_models(args.lenient)
+    for name, rows in house.build_models(args.lenient).items():
+        print(f"{name}: {rows} rows")
 
 
 if __name__ == "__main__":

@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
-from ticketlens.operators.assign import SENTIMENT_WEIGHTS, pick_from, weighted_pick_by
+from ticketlens.operators.assign import pick_from, weighted_pick_by
 from ticketlens.schemas import CHANNELS, CSV_COLUMNS, RAW_COLUMNS
 from ticketlens.taxonomy import PRIMARY_LABELS, TAXONOMY
 
+# Weights in percent.
+SENTIMENT_WEIGHTS = {
+    "Billing": {"Positive": 5, "Neutral": 15, "Frustrated": 40, "Angry": 40},
+    "Online Ordering": {"Positive": 5, "Neutral": 20, "Frustrated": 45, "Angry": 30},
+    "Marketing / SEO": {"Positive": 10, "Neutral": 35, "Frustrated": 40, "Angry": 15},
+    "Product / Feature": {"Positive": 10, "Neutral": 30, "Frustrated": 40, "Angry": 20},
+    "Account Access": {"Positive": 5, "Neutral": 25, "Frustrated": 45, "Angry": 25},
+    "Onboarding": {"Positive": 15, "Neutral": 40, "Frustrated": 30, "Angry": 15},
+}
+
 _SECONDARY = [s for p in TAXONOMY for s in TAXONOMY[p]]
 _TERTIARY = [t for p in TAXONOMY for s in TAXONOMY[p] for t in TAXONOMY[p][s]]
 _MOODS = {str(p): SENTIMENT_WEIGHTS[name] for p, name in enumerate(PRIMARY_LABELS)}

@@ -14,6 +14,12 @@ NARRATIVE_TABLE = "product_gap_narrative"
 #: The labels as answered, before they are joined to tickets.
 LABELS_TABLE = "support_ticket_labels"
 
+#: Rows of ticket files with too many fields, raw rows that a lenient build can't cast, and
+#: the result of the build's checks.
+MALFORMED_TABLE = "malformed_ticket_rows"
+QUARANTINE_TABLE = "quarantined_support_tickets"
+QUALITY_TABLE = "support_quality_report"
+
 #: Fact rows reduced to counts, for the dashboard.
 CELLS_TABLE = "support_summary_cells"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -39,24 +40,34 @@ def one_row(spark: SparkSession) -> DataFrame:
     return spark.range(0, 1, 1, 1)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process, and so see the same local files."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 @lru_cache(maxsize=None)
-def _local_scratch(app_id: str) -> str:
+def _own_folder(app_id: str) -> str:
     return tempfile.mkdtemp(prefix="ticketlens-")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may go without it; a cluster must name one, since
-    files in a machine-local folder die with the machine.
+    Only where it is unset and driver and tasks are one process, a folder is made for the
+    session. A cluster must name one: files in a machine's own folder die with the machine
+    and are seen by no other. Whether a ``file:`` folder is mounted everywhere only the
+    cluster knows; the machines' temporary folders are refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    app_id = spark.conf.get("spark.app.id")
-    if configured:
-        return f"{configured.rstrip('/')}/ticketlens/{app_id}"
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_scratch(app_id)
+    configured, app_id = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.app.id")
+    if not configured:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return _own_folder(app_id)
+    plain = re.sub("/+", "/", configured.removeprefix("file:")).rstrip("/")
+    if not is_local(spark) and plain in (tempfile.gettempdir(), "/tmp", "/var/tmp"):
+        raise ValueError(f"{configured} is a folder of each machine: set spark.checkpoint.dir to a shared one")
+    return f"{configured.rstrip('/')}/ticketlens/{app_id}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -21,9 +21,25 @@ def replace_table(df: DataFrame, name: str, location: str | None = None) -> Data
     return df.sparkSession.table(name)
 
 
-def publish_view(df: DataFrame, name: str) -> DataFrame:
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.table(name)
+def append_table(df: DataFrame, name: str) -> None:
+    """Add rows to a stored table, by column name."""
+    table = df.sparkSession.table(name)
+    df.select(*table.columns).write.mode("append").format("parquet").saveAsTable(name)
+
+
+def publish_view(df: DataFrame, name: str, sql: str | None = None) -> DataFrame:
+    """Register ``df`` as a view of this session, or ``sql`` as one that the catalog keeps.
+
+    Which sessions see a kept view depends on the catalog; Spark's own ends with the
+    application, a metastore's does not.
+    """
+    spark = df.sparkSession
+    if sql is None:
+        df.createOrReplaceTempView(name)
+    else:
+        spark.catalog.dropTempView(name)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS {sql}")
+    return spark.table(name)
 
 
 def row_count(spark: SparkSession, name: str) -> int:
@@ -50,7 +66,8 @@ def latest_narrative(spark: SparkSession, name: str = NARRATIVE_TABLE) -> DataFr
     """The newest narrative: one row, or none if the table is empty or missing."""
     if not spark.catalog.tableExists(name):
         return spark.createDataFrame([], NARRATIVE_SCHEMA).select("narrative")
-    return spark.table(name).orderBy(F.desc("generated_at")).limit(1).select("narrative")
+    # Of equal stamps the greater text, so that the answer does not depend on the files.
+    return spark.table(name).orderBy(F.desc("generated_at"), F.desc("narrative")).limit(1).select("narrative")
 
 
 # -- cached snapshot -----------------------------------------------------------------

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticketlens.schemas import CSV_SCHEMA, NULL_WORDS
+from ticketlens.schemas import CSV_COLUMNS, NULL_WORDS
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A quoted field may span lines, so a file is read by one task; keep files small.
 MAX_ROWS_PER_FILE = 200_000
@@ -21,32 +34,120 @@ DIALECT = {
     "encoding": "UTF-8",
 }
 
-READ_OPTIONS = {**DIALECT, "multiLine": "true", "mode": "FAILFAST"}
+#: What a row has beyond its header's columns, and the file it came from.
+SURPLUS, SOURCE_FILE = "surplus_field", "source_file"
+
+
+def _clean(place: int, fields: int) -> Column:
+    # The last field that a line has loses the carriage return of files with CRLF ends.
+    later = [F.col(f"c{i}") for i in range(place + 1, fields)]
+    is_last = F.coalesce(*later, F.col(SURPLUS)).isNull()
+    field = F.col(f"c{place}")
+    text = F.when(is_last, F.regexp_replace(field, r"\r\z", "")).otherwise(field)
+    return F.when(~text.isin(NULL_WORDS), text)
+
+
+def _has_field(name: str) -> Column:
+    return F.col("value").rlike(f'(^|[,"\ufeff]){name}([,"\r]|$)')
 
 
-def clean_fields(df: DataFrame) -> DataFrame:
-    """Turn the usual words for a missing value into nulls, in all text columns.
+def file_headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The layouts of ticket files: column names in order, and the files that have them.
 
-    The last column first loses the carriage return of files whose lines end in CRLF.
+    A header is the first line with the fields ticket_id and user_id; a file with rows but
+    without one is an error. The scan keeps one line per file, and the driver, which lists
+    the files for any read, holds as many short lines.
     """
-    last = df.columns[-1]
+    lines = spark.read.option("lineSep", "\n").text(path)
+    file = F.col("_metadata.file_path").alias("file")
+    named = lines.where(_has_field("ticket_id") & _has_field("user_id"))
+    heads = (
+        named.select(file, F.col("_metadata.file_block_start").alias("at"), "value")
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("head"))
+    )
+    layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for found, head in heads.collect():
+        names = next(csv.reader([head.lstrip("\ufeff").rstrip("\r")]))
+        layouts[tuple(names)].append(unquote(found))
+    headed = {f for files in layouts.values() for f in files}
+    if headed != set(map(unquote, lines.inputFiles())):
+        known = spark.createDataFrame([(f,) for f in headed], "file string")
+        missing = lines.select(file).distinct().select(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("file"))
+        without = missing.join(known, "file", "left_anti").head()
+        if without is not None:
+            raise ValueError(f"no header with ticket_id and user_id in {without[0]}")
+    return layouts
+
+
+def read_ticket_rows(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """Every row of ticket files by column name, with ``surplus_field`` and ``source_file``.
+
+    Files may order their columns in any way. Columns that a file lacks are null, columns
+    beyond the known ones are left out, and so are missing trailing fields of a short row.
+    A row with more fields than its header is malformed: ``surplus_field`` holds the first.
+    """
+    parts = []
+    for names, files in sorted(file_headers(spark, path).items()):
+        places = {name: i for i, name in reversed(list(enumerate(names)))}
+        fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+        schema = T.StructType([*fields, T.StructField(SURPLUS, T.StringType())])
+        reader = spark.read.options(**DIALECT).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+        rows = reader.schema(schema).csv(sorted(files))
+        by_name = [
+            (_clean(places[c], len(names)) if c in places else F.lit(None).cast("string")).alias(c)
+            for c in CSV_COLUMNS
+        ]
+        surplus = F.when(~F.regexp_replace(SURPLUS, r"\r\z", "").isin(""), F.col(SURPLUS)).alias(SURPLUS)
+        parts.append(rows.select(*by_name, surplus, F.col("_metadata.file_path").alias(SOURCE_FILE)))
+    if not parts:
+        names = [*CSV_COLUMNS, SURPLUS, SOURCE_FILE]
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def well_formed(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(SURPLUS).isNull()).select(*CSV_COLUMNS)
+
+
+def malformed(rows: DataFrame) -> DataFrame:
+    """The rows that ``well_formed`` leaves out, as they were read."""
+    return rows.where(F.col(SURPLUS).isNotNull())
+
+
+def read_ticket_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """The well-formed tickets of ticket files, every field as text: guessed types turn ids into dates.
+
+    With ``multi_line`` a file is one task, since fields may span lines. Where none does,
+    ``multi_line=False`` lets many tasks share a large file.
+    """
+    return well_formed(read_ticket_rows(spark, path, multi_line))
 
-    def clean(name: str, kind: str) -> Column:
-        if kind != "string":
-            return F.col(name)
-        text = F.regexp_replace(name, r"\r\z", "") if name == last else F.col(name)
-        return F.when(~text.isin(NULL_WORDS), text).alias(name)
 
-    return df.select([clean(name, kind) for name, kind in df.dtypes])
+def parse_file(content: bytes) -> Iterator[dict]:
+    """The rows of one whole file by column name, as ``read_ticket_rows`` gives them."""
+    lines = csv.reader(io.StringIO(content.decode("utf-8-sig", errors="replace"), newline=""))
+    names = next(lines, [])
+    for row in lines:
+        if row:
+            found = {n: v for n, v in zip(names, row) if v not in NULL_WORDS}
+            surplus = row[len(names)] if len(row) > len(names) else ""
+            yield {**{c: found.get(c) for c in CSV_COLUMNS}, SURPLUS: surplus or None}
 
 
-def read_ticket_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Read ticket files with a stated schema: guessed types turn ids into dates.
+def parse_files(files: DataFrame) -> DataFrame:
+    """Ticket rows of whole files (``path``, ``content``), for streams: each file has its own header."""
+    names = [*CSV_COLUMNS, SURPLUS, SOURCE_FILE]
+    kinds = pa.schema([(n, pa.string()) for n in names])
 
-    Where no field spans lines, ``multi_line=False`` lets many tasks share a large file.
-    """
-    reader = spark.read.options(**READ_OPTIONS).option("multiLine", multi_line)
-    return clean_fields(reader.schema(CSV_SCHEMA).csv(path))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                found = [{**row, SOURCE_FILE: path} for row in parse_file(content)]
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_pylist(found[at : at + 10_000], schema=kinds)
+
+    return files.select("path", "content").mapInArrow(rows, ", ".join(f"{n} string" for n in names))
 
 
 def write_ticket_csv(df: DataFrame, path: str, max_rows_per_file: int = MAX_ROWS_PER_FILE) -> None:
