@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.session import stage
+from ticketlens.llm.common import keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -59,13 +59,13 @@ def components(edges: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
     allowed. Every round is stored in the shared folder, and the driver sees three numbers.
     """
     if edges.count() <= short_list:
-        return stage(edges.select("a", "b").coalesce(1).mapInArrow(_joined, "node bigint, root bigint"), "roots")
-    stars = stage(
+        return keep(edges.select("a", "b").coalesce(1).mapInArrow(_joined, "node bigint, root bigint"), "roots")
+    stars = keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     before = None
     while True:
-        stars = stage(_small_star(_large_star(stars)), "stars")
+        stars = keep(_small_star(_large_star(stars)), "stars")
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("v")).head()
         # Stars that neither round changes are the components.
         if now == before:

@@ -187,7 +187,7 @@ def _find_by_joins(docs: DataFrame, items: DataFrame, size: int, containment: fl
     numbered = stage(
         items.select(F.monotonically_increasing_id().alias("item"), "item_id", whole_text().alias("text")), "items"
     )
-    sketches = stage(numbered.select("item", "text").mapInArrow(sketched, "item bigint, size int, hash bigint"), "sketches")
+    sketches = keep(numbered.select("item", "text").mapInArrow(sketched, "item bigint, size int, hash bigint"), "sketches")
     # At most ``size`` rows, one per shingle length.
     sizes = [r[0] for r in sketches.select("size").distinct().collect()]
 

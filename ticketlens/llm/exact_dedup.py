@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import ROW, SPACES, packed, power_of_two, whole_text
-from ticketlens.session import stage
+from ticketlens.llm.common import ROW, SPACES, keep, packed, power_of_two, whole_text
 
 #: Fingerprints per filter segment, about; bounds what one merge task holds.
 SEGMENT_FINGERPRINTS = 500_000
@@ -160,7 +159,7 @@ def _better() -> F.Column:
 def _routed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fingerprinted rows; those of repeated fingerprints; groups of byte-equal texts of those."""
     rows = _fingerprinted(packed(docs, "doc_id", "text"))
-    repeated = stage(repeated_fingerprints(rows, _segments(docs)), "repeated")
+    repeated = keep(repeated_fingerprints(rows, _segments(docs)), "repeated")
     routed = rows.join(repeated, "fp", "left_semi")
     groups = routed.groupBy("norm").agg(
         F.max(_better()).alias("best"), F.count(F.lit(1)).alias("group_size")

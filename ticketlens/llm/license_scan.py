@@ -16,8 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import in_pieces, split_words, whole_text, word_codes
-from ticketlens.session import stage
+from ticketlens.llm.common import in_pieces, keep, split_words, whole_text, word_codes
 
 #: Short headers of common licences; a caller may pass templates of its own, full texts too.
 TEMPLATES = {
@@ -182,7 +181,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     repeated rows give repeated results; an empty table gives no rows.
     """
     rows = files.select("id", F.coalesce("path", F.lit("")).alias("path"), "text")
-    own = stage(own_licenses(rows, templates), "own")
+    own = keep(own_licenses(rows, templates), "own")
     directory = directory_of(F.col("path"))
     best = F.max(F.struct(F.col("whole_cosine").alias("cosine"), F.col("whole").alias("license"))).alias("best")
     licensed = own.where("whole IS NOT NULL").groupBy(directory.alias("at")).agg(best).select("at", "best.license", "best.cosine")

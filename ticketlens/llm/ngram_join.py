@@ -23,9 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm import blocks as B
-from ticketlens.llm.common import in_pieces, lower_ascii, shingle_hashes, split_words, whole_text, word_hashes
+from ticketlens.llm.common import give_back, in_pieces, keep, lower_ascii, shingle_hashes, split_words, whole_text, word_hashes
 from ticketlens.llm.components import components
-from ticketlens.session import stage
 
 #: 64-bit words of the parity sketch that the suffix filter compares.
 SKETCH_WORDS = 4
@@ -86,6 +85,8 @@ def _packets(size: int, buckets: int):
         ]
         columns = list(zip(*rows)) or [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        del hashes, begin, keys, counts
+        give_back()
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "block", "keys", "counts"])
 
     return send
@@ -144,6 +145,8 @@ def _prefixes(size: int, percent: int):
             rows.append((ids[d], n[d], own[first][places].view(np.int64), places.astype(np.int32), parity_sketch(own), own.view(np.int64)))
         columns = list(zip(*rows)) or [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        del order, ordered, count, totals
+        give_back()
         return pa.table(
             [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "n", "tokens", "places", "sketch", "shingles"]
         )
@@ -246,19 +249,17 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     sketch = [F.get("sketch", F.lit(k)).alias(name) for k, name in enumerate(SKETCH)]
     exploded = sets.select("doc", "n", *sketch, F.explode(F.arrays_zip("tokens", "places")).alias("e"))
     entries = exploded.select("doc", "n", *SKETCH, F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
-    entries = stage(entries, "entries")
     links, roots = None, None
     for turn in range(LEADER_ROUNDS + 1):
         rooted = entries.withColumn("root", F.col("doc"))
         if roots is not None:
             known = roots.select(F.col("node").alias("doc"), "root")
             rooted = entries.join(known, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            rooted = stage(rooted, "rooted")
         last = turn == LEADER_ROUNDS
-        pairs = stage(_open_pairs(rooted, percent) if last else _star_pairs(rooted, turn, percent), "pairs")
+        pairs = keep(_open_pairs(rooted, percent) if last else _star_pairs(rooted, turn, percent), "pairs")
         if pairs.isEmpty():
             continue
-        found = stage(_verified(pairs, sets, percent), "links")
+        found = keep(_verified(pairs, sets, percent), "links")
         if found.isEmpty() and roots is not None:
             continue
         links = found if links is None else links.unionByName(found)
@@ -278,13 +279,13 @@ def ngram_jaccard_join(
     takes the component of the rows whose set is equal to its own, or null, and links
     nothing by itself; repeated rows get one result row each. An empty table gives no rows.
     """
-    facts = stage(set_facts(docs, size), "facts")
+    facts = keep(set_facts(docs, size), "facts")
     classes = (
         facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     )
-    classes = stage(classes, "classes")
+    classes = keep(classes, "classes")
     chosen = classes.select(F.col("rep").alias("doc_id"))
-    sets = stage(prefix_candidates(docs, chosen, size, percent, block_bytes), "sets")
+    sets = keep(prefix_candidates(docs, chosen, size, percent, block_bytes), "sets")
     roots = linked_components(sets, percent).select(F.col("node").alias("rep"), "root")
     # Only classes of several rows, or with links, differ from their document.
     named = classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
@@ -301,6 +302,6 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     Rows with null id stay, and so does every row whose id alone tells it apart.
     """
     joined = ngram_jaccard_join(docs, size, percent)
-    gone = stage(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = keep(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     packed = docs.select("doc_id", F.struct("*").alias("_row"))
     return packed.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -19,8 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import in_pieces, split_words, whole_text, word_codes
-from ticketlens.session import stage
+from ticketlens.llm.common import in_pieces, keep, split_words, whole_text, word_codes
 
 CAPACITY = 4096
 END_ID = 1
@@ -219,7 +218,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUND
     waiting = pieces.where(F.col("length") < capacity)
     for salt in range(1, rounds + 1):
         groups = max(1, round(waiting.count() / PARTITION_PIECES))
-        packed = stage(_pack_groups(waiting, groups, salt, capacity), f"packed{salt}")
+        packed = keep(_pack_groups(waiting, groups, salt, capacity), f"packed{salt}")
         if groups == 1 or salt == rounds:
             done = packed
         else:
@@ -248,4 +247,4 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
     texts are one piece of one token; null ids are carried along, repeated rows are packed
     each. An empty table gives no rows.
     """
-    return pack_pieces(stage(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return pack_pieces(keep(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ticketlens.llm.common import whole_text
-from ticketlens.session import stage
+from ticketlens.llm.common import keep, whole_text
 
 #: Base patterns, in the order of kinds. They find the same as the plain forms but never try
 #: a run of characters twice, and of card numbers only chains of 16 to 19 digits.
@@ -154,14 +153,14 @@ def confident_patterns(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     # Only patterns with enough seeds can ever count; the others introduce ordinary strings.
     seeded = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    edges = stage(edges.join(seeded, "pattern", "left_semi"), "edges")
+    edges = keep(edges.join(seeded, "pattern", "left_semi"), "edges")
     scores = edges.select("value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("value").agg(F.max("score").alias("score"))
     patterns = None
     for turn in range(rounds):
         # One more in the count: few values never make a pattern certain.
         confidence = F.sum("score") / (F.count(F.lit(1)) + 1)
         patterns = edges.join(scores, "value").groupBy("pattern").agg(confidence.alias("confidence"))
-        patterns = stage(patterns, f"patterns{turn}")
+        patterns = keep(patterns, f"patterns{turn}")
         if turn + 1 < rounds:
             good = patterns.where(F.col("confidence") >= CONFIDENT)
             missed = F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999))))
@@ -180,8 +179,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     start. Null and empty texts have none. Rows with null or repeated ids are told apart by
     their place in the input; an empty table gives no rows.
     """
-    found = stage(find_matches(docs), "matches")
-    spans = stage(placed_spans(found), "spans")
+    found = keep(find_matches(docs), "matches")
+    spans = keep(placed_spans(found), "spans")
     patterns = confident_patterns(spans)
     introduced = (
         spans.where("kind = 4")

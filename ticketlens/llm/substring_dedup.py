@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm import blocks as B
-from ticketlens.llm.common import mix64, split_words, whole_text, word_hashes
+from ticketlens.llm.common import give_back, mix64, split_words, whole_text, word_hashes
 
 WINDOW = 20
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
@@ -98,6 +98,8 @@ def _packets(window: int, buckets: int):
             for b, (a, e) in enumerate(zip(cuts[:-1], cuts[1:]))
             if e > a
         ]
+        del block
+        give_back()
         columns = list(zip(*rows)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table(

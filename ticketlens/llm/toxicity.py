@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import in_pieces, split_words, whole_text, word_codes
-from ticketlens.session import stage
+from ticketlens.llm.common import in_pieces, keep, split_words, whole_text, word_codes
 
 #: Labelled rows that lexicons and classifier are fitted on, at most (the smallest by a hash of the id).
 TRAIN_ROWS = 12_000
@@ -306,12 +305,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     chosen = usable.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     # At most train_rows rows of two numbers.
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = stage(rows.select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * train_rows), "labelled")
+    sample = keep(rows.select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * train_rows), "labelled")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return ToxicityModel({}, {}, np.zeros(1), -40.0)
-    up, down = _strongest(stage(_feature_counts(sample), "features"), clean, toxic)
+    up, down = _strongest(keep(_feature_counts(sample), "features"), clean, toxic)
     vocabulary = {name: i for i, name in enumerate([*up, *down])}
     lexicon = _lexicons(up[:LEXICON_ENTRIES])
 
@@ -337,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
             )
 
     masks = docs.select(whole_text().alias("text")).mapInArrow(votes, "mask bigint")
-    masks = stage(masks.groupBy("mask").agg(F.count(F.lit(1)).alias("times")), "votes")
+    masks = keep(masks.groupBy("mask").agg(F.count(F.lit(1)).alias("times")), "votes")
     # Bounded by train_rows; a text has as many features as the vocabulary at most.
     seen = sample.mapInArrow(read, "toxic int, mask bigint, features array<int>, values array<double>").toArrow()
     bits, label = _bits(seen.column("mask").to_numpy()), seen.column("toxic").to_numpy()
