@@ -98,7 +98,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op4_benchmark_decontamination": OP4_SQL,
+        "op8_exact_dedup": OP8_SQL,
+        "op10_ngram_jaccard_join": OP10_SQL,
+    }
 
 
 OP8_SQL = r"""
@@ -114,3 +119,65 @@ SELECT doc_id,
        sha256(norm) AS text_sha256
 FROM n
 """
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word, w FROM d),
+windows AS (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p:p + 19], ' ') ORDER BY doc_id, p) > 1 AS again
+    FROM words WHERE p + 19 <= len(w)
+),
+marked AS (
+    SELECT doc_id, p, word, bool_or(coalesce(again, false))
+           OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM words LEFT JOIN windows USING (doc_id, p)
+),
+kept AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+OP4_SQL = f"""
+WITH i AS (SELECT item_id, w, least(5, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+tests AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM i)
+),
+d AS (SELECT doc_id, w, size FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT size FROM i)),
+found AS (
+    SELECT DISTINCT doc_id, size, array_to_string(w[p:p + size - 1], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM d WHERE len(w) >= size)
+),
+met AS (SELECT doc_id, item_id, count(*) AS shared FROM tests JOIN found USING (size, shingle) GROUP BY ALL),
+sizes AS (SELECT item_id, count(*) AS item_shingles FROM tests GROUP BY ALL)
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+FROM met JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles - 1e-9
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS s
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL),
+met AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON a = d.doc_id
+"""
