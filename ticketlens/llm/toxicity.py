@@ -10,7 +10,6 @@ are the labels on which a linear classifier over words and word beginnings is tr
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import in_pieces, keep, split_words, whole_text, word_codes
+from ticketlens.llm.common import in_pieces, keep, split_words, whole_text
 
 #: Labelled rows that lexicons and classifier are fitted on, at most (the smallest by a hash of the id).
 TRAIN_ROWS = 12_000
@@ -34,9 +33,6 @@ ROUNDS = 5
 #: Residual agreement beyond which two voters count as one.
 CORRELATED = 0.6
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-_NOTHING: tuple[tuple[int, ...], int] = ((), -1)
-
 
 def train_fold() -> Column:
     """Rows whose labels may be learned from; the others are held out."""
@@ -47,12 +43,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def word_features(word: str) -> list[str]:
-    """The letters of a word in lower case, and its beginnings."""
-    letters = _NOT_LETTERS.sub("", word.lower())
-    if not letters:
-        return []
-    return [letters, *(letters[:n] + "*" for n in BEGINNINGS if len(letters) >= n)]
+def word_features(words: pa.Array) -> list[pa.Array]:
+    """Per word its letters in lower case, and its beginnings; null where a word has none."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL\pM]+", "")
+    size = pc.utf8_length(letters)
+    nothing, star, none = (pa.scalar(x, letters.type) for x in (None, "*", ""))
+    out = [pc.if_else(pc.greater(size, 0), letters, nothing)]
+    for n in BEGINNINGS:
+        start = pc.binary_join_element_wise(pc.utf8_slice_codeunits(letters, 0, n), star, none)
+        out.append(pc.if_else(pc.greater_equal(size, n), start, nothing))
+    return out
 
 
 # -- features and votes of texts -----------------------------------------------------
@@ -79,14 +79,17 @@ class Reader:
     """Features and votes of texts, for a fixed vocabulary and fixed lexicons."""
 
     def __init__(self, vocabulary: dict[str, int], lexicon: dict[str, int]):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[tuple[int, ...], int]] = {}
-
-    def _word(self, word: str) -> tuple[tuple[int, ...], int]:
-        names = word_features(word)
-        numbers = tuple(self.vocabulary[n] for n in names if n in self.vocabulary)
-        votes = [self.lexicon[n] for n in names if n in self.lexicon]
-        return (numbers, votes[0] if votes else -1) if numbers or votes else _NOTHING
+        self.names = pa.array(list(vocabulary), pa.large_string())
+        self.numbers = np.array([*vocabulary.values(), -1], np.int64)
+        self.entries = pa.array(list(lexicon), pa.large_string())
+        self.lexicons = np.array([*lexicon.values(), -1], np.int64)
+        self.size = len(vocabulary)
+
+    @staticmethod
+    def _lookup(features: list[pa.Array], names: pa.Array, numbers: np.ndarray) -> np.ndarray:
+        """The number of each feature of each word, -1 for none."""
+        places = [pc.fill_null(pc.index_in(f, value_set=names), -1).to_numpy(zero_copy_only=False) for f in features]
+        return numbers[np.stack(places, axis=1)]
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, features and values of all texts, and per text the share of each lexicon's words.
@@ -94,32 +97,30 @@ class Reader:
         The last feature, after those of the vocabulary, is the share of all lexicons.
         """
         words, starts = split_words(texts)
-        codes, distinct = word_codes(words)
-        if len(self.known) > 150_000:
-            self.known.clear()
-        self.known.update((w, self._word(w)) for w in distinct if w not in self.known)
-        found = [self.known[w] for w in distinct]
+        coded = words.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        features = word_features(distinct)
         texts_read, n = len(starts) - 1, np.maximum(np.diff(starts), 1)
         row = np.repeat(np.arange(texts_read), np.diff(starts))
-        lexicon = np.fromiter((v for _, v in found), np.int64, len(found))[codes]
+        entry = self._lookup(features, self.entries, self.lexicons)
+        # A word counts for one lexicon: that of its first feature that any has.
+        lexicon = entry[np.arange(len(entry)), (entry >= 0).argmax(axis=1)][codes]
         firing = lexicon >= 0
         hits = np.bincount(row[firing] * LEXICONS + lexicon[firing], minlength=texts_read * LEXICONS)
         share = 100.0 * hits.reshape(texts_read, LEXICONS) / n[:, None]
-        count = np.fromiter((len(f) for f, _ in found), np.int64, len(found))
-        begin = np.cumsum(count) - count
-        table = np.fromiter((x for f, _ in found for x in f), np.int64, count.sum())
-        hit = count[codes] > 0
-        code, at = codes[hit], row[hit]
-        m = count[code]
-        index = np.repeat(begin[code] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        pairs, times = np.unique(np.repeat(at, m) * (1 << 20) + table[index], return_counts=True)
+        number = self._lookup(features, self.names, self.numbers)
+        hit = (number >= 0).any(axis=1)[codes]
+        found = number[codes[hit]]
+        inside = found >= 0
+        at = np.repeat(row[hit], inside.sum(axis=1))
+        pairs, times = np.unique(at * (1 << 20) + found[inside], return_counts=True)
         value = np.minimum(100.0 * times / n[pairs >> 20], MOST_SHARE)
         total = np.minimum(share.sum(axis=1), MOST_SHARE)
         some = np.flatnonzero(total)
         rows = np.concatenate([pairs >> 20, some])
-        features = np.concatenate([pairs & ((1 << 20) - 1), np.full(len(some), len(self.vocabulary))])
+        numbers = np.concatenate([pairs & ((1 << 20) - 1), np.full(len(some), self.size)])
         order = np.argsort(rows, kind="stable")
-        return rows[order], features[order], np.concatenate([value, total[some]])[order], share
+        return rows[order], numbers[order], np.concatenate([value, total[some]])[order], share
 
     def votes(self, texts: pa.Array, share: np.ndarray) -> np.ndarray:
         """All votes of each text, one bit per voter; ``share`` is that of ``read``."""
@@ -244,8 +245,10 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
         seen = (Counter(), Counter())
         for batch in in_pieces(batches, "text"):
             words, starts = split_words(batch.column("text"))
-            codes, distinct = word_codes(words)
-            names = [word_features(w) for w in distinct]
+            coded = words.dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            columns = [f.to_pylist() for f in word_features(coded.dictionary)]
+            names = [[n for n in found if n is not None] for found in zip(*columns)]
             for a, b, toxic in zip(starts[:-1], starts[1:], batch.column("toxic").to_pylist()):
                 seen[toxic].update({n for c in np.unique(codes[a:b]) for n in names[c]})
         every = list(seen[0].keys() | seen[1].keys())
