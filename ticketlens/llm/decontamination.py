@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import in_pieces, lower_ascii, packed, shingle_hashes, split_words, unpacked, whole_text, word_hashes
+from ticketlens.llm.common import in_pieces, keep, lower_ascii, packed, shingle_hashes, split_words, unpacked, whole_text, word_hashes
 from ticketlens.session import stage
 
 SHINGLE = 5
@@ -236,8 +236,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, co
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, lookup = load()
         for batch in texts:
-            keep = np.ones(len(batch), bool)
-            keep[[doc for doc, *_ in _matches(own, lookup, batch, containment)]] = False
-            yield pa.array(keep)
+            stays = np.ones(len(batch), bool)
+            stays[[doc for doc, *_ in _matches(own, lookup, batch, containment)]] = False
+            yield pa.array(stays)
 
     return docs.where(clean(whole_text()))
