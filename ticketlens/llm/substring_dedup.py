@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ticketlens.llm import blocks as B
 from ticketlens.llm.common import give_back, mix64, split_words, whole_text, word_hashes
