@@ -143,3 +143,32 @@ def test_packing_is_an_exact_round_trip(documents, small_partitions):
     in_one_partition = int(packing.best_fit_decreasing(lengths).max()) + 1
     assert packing.lower_bound(lengths) <= len(by_sequence) <= in_one_partition + 2
     assert packing.best_fit_packing(documents((1, "a")).limit(0), word_vocabulary()).count() == 0
+
+
+@pytest.fixture
+def pieces(spark):
+    return lambda lengths: spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECES)
+
+
+def test_a_gap_to_the_bound_triggers_packing_again(pieces):
+    lengths = [4, 4, 3, 3, 3, 3]
+    assert max(packing.best_fit_decreasing(np.array(lengths), 10)) + 1 == 3
+    got = packing.pack_pieces(pieces(lengths), 10).collect()
+    assert sorted(r.length for r in got) == sorted(lengths)
+    assert len({r.sequence_id for r in got}) == 2
+    assert all(r.certified and r.gap == 0 for r in got)
+
+
+def test_certified_partitions_stay_as_they_are(pieces, small_partitions):
+    # Half empty sequences, but no packing has fewer.
+    got = packing.pack_pieces(pieces([51] * 200), 100).collect()
+    assert len({r.sequence_id for r in got}) == 200
+    assert {r.sequence_id >> 50 for r in got} == {1}
+    assert all(r.certified for r in got)
+
+
+def test_a_gap_that_stays_is_told(pieces):
+    # Three sequences are the optimum, the bound says two.
+    got = packing.pack_pieces(pieces([3, 3, 3, 3, 3]), 8).collect()
+    opened, bound = len({r.sequence_id for r in got}), packing.lower_bound(np.array([3] * 5), 8)
+    assert {(r.certified, r.gap) for r in got} == {(opened == bound, opened - bound)}

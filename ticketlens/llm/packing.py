@@ -2,8 +2,10 @@
 
 Documents are tokenised once, cut into pieces and dealt to partitions, which pack their
 pieces by best-fit decreasing. Lower bounds from dual feasible functions say how many
-sequences a partition needs at least; one that uses no more is certified. The others, and
-the emptiest sequences of all, exchange pieces: they are dealt anew and packed again.
+sequences a partition needs at least; one that uses no more is certified and stays as it
+is. The others exchange their pieces: these are dealt anew and packed again, in several
+orders, until all are certified or a round saves no sequence. What dealing alone leaves, the
+emptiest sequence of each partition, is packed together last, if that saves sequences.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces per partition, about; bounds what one packing task holds (narrow rows).
 PARTITION_PIECES = 40_000
-ROUNDS = 3
-#: Sequences filled less than this exchange their pieces in a further round.
-LOOSE_FILL = 0.98
+#: How far from decreasing order packing again strays, one try each.
+SPREADS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 30.0, 30.0)
 #: Stands between words while they are encoded; a token of its own.
 _BETWEEN = "\x01"
 #: Words that stay one piece as they are; their bytes beyond ASCII stand for characters that
@@ -139,9 +140,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
 # -- packing of one partition --------------------------------------------------------
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The bin of each item: longest first, into the fullest bin that still has room."""
-    order = np.argsort(-lengths, kind="stable")
+def best_fit_decreasing(
+    lengths: np.ndarray, capacity: int = CAPACITY, order: np.ndarray | None = None
+) -> np.ndarray:
+    """The bin of each item: longest first, into the fullest bin that still has room.
+
+    ``order`` takes the items in another order.
+    """
+    order = np.argsort(-lengths, kind="stable") if order is None else order
     bins = np.empty(len(lengths), np.int64)
     with_room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by the room they have
     rooms, opened = 0, 0  # bit r of rooms: some bin has room r
@@ -186,7 +192,20 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-PACKED = PIECES + ", sequence_id bigint, offset bigint, certified boolean"
+def best_of_orders(lengths: np.ndarray, bound: int, seed: int, capacity: int = CAPACITY) -> np.ndarray:
+    """The bin of each item by best fit, in orders of growing disorder until the bound is met."""
+    best = best_fit_decreasing(lengths, capacity)
+    draw = np.random.default_rng(seed)
+    for spread in SPREADS:
+        if best.max() < bound:
+            break
+        order = np.argsort(-lengths * (1 + spread * draw.random(len(lengths))), kind="stable")
+        found = best_fit_decreasing(lengths, capacity, order)
+        best = found if found.max() < best.max() else best
+    return best
+
+
+PACKED = PIECES + ", sequence_id bigint, offset bigint, certified boolean, gap bigint"
 
 
 def _pack_groups(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFrame:
@@ -199,50 +218,70 @@ def _pack_groups(pieces: DataFrame, groups: int, salt: int, capacity: int) -> Da
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
         lengths = rows["length"].to_numpy()
-        bins = best_fit_decreasing(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        if salt == 1:
+            bins = best_fit_decreasing(lengths, capacity)
+        else:
+            bins = best_of_orders(lengths, bound, salt, capacity)
         opened = int(bins.max()) + 1
         out = rows.drop(columns="_group")
         # Above the bits of the place in a group: the salt and the group.
-        out["sequence_id"] = ((salt * (1 << 31) + int(key[0])) << 24) + bins
+        out["sequence_id"] = ((salt * (1 << 26) + int(key[0])) << 24) + bins
         out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
-        out["certified"] = opened <= lower_bound(lengths, capacity)
+        out["certified"], out["gap"] = opened <= bound, opened - bound
         return out
 
     return dealt.groupBy("_group").applyInPandas(pack, PACKED)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """Put staged pieces into sequences; adds sequence_id and offset."""
-    result = None
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Put staged pieces into sequences; adds sequence_id, offset, certified and gap."""
     full = pieces.where(F.col("length") == capacity)
-    waiting = pieces.where(F.col("length") < capacity)
-    for salt in range(1, rounds + 1):
-        groups = max(1, round(waiting.count() / PARTITION_PIECES))
-        packed = keep(_pack_groups(waiting, groups, salt, capacity), f"packed{salt}")
-        if groups == 1 or salt == rounds:
-            done = packed
-        else:
-            fill = packed.groupBy("sequence_id").agg((F.sum("length") < LOOSE_FILL * capacity).alias("loose"))
-            loose = packed.join(fill.where("loose"), "sequence_id", "left_semi")
-            done = packed.join(fill.where("loose"), "sequence_id", "left_anti")
-            if not loose.select("sequence_id").head(1):
-                loose = None
-        done = done.drop("certified")
-        result = done if result is None else result.unionByName(done)
-        if groups == 1 or salt == rounds or loose is None:
-            break
-        waiting = loose.drop("certified", "sequence_id", "offset")
     alone = full.select(
         "*",
         F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("bigint").alias("offset"),
+        F.lit(True).alias("certified"),
+        F.lit(0).cast("bigint").alias("gap"),
     )
-    return result.unionByName(alone)
+
+    def again(waiting: DataFrame, salt: int) -> DataFrame:
+        groups = max(1, round(waiting.count() / PARTITION_PIECES))
+        return keep(_pack_groups(waiting, groups, salt, capacity), f"packed{salt}")
+
+    packed, salt = again(pieces.where(F.col("length") < capacity), 1), 1
+    result = packed.where("certified")
+    while True:
+        waiting = packed.where("NOT certified")
+        before = _sequences(waiting)
+        if not before:
+            break
+        salt += 1
+        packed = again(waiting, salt)
+        if _sequences(packed) >= before:
+            result = result.unionByName(waiting)
+            break
+        result = result.unionByName(packed.where("certified"))
+    fill = result.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    emptiest = fill.groupBy(F.shiftright("sequence_id", 24)).agg(F.min(F.struct("fill", "sequence_id")).alias("e"))
+    emptiest = keep(emptiest.select("e.sequence_id"), "emptiest")
+    before = emptiest.count()
+    if before > 1:
+        packed = again(result.join(emptiest, "sequence_id", "left_semi"), salt + 1)
+        if _sequences(packed) < before:
+            result = result.join(emptiest, "sequence_id", "left_anti").unionByName(packed)
+    return alone.unionByName(result)
+
+
+def _sequences(packed: DataFrame) -> int:
+    return packed.select("sequence_id").distinct().count()
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, gap.
 
+    ``certified`` says that the partition of the sequence has no more sequences than its
+    lower bound, ``gap`` how many it has beyond it.
     Documents longer than ``capacity`` tokens are cut, others stay whole. Null and empty
     texts are one piece of one token; null ids are carried along, repeated rows are packed
     each. An empty table gives no rows.
