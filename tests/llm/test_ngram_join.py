@@ -87,6 +87,19 @@ def test_null_and_repeated_ids_and_no_rows(documents):
     assert ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(documents):
+    one, two, three = long_text(1, 200), long_text(2, 200), long_text(3, 200)
+    near = f"{one} more"
+    rows = [(3, one), (7, two), (7, near), (7, three), (9, f"{three} more"), (9, long_text(4, 50)), (3, f"{one} again")]
+    docs = documents(*rows)
+    got = sorted(tuple(r) for r in ngram_jaccard_join(docs).collect())
+    assert got == sorted([(3, 197, 3), (7, 197, 7), (7, 198, 3), (7, 197, 7), (9, 198, 7), (9, 47, 9), (3, 198, 3)])
+    kept = sorted((r.doc_id, r.text) for r in keep_one_of_each(docs).collect())
+    left = [r for r in kept if r[0] != 3]
+    assert left == sorted([(7, two), (7, three), (9, long_text(4, 50))])
+    assert len(kept) == len(left) + 1
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_sketches_differ_no_more_than_sets(a, b):

@@ -49,10 +49,6 @@ def ordered_block(docs: DataFrame, blocks: int) -> Column:
     return F.coalesce(cell * parts + place, F.lit(0).cast("bigint"))
 
 
-def any_block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-
-
 def bucket_count(blocks: int) -> int:
     return power_of_two(blocks)
 

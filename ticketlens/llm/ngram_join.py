@@ -1,6 +1,7 @@
 """Jaccard self-join of word-shingle sets, by rare-first prefix filtering.
 
-Equal sets become one class. The shingles of class representatives are counted over the
+Equal sets become one class, which has a number of its own: rows that share an id may have
+different texts, so a row goes by its id and the hash of its text. The shingles of class representatives are counted over the
 whole corpus, and each set is ordered by rising document frequency. Sets that are similar
 enough share a shingle among the first few (the prefix); shingles of a single set can't be
 shared and are left out, so most documents have no prefix at all. Pairs meet on prefix
@@ -47,28 +48,39 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_facts(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the shingle set, per row."""
+    """doc_id, mark (a hash of the text), n_shingles and a 128-bit digest of the shingle set, per row."""
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, "text"):
             hashes, begins = shingle_sets(batch.column("text"), size)
             digests = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(begins[:-1], begins[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(begins)), pa.array(digests, pa.binary())],
-                ["doc_id", "n_shingles", "digest"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(begins)), pa.array(digests, pa.binary())],
+                ["doc_id", "mark", "n_shingles", "digest"],
             )
 
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    return rows.mapInArrow(facts, "doc_id bigint, n_shingles bigint, digest binary")
+    rows = docs.select("doc_id", text_mark().alias("mark"), whole_text().alias("text"))
+    return rows.mapInArrow(facts, "doc_id bigint, mark bigint, n_shingles bigint, digest binary")
+
+
+def text_mark() -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(whole_text())
 
 
 def _sets_of(docs: pa.Table, chosen: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sets and set begins of the chosen documents of a block, each id once."""
-    ids, first = np.unique(docs.column("doc_id").to_numpy(), return_index=True)
-    wanted = np.isin(ids, chosen.column("doc_id").to_numpy())
-    at = np.sort(first[wanted])
-    hashes, begins = shingle_sets(docs.column("text").combine_chunks().take(pa.array(at)), size)
-    return docs.column("doc_id").to_numpy()[at], hashes, begins
+    """Classes, sets and set begins of the chosen documents of a block, each class once."""
+    keys = ["doc_id", "mark"]
+    wanted = dict(zip(zip(*(chosen.column(k).to_pylist() for k in keys)), chosen.column("class").to_pylist()))
+    at, found = [], []
+    for row, key in enumerate(zip(*(docs.column(k).to_pylist() for k in keys))):
+        number = wanted.pop(key, None)
+        if number is not None:
+            at.append(row)
+            found.append(number)
+    texts = docs.column("text").combine_chunks().take(pa.array(at, pa.int64()))
+    hashes, begins = shingle_sets(texts, size)
+    return np.array(found, np.int64), hashes, begins
 
 
 def _packets(size: int, buckets: int):
@@ -121,7 +133,7 @@ def _prefixes(size: int, percent: int):
     """Sets with a shared shingle in their prefix, as (tokens, places) of it, with sketch and set."""
 
     def choose(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        chosen = told.filter(pc.is_valid(told.column("doc_id")))
+        chosen = told.filter(pc.is_valid(told.column("class")))
         answers = told.filter(pc.is_valid(told.column("totals"))).sort_by("bucket")
         ids, hashes, begins = _sets_of(docs, chosen, size)
         totals = np.concatenate(
@@ -155,13 +167,12 @@ def _prefixes(size: int, percent: int):
 
 
 def prefix_candidates(docs: DataFrame, chosen: DataFrame, size: int, percent: int, block_bytes: int) -> DataFrame:
-    """Chosen documents whose prefix holds a shingle that another chosen one has."""
+    """Chosen documents (doc_id, mark, class) whose prefix holds a shingle that another one has."""
     count = B.block_count(docs, block_bytes)
-    block = B.any_block(count)
-    placed = docs.where(F.col("doc_id").isNotNull()).select(
-        "doc_id", whole_text().alias("text"), block.alias("block")
-    )
-    chosen = chosen.select("doc_id", block.alias("block"))
+    block = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(count))
+    marked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_mark().alias("mark"), whole_text().alias("text"))
+    placed = marked.select("*", block.alias("block"))
+    chosen = chosen.select("doc_id", "mark", "class", block.alias("block"))
     packets = (
         placed.groupBy("block")
         .cogroup(chosen.groupBy("block"))
@@ -267,6 +278,37 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     return roots if roots is not None else sets.select(F.col("doc").alias("node"), F.col("doc").alias("root")).limit(0)
 
 
+def _joined(docs: DataFrame, size: int, percent: int, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, and whether the row's set is not its component's first."""
+    facts = keep(set_facts(docs, size), "facts")
+    classes = (
+        facts.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "mark")).alias("rep"))
+        .select("digest", "rep.doc_id", "rep.mark", F.monotonically_increasing_id().alias("class"))
+    )
+    # Stored before anything reads the numbers.
+    classes = keep(classes, "classes")
+    sets = keep(prefix_candidates(docs, classes, size, percent, block_bytes), "sets")
+    roots = linked_components(sets, percent).select(F.col("node").alias("class"), "root")
+    rooted = keep(roots.join(classes, "class").select("class", "root", "doc_id", "digest"), "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    linked = rooted.join(first, "root").select("class", "first")
+    # Only classes of several rows, or with links, differ from their document.
+    named = classes.join(linked, "class", "left").select(
+        "digest",
+        F.coalesce("first.doc_id", "doc_id").alias("least"),
+        F.coalesce(F.col("first.digest") != F.col("digest"), F.lit(False)).alias("other"),
+    )
+    return facts.join(named, "digest", "left").select(
+        "doc_id",
+        "mark",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("other", F.lit(False)).alias("other"),
+    )
+
+
 def ngram_jaccard_join(
     docs: DataFrame, size: int = 4, percent: int = 85, block_bytes: int = B.BLOCK_BYTES
 ) -> DataFrame:
@@ -277,31 +319,20 @@ def ngram_jaccard_join(
     ``percent`` per cent of their union; ``component_id`` is the smallest id that links
     reach. Null and empty texts have no shingles and link with nothing. A row with null id
     takes the component of the rows whose set is equal to its own, or null, and links
-    nothing by itself; repeated rows get one result row each. An empty table gives no rows.
+    nothing by itself; repeated rows get one result row each, and rows with one id and
+    different texts each the component of their own text. An empty table gives no rows.
     """
-    facts = keep(set_facts(docs, size), "facts")
-    classes = (
-        facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    )
-    classes = keep(classes, "classes")
-    chosen = classes.select(F.col("rep").alias("doc_id"))
-    sets = keep(prefix_candidates(docs, chosen, size, percent, block_bytes), "sets")
-    roots = linked_components(sets, percent).select(F.col("node").alias("rep"), "root")
-    # Only classes of several rows, or with links, differ from their document.
-    named = classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    return facts.join(named, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return _joined(docs, size, percent, block_bytes).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest of their component, with all columns.
 
-    Rows with null id stay, and so does every row whose id alone tells it apart.
+    Rows with null id stay, and so do repeats of a row that stays. Of rows with one id only
+    those go whose own text is a copy; of near copies with the smallest id one set stays.
     """
-    joined = ngram_jaccard_join(docs, size, percent)
-    gone = keep(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    packed = docs.select("doc_id", F.struct("*").alias("_row"))
-    return packed.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
+    gone = _joined(docs, size, percent).where("doc_id IS NOT NULL AND (component_id <> doc_id OR other)")
+    gone = keep(gone.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct(), "gone")
+    packed = docs.select("doc_id", text_mark().alias("mark"), F.struct("*").alias("_row"))
+    same = (F.col("doc_id") == F.col("_gone")) & (F.col("mark") == F.col("_mark"))
+    return packed.join(gone, same, "left_anti").select("_row.*")
