@@ -80,3 +80,13 @@ def test_templates_stay_small(pages):
     rows = [(k, "http://h.example.org", page(k, "<article>" + "<p>x<i>y</i></p><h2>z</h2>" * (k % 90) + "</article>")) for k in range(200)]
     (only,) = H.host_templates(pages(*rows).selectExpr("'h' AS host", "html")).collect()
     assert len(only.template) < 30_000
+
+
+def test_copies_do_not_vote_however_they_are_split(pages):
+    body = "<article><h1>Same head</h1><p>Same paragraph</p></article>"
+    rows = [(k, "http://i.example.org/", page(0, body)) for k in range(60)]
+    rows += [(100 + k, "http://i.example.org/", page(k, f"<article><h1>Head {k}</h1><p>Text {k}</p></article>")) for k in range(1, 2)]
+    whole, split = (extracted(pages(*rows).repartition(n)) for n in (1, 8))
+    assert whole == split
+    assert {split[k] for k in range(60)} == {"Same head\nSame paragraph"}
+    assert split[101] == "Head 1\nText 1"

@@ -2,8 +2,9 @@
 
 A page is parsed into a tree, in which neighbours of the same kind (rows of a list,
 paragraphs) count as one repeated node. Trees of a host are aligned by simple tree matching
-and merged into a template, first inside each partition, then per host; a template stays
-small however many pages a host has. Nodes whose text is the same on nearly all pages are
+and merged into a template, each source of a host once wherever its copies lie, first per
+partition of the distinct trees, then per host; a template stays small however many pages
+a host has. Nodes whose text is the same on nearly all pages are
 the template's own, the others are slots. Content is what fills slots inside the node that
 holds most of the varying text, without menus, notices and the like.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +58,8 @@ CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
 COUNTED_TEXTS = 8
 #: Children beyond which a node's children are grouped by kind, whatever their order.
 MOST_CHILDREN = 48
+#: Sources of which a task remembers that it has their tree; beyond it starts anew.
+REMEMBERED_PAGES = 200_000
 
 
 class Node:
@@ -355,29 +359,45 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _loaded(blob: str) -> Kind:
-    return Kind.load(json.loads(blob))
+def _dumped(kind: Kind) -> bytes:
+    return zlib.compress(json.dumps(kind.dump(), separators=(",", ":")).encode(), 1)
+
+
+def _loaded(blob: bytes) -> Kind:
+    return Kind.load(json.loads(zlib.decompress(blob)))
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
     """host, template: one merged tree per host (JSON). ``pages`` has host and html.
 
-    Pages with the same source count once per partition: copies say nothing about what varies.
+    Pages with the same source count once per host: copies say nothing about what varies.
     """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Kind] = {}
-        seen: set[tuple[str, int]] = set()
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()
         for batch in in_pieces(batches, "html"):
+            rows = []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                mark = (host, xxhash.xxh3_64_intdigest(source.encode()))
-                if mark in seen:
+                mark = xxhash.xxh3_128_digest(source.encode())
+                if (host, mark) in seen:
                     continue
-                seen.add(mark)
-                page = kinds(parse(source))
+                # Only saves work; what a task forgets is found equal later.
+                if len(seen) >= REMEMBERED_PAGES:
+                    seen.clear()
+                seen.add((host, mark))
+                rows.append((host, mark, _dumped(kinds(parse(source)))))
+            columns = list(zip(*rows)) or [[]] * 3
+            kinds_of = [pa.string(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of)], ["host", "mark", "tree"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Kind] = {}
+        for batch in batches:
+            for host, tree in zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist()):
+                page = _loaded(tree)
                 found[host] = merge(found[host], page) if host in found else page
-        blobs = [json.dumps(k.dump(), separators=(",", ":")) for k in found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(blobs, pa.string())], ["host", "template"])
+        blobs = [_dumped(k) for k in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(blobs, pa.binary())], ["host", "template"])
 
     def merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         blobs = sorted(rows.column("template").to_pylist())
@@ -386,7 +406,14 @@ def host_templates(pages: DataFrame) -> DataFrame:
             total = merge(total, _loaded(blob))
         return pa.table([pa.array([key[0].as_py()]), pa.array([json.dumps(total.dump(), separators=(",", ":"))])], names=["host", "template"])
 
-    parts = pages.select("host", "html").mapInArrow(partial, "host string, template string")
+    once = (
+        pages.select("host", "html")
+        .mapInArrow(trees, "host string, mark binary, tree binary")
+        .groupBy("host", "mark")
+        .agg(F.first("tree").alias("tree"))
+    )
+    # In an order that does not depend on how the pages were split.
+    parts = once.sortWithinPartitions("host", "mark").mapInArrow(partial, "host string, template binary")
     return parts.groupBy("host").applyInArrow(merged, "host string, template string")
 
 
@@ -410,7 +437,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) > 1_000:
                         known.clear()
-                    known[host] = decide(_loaded(blobs[i].as_py()))
+                    known[host] = decide(Kind.load(json.loads(blobs[i].as_py())))
                 texts.append(content_text(source, known[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
