@@ -9,11 +9,14 @@ from ticketlens.llm import (
     common,
     decontamination,
     exact_dedup,
+    filter_audit,
     html_extraction,
     license_scan,
+    merkle_manifest,
     ngram_join,
     packing,
     personal_data,
+    secret_scan,
     sharding,
     substring_dedup,
     toxicity,
@@ -82,6 +85,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_documents(spark, sf_dir))
 
 
+def op11_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digest(secret_scan.find_secrets(_documents(spark, sf_dir)))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle_manifest.merkle_manifest(docs, changed)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_documents(spark, sf_dir), common.read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -94,6 +111,9 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_weak_toxicity": op9_weak_toxicity,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_trigram_secrets": op11_trigram_secrets,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -103,6 +123,9 @@ def oracle_sql() -> dict[str, str]:
         "op4_benchmark_decontamination": OP4_SQL,
         "op8_exact_dedup": OP8_SQL,
         "op10_ngram_jaccard_join": OP10_SQL,
+        "op11_trigram_secrets": op11_sql(),
+        "op12_merkle_manifest": OP12_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
 
 
@@ -181,3 +204,153 @@ least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON a = d.doc_id
 """
+
+
+def op11_sql() -> str:
+    """Positions from the gaps between matches; every rule against every text."""
+
+    def matches(number: int, rule: secret_scan.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        return f"""
+    SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, {rule.least} AS least,
+           regexp_split_to_array(t, '{pattern}') AS gaps,
+           regexp_extract_all(t, '{pattern}', 0) AS found,
+           regexp_extract_all(t, '{pattern}', {rule.group}) AS sized
+    FROM d WHERE regexp_matches(t, '{pattern}')"""
+
+    rules = "\n    UNION ALL".join(matches(n, r) for n, r in enumerate(secret_scan.RULES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+met AS ({rules}
+),
+pieces AS (
+    SELECT doc_id, number, kind, least, p, length(gaps[p]) AS gap, length(found[p]) AS size, length(sized[p]) AS sized
+    FROM (SELECT *, unnest(range(1, len(found) + 1)) AS p FROM met)
+),
+placed AS (
+    SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, number ORDER BY p) AS stop FROM pieces
+),
+spans AS (
+    SELECT doc_id, number, kind || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS span, stop - size AS start
+    FROM placed WHERE sized >= least
+),
+listed AS (
+    SELECT doc_id, count(*) FILTER (WHERE number = 0) AS n_assign, count(*) FILTER (WHERE number = 1) AS n_access,
+           count(*) FILTER (WHERE number = 2) AS n_hex,
+           string_agg(span, ',' ORDER BY start, number) FILTER (WHERE number < {len(secret_scan.BASE_RULES)}) AS base,
+           string_agg(span, ',' ORDER BY start, number) AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", f"{n_chars}::VARCHAR", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# Trees by levels: a node's number is halved from one level to the next. Numbers of trees
+# follow the languages; the dataset's own tree has number 0 and the trees' roots as leaves.
+OP12_SQL = f"""
+WITH RECURSIVE sums(doc_id, digits, k, crc) AS (
+    SELECT doc_id, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL
+    SELECT doc_id, digits, k + 1,
+           CASE WHEN k % 9 = 0 THEN xor(crc, ascii(digits[k // 9 + 1])::BIGINT)
+                WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END
+    FROM sums WHERE k < 9 * length(digits)
+),
+crcs AS (SELECT doc_id, xor(crc, 4294967295) AS crc FROM sums WHERE k = 9 * length(digits)),
+leaves AS (
+    SELECT doc_id, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + 1)")} AS changed, crc % 7 = 0 AS tampered,
+           dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+    FROM documents LEFT JOIN crcs USING (doc_id)
+),
+nodes(tree, level, pos, hash, size) AS (
+    SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+    UNION ALL
+    SELECT a.tree, a.level + 1, a.pos // 2, sha256(a.hash || coalesce(b.hash, '')), (a.size + 1) // 2
+    FROM nodes a LEFT JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND b.pos = a.pos + 1
+    WHERE a.pos % 2 = 0 AND a.size > 1
+),
+subroots AS (SELECT tree, level AS height, hash FROM nodes WHERE size = 1),
+tops(level, pos, hash, size) AS (
+    SELECT 0, tree - 1, hash, count(*) OVER () FROM subroots
+    UNION ALL
+    SELECT a.level + 1, a.pos // 2, sha256(a.hash || coalesce(b.hash, '')), (a.size + 1) // 2
+    FROM tops a LEFT JOIN tops b ON a.level = b.level AND b.pos = a.pos + 1
+    WHERE a.pos % 2 = 0 AND a.size > 1
+),
+root AS (SELECT level AS height, hash FROM tops WHERE size = 1),
+all_nodes AS (
+    SELECT tree, level, pos, hash FROM nodes UNION ALL SELECT 0, level, pos, hash FROM tops
+),
+path AS (
+    SELECT l.doc_id, h.level AS turn, n.hash AS other, (l.pos // (2 ** h.level)::BIGINT) % 2 = 1 AS other_first
+    FROM leaves l JOIN subroots s USING (tree), LATERAL (SELECT unnest(range(s.height)) AS level) h
+    LEFT JOIN all_nodes n ON n.tree = l.tree AND n.level = h.level AND n.pos = xor(l.pos // (2 ** h.level)::BIGINT, 1)
+    UNION ALL
+    SELECT l.doc_id, s.height + h.level, n.hash, ((l.tree - 1) // (2 ** h.level)::BIGINT) % 2 = 1
+    FROM leaves l JOIN subroots s USING (tree), root r, LATERAL (SELECT unnest(range(r.height)) AS level) h
+    LEFT JOIN all_nodes n ON n.tree = 0 AND n.level = h.level AND n.pos = xor((l.tree - 1) // (2 ** h.level)::BIGINT, 1)
+),
+folds(doc_id, turn, hash) AS (
+    SELECT doc_id, 0::BIGINT, CASE WHEN tampered THEN changed ELSE leaf END FROM leaves
+    UNION ALL
+    SELECT f.doc_id, f.turn + 1,
+           sha256(CASE WHEN other_first THEN coalesce(other, '') || hash ELSE hash || coalesce(other, '') END)
+    FROM folds f JOIN path p ON p.doc_id = f.doc_id AND p.turn = f.turn
+),
+proofs AS (SELECT doc_id, string_agg(other, '' ORDER BY turn) AS proof FROM path GROUP BY doc_id)
+SELECT l.doc_id, leaf, s.hash AS subroot, r.hash AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+       f.hash AS folded_root, f.hash = r.hash AS verified
+FROM leaves l JOIN subroots s USING (tree), root r, folds f LEFT JOIN proofs p ON p.doc_id = f.doc_id
+WHERE f.doc_id = l.doc_id AND f.turn = s.height + r.height
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+failed AS (
+    SELECT doc_id, part,
+           CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+    FROM d
+),
+cells AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
+    FROM failed LEFT JOIN labels USING (doc_id) GROUP BY part, mask
+),
+bits AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+    SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM bits a, bits b, bits c, bits d, bits e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+),
+steps AS (
+    SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+    FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)
+),
+counted AS (
+    SELECT part, filter_order, step::INTEGER AS step, any_value(bit) AS bit,
+           coalesce(sum(n) FILTER (WHERE mask & (before + bit) = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+           coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+    FROM cells, steps GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM counted
+"""
