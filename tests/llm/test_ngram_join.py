@@ -114,3 +114,24 @@ def test_components_in_rounds_and_in_one_task(spark, short_list):
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), short_list).collect())
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {205: 201, 201: 201, 203: 201}
     assert got == want
+
+
+def test_each_pair_is_verified_once(documents, monkeypatch):
+    """Near copies that mostly do not link, so that all pairs are left for the last round."""
+    import ticketlens.llm.ngram_join as join
+
+    seen = []
+    verified = join._verified
+
+    def counting(pairs, sets, percent):
+        seen.append([tuple(r) for r in pairs.select("a", "b").collect()])
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(join, "_verified", counting)
+    base = long_text(11, 300)
+    rows = [(i, changed(base, 30 + i % 17, i)) for i in range(60)]
+    got = ngram_jaccard_join(documents(*rows)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    pairs = [p for turn in seen for p in turn]
+    assert len(seen) > 1 and all(a < b for a, b in pairs)
+    assert len(pairs) == len(set(pairs)) <= 60 * 59 // 2

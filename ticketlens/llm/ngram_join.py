@@ -5,11 +5,13 @@ different texts, so a row goes by its id and the hash of its text. The shingles
 whole corpus, and each set is ordered by rising document frequency. Sets that are similar
 enough share a shingle among the first few (the prefix); shingles of a single set can't be
 shared and are left out, so most documents have no prefix at all. Pairs meet on prefix
-shingles, pass length, positional and suffix filters, and are verified once.
+shingles, pass length, positional and suffix filters, and are verified once: what a round has
+verified is left out of all later ones.
 
 Clusters would give all their pairs. Since links only matter up to connection, each round
 first pairs the members of a prefix shingle with one leader and joins what is linked;
-after that only pairs across components are left, and all of those are verified.
+after that only pairs across components are left, and all of those are verified. There a
+pair meets at its first common shingle, not at each of them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SKETCH_WORDS = 4
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 #: Rounds with leaders, and leaders per token from the second round on.
 LEADER_ROUNDS, LEADERS = 3, 3
+#: First prefix shingles of a set that its later entries carry, to tell that a pair has met.
+FIRST_TOKENS = 4
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,16 +241,21 @@ def _star_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     met = entries.alias("a").join(
         leaders.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)
     )
-    return met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
+    return met.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
 
 
 def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a token and lie in different components."""
+    """All pairs that share a token and lie in different components.
+
+    Tokens have one order in all sets. A pair whose first tokens have one in common has met
+    there, so it is passed over at later ones; the few others may meet more than once.
+    """
     met = entries.alias("a").join(
         entries.alias("b"),
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.doc") < F.col("b.doc"))
         & (F.col("a.root") != F.col("b.root"))
+        & ~F.arrays_overlap("a.earlier", "b.earlier")
         & _may_link(percent),
     )
     return met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
@@ -258,18 +267,29 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     Leader rounds only save work: whatever they leave apart is paired in full at the end.
     """
     sketch = [F.get("sketch", F.lit(k)).alias(name) for k, name in enumerate(SKETCH)]
-    exploded = sets.select("doc", "n", *sketch, F.explode(F.arrays_zip("tokens", "places")).alias("e"))
-    entries = exploded.select("doc", "n", *SKETCH, F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
-    links, roots = None, None
+    zipped = F.posexplode(F.arrays_zip("tokens", "places")).alias("at", "e")
+    exploded = sets.select("doc", "n", *sketch, F.slice("tokens", 1, FIRST_TOKENS).alias("first"), zipped)
+    entries = exploded.select(
+        "doc",
+        "n",
+        *SKETCH,
+        F.col("e.tokens").alias("token"),
+        F.col("e.places").alias("place"),
+        F.slice("first", F.lit(1), F.least("at", F.lit(FIRST_TOKENS))).alias("earlier"),
+    )
+    links, roots, tested = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         rooted = entries.withColumn("root", F.col("doc"))
         if roots is not None:
             known = roots.select(F.col("node").alias("doc"), "root")
             rooted = entries.join(known, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        last = turn == LEADER_ROUNDS
-        pairs = keep(_open_pairs(rooted, percent) if last else _star_pairs(rooted, turn, percent), "pairs")
+        pairs = _open_pairs(rooted, percent) if turn == LEADER_ROUNDS else _star_pairs(rooted, turn, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
             continue
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = keep(_verified(pairs, sets, percent), "links")
         if found.isEmpty() and roots is not None:
             continue
