@@ -128,10 +128,10 @@ def test_each_pair_is_verified_once(documents, monkeypatch):
         return verified(pairs, sets, percent)
 
     monkeypatch.setattr(join, "_verified", counting)
-    base = long_text(11, 300)
-    rows = [(i, changed(base, 30 + i % 17, i)) for i in range(60)]
+    # A common part of 270 words and an end of one's own, just too long to link.
+    rows = [(i, long_text(11, 270) + " " + " ".join(f"own{i}x{k}" for k in range(26 - i % 7 // 6 * 20))) for i in range(40)]
     got = ngram_jaccard_join(documents(*rows)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
     pairs = [p for turn in seen for p in turn]
-    assert len(seen) > 1 and all(a < b for a, b in pairs)
-    assert len(pairs) == len(set(pairs)) <= 60 * 59 // 2
+    assert len(seen) > 1 and all(a < b for a, b in pairs), [len(turn) for turn in seen]
+    assert len(pairs) == len(set(pairs))
