@@ -35,13 +35,14 @@ from ticketlens.plans.warehouse import Warehouse  # noqa: E402
 from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler, sample_writer  # noqa: E402
 from ticketlens.samples.tickets import raw_tickets, source_tickets  # noqa: E402
 from ticketlens.samples.warehouse import (  # noqa: E402
+    changed_warehouse,
     faulty_raw,
     reread,
     reread_short_rows,
     resumed_labels,
     sample_warehouse,
 )
-from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS, STAGING_VIEW  # noqa: E402
+from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS  # noqa: E402
 from ticketlens.session import DEFAULT_CONF, scratch_path  # noqa: E402
 from ticketlens.sources.tables import append_table, latest_narrative, reset_narratives  # noqa: E402
 from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv  # noqa: E402
@@ -119,12 +120,12 @@ def _label_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labels(spark, sf_dir).withColumn("urgency", X.to_whole_number(F.col("urgency")))
+    return _labels(spark, sf_dir).drop("label_pos").withColumn("urgency", X.to_whole_number(F.col("urgency")))
 
 
 def _labels_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = label_tickets(source_tickets(spark, sf_dir), careful_labeler, context=CONTEXT)
-    return labels_of(answers).drop("batch_id").withColumn("urgency", X.to_whole_number(F.col("urgency")))
+    return labels_of(answers).drop("batch_id", "label_pos").withColumn("urgency", X.to_whole_number(F.col("urgency")))
 
 
 def _labels_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +198,11 @@ def _dashboard_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _cached_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPI cards from cells that are kept in memory until they are a minute old."""
+    return summaries.kpi_cards(sample_warehouse(spark, sf_dir).cached_cells(ttl=60).get())
+
+
 def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     house = sample_warehouse(spark, sf_dir)
     counts = [t.select(F.lit(n).alias("model"), F.lit(1).alias("one")) for n, t in house.models.items()]
@@ -293,7 +299,7 @@ _QUERIES: dict[str, Query] = {
     "kpis_null_inputs": lambda spark, d: summaries.kpis(fact(staging(faulty_raw(spark, d), lenient=True))),
     # stored tables, as a user builds and reads them
     "stored_raw": _stored(lambda house: house.raw),
-    "stored_staging": _stored(lambda house: house.spark.table(STAGING_VIEW)),
+    "stored_staging": _stored(lambda house: house.staging),
     "stored_fact": _stored(lambda house: house.fact),
     "stored_insights": _stored(lambda house: house.insights),
     "stored_cells": _stored(lambda house: house.cells),
@@ -301,7 +307,14 @@ _QUERIES: dict[str, Query] = {
     "quality_report": _stored(lambda house: house.quality),
     "dashboard_parts": _dashboard_parts,
     "top20_labelled_pairs": _stored(lambda house: summaries.top_pairs(house.raw, 20)),
+    "stored_explorer": _stored(lambda house: house.newest_tickets()),
+    "stored_explorer_filtered": _stored(lambda house: house.newest_tickets(plan="Basic", primary="Billing", churn="Churned Only")),
+    "cached_snapshot": _cached_snapshot,
     "labels_resumed": resumed_labels,
+    # after changes to some tickets
+    "insights_after_change": lambda spark, d: changed_warehouse(spark, d).insights,
+    "fact_after_change": lambda spark, d: changed_warehouse(spark, d).fact.drop("ticket_body"),
+    "cells_after_change": lambda spark, d: changed_warehouse(spark, d).cells,
     # taxonomy
     "taxonomy_pairs": _on_fact(lambda df: quality.taxonomy_volume(df, quality.PAIR)),
     "taxonomy_leaves": _on_fact(lambda df: quality.taxonomy_volume(df, quality.LEAF)),

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ticketlens.operators.batching import assign_batches, number_rows, place_rows
+from ticketlens.operators.batching import assign_batches, number_in_order, number_rows, place_rows
 from ticketlens.operators.labeling import (
     LabelRequest,
     answer,
@@ -82,6 +82,44 @@ def test_batches(spark):
     assert [(r["batch_id"], r["batch_pos"]) for r in got] == [(i // 20, i % 20) for i in range(45)]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+@pytest.mark.parametrize("unit", [1, 3])
+def test_numbers_in_order_with_ties_and_copies(spark, parts, unit):
+    """Unique keys, one key with many rows, and equal rows that reach over several parts."""
+    rows = [(f"k{i:03d}", i) for i in range(50)] + [("k010", i) for i in range(20)] + [("k025", -1)] * 33
+    got = number_in_order(spark.createDataFrame(rows, "k string, v int").repartition(6), "k", unit=unit, parts=parts)
+    with_part = got.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.k, r.v) for r in with_part) == sorted(rows)
+    ordered = sorted(with_part, key=lambda r: r.row_no)
+    assert [r.row_no for r in ordered] == list(range(len(rows)))
+    assert [r.k for r in ordered] == sorted(k for k, _ in rows)
+    # Rows lie in order in their partitions, and no unit is split.
+    assert with_part == sorted(with_part, key=lambda r: (r.part, r.row_no))
+    assert len({(r.row_no // unit, r.part) for r in with_part}) == len({r.row_no // unit for r in with_part})
+    most = -(-len(rows) // (parts * unit)) * unit
+    assert max(Counter(r.part for r in with_part).values()) <= most
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(keys=st.lists(st.sampled_from("abcdef"), max_size=40), parts=st.integers(1, 9), unit=st.integers(1, 5))
+def test_numbers_in_order_of_any_rows(spark, keys, parts, unit):
+    rows = [(k, i % 3) for i, k in enumerate(keys)]
+    got = number_in_order(spark.createDataFrame(rows, "k string, v int"), "k", unit=unit, parts=parts).collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.row_no)] == sorted(keys)
+    assert sorted((r.k, r.v) for r in got) == sorted(rows)
+    assert sorted(r.row_no for r in got) == list(range(len(rows)))
+
+
+def test_texts_move_once_to_be_batched(spark, csv_tickets, tmp_path):
+    path = str(tmp_path / "tickets")
+    csv_tickets(*[{"ticket_id": f"T{i:03d}"} for i in range(90)]).write.parquet(path)
+    with session_conf(spark, spark__sql__shuffle__partitions="3"):
+        prompts = render_prompts(assign_batches(spark.read.parquet(path)))
+        plan = final_plan(prompts).split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert [len(r.tickets) for r in prompts.orderBy("batch_id").collect()] == [20, 20, 20, 20, 10]
+
+
 # -- prompts and replies -------------------------------------------------------------
 
 
@@ -180,7 +218,7 @@ def test_in_place_batches_give_the_same_labels(spark):
         answers = label_tickets(tickets, careful_labeler, context=CONTEXT, **options)
         assert answers.where("tickets > 7").isEmpty()
         assert answers.select("batch_id").distinct().count() == answers.count()
-        return sorted(map(str, labels_of(answers).drop("batch_id").collect()))
+        return sorted(map(str, labels_of(answers).drop("batch_id", "label_pos").collect()))
 
     assert rows(batch_size=7) == rows(batch_size=7, stable_batches=True)
 
@@ -233,12 +271,25 @@ def test_labels_that_pile_up_are_dealt_to_parts(csv_tickets, label_rows, monkeyp
     assert counts == {("a", False): 20, ("b", False): 1, ("c", True): 1, (None, True): 1}
 
 
+def test_labels_are_dealt_alike_however_they_lie(spark, csv_tickets, monkeypatch):
+    """A task that runs again may read its labels in another order; the deal must not change."""
+    monkeypatch.setattr("ticketlens.operators.labeling.LABELS_PER_PART", 4)
+    replies = [(k // 10, k % 10, "a", *[str(LABEL[c]) for c in LABEL_COLUMNS], False) for k in range(60)]
+    schema = "batch_id BIGINT, label_pos INT, ticket_id STRING, " + ", ".join(f"{c} STRING" for c in LABEL_COLUMNS)
+    labels = spark.createDataFrame(replies, schema + ", is_fallback BOOLEAN")
+    joined = attach_labels(csv_tickets({"ticket_id": "a"}), labels)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan and "xxhash64(batch_id" in plan
+    for n in (1, 5, 13):
+        assert attach_labels(csv_tickets({"ticket_id": "a"}), labels.repartition(n)).count() == 60
+
+
 def test_like_a_left_join(spark, label_rows):
     tickets = source_tickets(spark, SMALL, body=False)
     labels = labels_of(label_tickets(tickets, sample_labeler, context=CONTEXT))
     got = attach_labels(tickets.drop("priority"), labels)
     plain = tickets.drop("priority", "primary_label", "secondary_label", "sentiment").join(
-        labels.drop("batch_id", "is_fallback"), "ticket_id", "left"
+        labels.drop("batch_id", "label_pos", "is_fallback"), "ticket_id", "left"
     )
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.select(*got.columns).collect()))
 

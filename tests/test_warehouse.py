@@ -9,7 +9,7 @@ from test_sources import write_rows
 from pyspark import cloudpickle
 
 from ticketlens.operators.filters import apply_filters
-from ticketlens.operators.summaries import kpis
+from ticketlens.operators.summaries import kpis, newest_months, ticket_explorer
 from ticketlens.plans import narrative as N
 from ticketlens.plans.models import insights
 from ticketlens.plans.overview import dashboard
@@ -199,6 +199,119 @@ def test_malformed_rows_and_checks_are_stored(spark, tmp_path):
     assert {m for m, *_ in failing} == {"raw_support_tickets", "stg_support_tickets", "fct_support_tickets", "support_insights"}
 
 
+# -- changes -------------------------------------------------------------------------
+
+CHANGES = [
+    {"ticket_id": "T1", "created_at": "2024-01-05"},
+    {"ticket_id": "T2", "created_at": "2024-01-06", "sentiment": "Angry", "is_churned": "True"},
+    {"ticket_id": "T2", "created_at": "2024-02-06", "urgency": "3"},
+    {"ticket_id": "T3", "created_at": "2024-03-07", "plan_type": "Premium"},
+    {"ticket_id": "T4", "created_at": None},
+    {"ticket_id": None, "created_at": "2024-03-01"},
+    {"ticket_id": "T5", "created_at": "2024-04-01", "user_id": None},
+]
+
+
+def models_of(house):
+    return [sorted(map(str, t.collect())) for t in (house.raw, house.fact, house.cells, house.insights)]
+
+
+def built(spark, path, rows, prefix, lenient=False):
+    house = Warehouse(spark, str(path), prefix=prefix)
+    house.load_raw(rows)
+    house.build_models(lenient)
+    return house
+
+
+@pytest.mark.parametrize(
+    ("changed", "removed"),
+    [
+        ([{"ticket_id": "T2", "created_at": "2024-01-06"}, {"ticket_id": "T9", "created_at": "2025-01-01"}], ["T3"]),
+        ([{"ticket_id": "T4", "created_at": "2024-03-31"}], ["T1", "T2", "T5", "unknown"]),
+        ([{"ticket_id": None, "created_at": None}, {"ticket_id": "T1", "created_at": None}], [None]),
+        ([], ["T1", "T2", "T3", "T4", "T5"]),
+        ([], []),
+    ],
+)
+def test_changes_leave_what_a_full_build_would(spark, raw_rows, tmp_path, changed, removed):
+    lenient = bool(removed)
+    house = built(spark, tmp_path / "a", raw_rows(*CHANGES), "a_", lenient)
+    new = raw_rows(*changed) if changed else None
+    gone = spark.createDataFrame([(i,) for i in removed], "ticket_id string") if removed else None
+    house.apply_changes(new, gone, lenient)
+    ids = {r["ticket_id"] for r in changed} | set(removed)
+    after = [r for r in CHANGES if r["ticket_id"] is None or r["ticket_id"] not in ids] + changed
+    rows = raw_rows(*after) if after else raw_rows(*CHANGES).limit(0)
+    full = built(spark, tmp_path / "b", rows, "b_", lenient)
+    assert models_of(house) == models_of(full)
+
+
+def test_rows_that_cannot_be_cast_move_between_models_and_quarantine(spark, raw_rows, tmp_path):
+    house = built(spark, tmp_path, raw_rows({"ticket_id": "T1"}, {"ticket_id": "T2", "created_at": "soon"}), "q_", True)
+    house.apply_changes(raw_rows({"ticket_id": "T1", "urgency": "high"}, {"ticket_id": "T2"}), lenient=True)
+    assert [r.ticket_id for r in house.fact.collect()] == ["T2"]
+    assert [r.ticket_id for r in spark.table("q_quarantined_support_tickets").collect()] == ["T1"]
+
+
+def test_a_change_leaves_other_months_alone(spark, raw_rows, tmp_path):
+    rows = raw_rows(*[{"ticket_id": f"T{k}", "created_at": f"2024-{k % 12 + 1:02d}-03"} for k in range(48)])
+    house = built(spark, tmp_path, rows, "m_")
+
+    def files(month):
+        return sorted(house.fact.where(f"ticket_month = date'{month}'").inputFiles())
+
+    before = {m: files(f"2024-{m:02d}-01") for m in range(1, 13)}
+    reader = house.fact
+    old = reader.count()
+    months = house.apply_changes(raw_rows({"ticket_id": "T1", "created_at": "2024-05-01"}))
+    assert [str(m) for m in months] == ["2024-02-01", "2024-05-01"]
+    after = {m: files(f"2024-{m:02d}-01") for m in range(1, 13)}
+    assert {m for m in before if before[m] != after[m]} == {2, 5}
+    # A frame from before the change reads what it has read all along.
+    assert reader.count() == old
+
+
+def test_readers_see_the_old_models_while_a_build_runs(spark, raw_rows, tmp_path, monkeypatch):
+    import ticketlens.plans.warehouse as plans
+
+    house = built(spark, tmp_path, raw_rows({"ticket_id": "T1"}, {"ticket_id": "T2"}), "r_")
+    seen = []
+    write = plans.write_version
+
+    def watched(*args, **options):
+        found = write(*args, **options)
+        seen.append([house.fact.count(), house.cells.agg({"tickets": "sum"}).head()[0], house.insights.count()])
+        return found
+
+    monkeypatch.setattr(plans, "write_version", watched)
+    house.load_raw(raw_rows({"ticket_id": "T1"}))
+    house.build_models()
+    assert seen == [[2, 2, 1]] * 3 and house.fact.count() == 1
+
+
+# -- the explorer --------------------------------------------------------------------
+
+
+def test_the_explorer_reads_the_newest_months_only(spark, raw_rows, tmp_path):
+    rows = [{"ticket_id": f"T{k:03d}", "created_at": f"2024-{k % 12 + 1:02d}-{k % 28 + 1:02d}", "plan_type": "Basic" if k % 2 else "Premium"} for k in range(120)]
+    house = built(spark, tmp_path, raw_rows(*rows, {"ticket_id": "T999", "created_at": None}), "e_")
+    for n, filters in ((5, {}), (10, {}), (11, {}), (30, {"plan": "Basic"}), (500, {}), (7, {"plan": "Premium", "churn": "Active Only"})):
+        got = house.newest_tickets(n, **filters)
+        assert got.collect() == ticket_explorer(apply_filters(house.fact, **filters), n).collect()
+    # December holds ten tickets.
+    for n, months in ((10, 1), (11, 2), (120, 12)):
+        plan = house.newest_tickets(n)._jdf.queryExecution().executedPlan()
+        assert "PartitionFilters: [isnotnull(ticket_month" in plan.toString()
+        found = {f.split("ticket_month=")[1][:10] for f in newest_months(house.fact, house.cells, n).inputFiles()}
+        assert len(found) == months and "2024-12-01" in found
+    assert house.newest_tickets(121).count() == 121
+
+
+def test_the_explorer_of_unlisted_plans_is_empty(spark, raw_rows, tmp_path):
+    house = built(spark, tmp_path, raw_rows({"ticket_id": "T1"}), "u_")
+    assert house.newest_tickets(plan="Enterprise").count() == 0
+
+
 def test_no_tickets(spark, csv_tickets, tmp_path):
     house = Warehouse(spark, str(tmp_path))
     house.load_labelled(csv_tickets({}).where("false"), sample_labeler, context=["channel"], stable_batches=True)

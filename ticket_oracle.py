@@ -151,6 +151,26 @@ fct AS (
 
 _FCT = _RAW + _STG_FCT
 
+# Raw tickets of which some of 1995 were changed, added and removed after a build.
+_CHANGED = (
+    _RAW.replace("raw AS (", "raw_before AS (")
+    + """,
+dated AS (
+    SELECT *, substr(ticket_id, 5)::BIGINT AS n, coalesce(created_at LIKE '1995-%' AND ticket_id IS NOT NULL, false) AS is_open
+    FROM raw_before
+),
+raw AS (
+    SELECT * EXCLUDE (n, is_open) FROM dated WHERE NOT is_open OR (n % 13 <> 0 AND n % 17 <> 0)
+    UNION ALL
+    SELECT * EXCLUDE (n, is_open) REPLACE ('Positive' AS sentiment, 'Premium' AS plan_type,
+           (created_at::DATE + 40)::DATE::VARCHAR AS created_at)
+    FROM dated WHERE is_open AND n % 13 = 0
+    UNION ALL
+    SELECT * EXCLUDE (n, is_open) REPLACE ('NEW-' || substr(ticket_id, 5) AS ticket_id) FROM dated WHERE is_open AND n % 19 = 0
+)"""
+    + _STG_FCT
+)
+
 _INSIGHTS = """,
 insights AS (
     SELECT primary_label, secondary_label, plan_type, ticket_month,
@@ -430,6 +450,7 @@ def build() -> dict[str, str]:
         "ticket_id, user_id, plan_type, primary_label, secondary_label, tertiary_label, sentiment, "
         "urgency, status, is_churned, one_line_summary, created_at"
     )
+    newest = "ORDER BY created_at DESC NULLS LAST, ticket_id, urgency NULLS FIRST LIMIT 100"
     pair = "primary_label, secondary_label"
     leaf = "primary_label, secondary_label, tertiary_label"
     pair_unknown = (
@@ -475,7 +496,7 @@ UNION ALL SELECT DISTINCT 'primary_label', 1, primary_label FROM fct WHERE prima
             _FCT, _count_by(pair, '"count"', "plan_type = 'Premium'") + f' ORDER BY "count" DESC, {pair} LIMIT 10'
         ),
         "ticket_explorer": _q(
-            _FCT, f"SELECT {explorer} FROM fct ORDER BY created_at DESC NULLS LAST, ticket_id LIMIT 100"
+            _FCT, f"SELECT {explorer} FROM fct {newest}"
         ),
         "summary_cells": _q(_FCT + _CELLS, "SELECT * FROM cells"),
         "dashboard_onepass": _q(_FCT + _CELLS, _onepass()),
@@ -625,6 +646,15 @@ SELECT primary_label, secondary_label, count(*) AS count FROM raw
 WHERE primary_label IS NOT NULL AND secondary_label IS NOT NULL
 GROUP BY ALL ORDER BY count DESC, primary_label, secondary_label LIMIT 20""",
         ),
+        "stored_explorer": _q(_CHECKED, f"SELECT {explorer} FROM fct {newest}"),
+        "stored_explorer_filtered": _q(
+            _CHECKED,
+            f"SELECT {explorer} FROM fct WHERE plan_type = 'Basic' AND primary_label = 'Billing' AND is_churned {newest}",
+        ),
+        "cached_snapshot": _q(_CHECKED + _kpis(), _CARDS),
+        "insights_after_change": _q(_CHANGED + _INSIGHTS, "SELECT * FROM insights"),
+        "fact_after_change": _q(_CHANGED, "SELECT * EXCLUDE (ticket_body) FROM fct"),
+        "cells_after_change": _q(_CHANGED + _CELLS, "SELECT * FROM cells"),
         "labels_resumed": _q(
             _LABELS,
             """

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens.session import stage
 
@@ -63,17 +66,156 @@ def number_rows(
     return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(number))
 
 
+# -- numbering with one exchange of whole rows ---------------------------------------
+
+
+@dataclass(frozen=True)
+class _Bounds:
+    """Where rows ``rows_per_part``, 2 x ``rows_per_part``, ... begin, by key.
+
+    ``cells`` are (key, part): rows from this key on belong to the part. ``cut`` are keys whose
+    equal rows lie in several parts: (key, part, copies).
+    """
+
+    parts: int
+    rows_per_part: int
+    cells: list[tuple[tuple, int]]
+    cut: list[tuple[tuple, int, int]]
+
+
+_TIES = ["_tie1", "_tie2"]
+
+
+def _find_bounds(
+    keyed: DataFrame, key: list[str], unit: int, parts: int, folder: str | None, unique: bool = False
+) -> _Bounds | None:
+    """Bounds at exact row numbers, from the keys and their counts alone; none if ``unique`` keys repeat.
+
+    Equal keys are counted in each task first, so a key of a third of all rows is one narrow
+    row. The driver gets one row per bound.
+    """
+    groups = stage(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), f"keys{len(key)}", folder)
+    total, most = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.max("_n")).head()
+    rows = max(1, -(-total // (parts * unit))) * unit
+    if total <= rows:
+        return _Bounds(1, rows, [], [])
+    if unique and most > 1:
+        return None
+    placed = stage(
+        groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()),
+        f"ordered_keys{len(key)}",
+        folder,
+    ).withColumn("_range", F.shiftright("_at", _ROW_BITS))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.sum("_n").alias("_rows"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    if most > 1:
+        inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        place = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    # One row per range of the shuffle above: bounded by its partition count.
+    counted = placed.withColumn("_place", place).join(F.broadcast(starts), "_range")
+    first, stop = F.col("_start") + F.col("_place"), F.col("_start") + F.col("_place") + F.col("_n")
+    holds_bound = F.expr(f"(_stop - 1) DIV {rows} > (_first - 1) DIV {rows}")
+    found = (
+        counted.select(*key, first.alias("_first"), stop.alias("_stop"))
+        .where(holds_bound)
+        .select(F.struct(*key).alias("key"), "_first", "_stop")
+        .orderBy("_first")
+        .collect()
+    )
+    cells, cut = [], []
+    for row in found:
+        start, end = row["_first"], row["_stop"]
+        cells.append((tuple(row["key"]), (end - 1) // rows))
+        if start // rows != (end - 1) // rows:
+            for part in range(start // rows, (end - 1) // rows + 1):
+                copies = min(end, (part + 1) * rows) - max(start, part * rows)
+                cut.append((tuple(row["key"]), part, copies))
+    return _Bounds(-(-total // rows), rows, cells, cut)
+
+
+def _part_of(key: list[str], cells: list[tuple[tuple, int]]) -> Column:
+    """The part of a row: that of the last cell at or before its key, found in two steps."""
+    if not cells:
+        return F.lit(0)
+    step = max(1, int(len(cells) ** 0.5))
+
+    def bound(cell: tuple[tuple, int]) -> Column:
+        fields = [F.lit(v).alias(c) for c, v in zip(key, cell[0])]
+        return F.struct(F.struct(*fields).alias("key"), F.lit(cell[1]).alias("part"))
+
+    pages = [cells[i : i + step] for i in range(0, len(cells), step)]
+    firsts = F.array(*[bound(page[0])["key"] for page in pages])
+    book = F.array(*[F.array(*map(bound, page)) for page in pages])
+    own = F.struct(*key)
+    page = F.get(book, F.size(F.filter(firsts, lambda k: k <= own)) - 1)
+    return F.coalesce(F.element_at(F.filter(page, lambda b: b["key"] <= own), -1)["part"], F.lit(0))
+
+
+def number_in_order(
+    df: DataFrame,
+    order_by: str,
+    number: str = "row_no",
+    unit: int = 1,
+    parts: int | None = None,
+    folder: str | None = None,
+) -> DataFrame:
+    """Number all rows 0, 1, 2, ... in the order of a column; whole rows move once.
+
+    The keys alone are sorted and stored first, which tells at which keys the parts begin.
+    Parts hold equally many rows, a multiple of ``unit``, so that each part's numbers are known
+    before its rows arrive; the rows then go straight to their part and are sorted there. The
+    result is in order within partitions, and no run of ``unit`` rows is split between them.
+
+    Where values repeat, rows are ordered by a 128-bit hash of the whole row, too; else the
+    first step reads the one column only. Equal rows that lie across a bound are sent once to
+    each part they reach, with their count there.
+    ``df`` is read twice and has to give the same rows; values must not be null. ``parts`` is the number of shuffle partitions if not given.
+    """
+    spark, kept = df.sparkSession, df.columns
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key, keyed = [order_by], df
+    bounds = _find_bounds(keyed, key, unit, parts, folder, unique=True)
+    if bounds is None:
+        key = [order_by, *_TIES]
+        keyed = df.withColumns({tie: F.xxhash64(F.lit(seed), *kept) for seed, tie in enumerate(_TIES)})
+        bounds = _find_bounds(keyed, key, unit, parts, folder)
+    rows = keyed.withColumn("_part", _part_of(key, bounds.cells).cast("int"))
+    if bounds.cut:
+        fields = keyed.select(*key).schema.fields
+        schema = T.StructType([*fields, T.StructField("_part", T.IntegerType()), T.StructField("_copies", T.LongType())])
+        pieces = F.broadcast(spark.createDataFrame([(*k, part, copies) for k, part, copies in bounds.cut], schema))
+        keys = pieces.select(*key).distinct()
+        once = keyed.join(keys, key, "left_semi").groupBy(*key).agg(F.first(F.struct(*kept)).alias("_row"))
+        copied = once.join(pieces, key).select("_row.*", *_TIES, "_part", "_copies")
+        whole = rows.join(keys, key, "left_anti").withColumn("_copies", F.lit(1).cast("bigint"))
+        rows = whole.unionByName(copied)
+    # Of equal keys only equal rows are left, which nothing tells apart.
+    sent = rows.repartitionById(bounds.parts, F.col("_part")).sortWithinPartitions(*key)
+    if bounds.cut:
+        sent = sent.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+    at = F.monotonically_increasing_id()
+    return sent.select(*kept, at.alias("_at")).select(
+        *kept,
+        (F.shiftright("_at", _ROW_BITS) * bounds.rows_per_part + F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias(number),
+    )
+
+
 def assign_batches(
     tickets: DataFrame,
     batch_size: int = BATCH_SIZE,
     order_by: str = "ticket_id",
     folder: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add ``batch_id`` and ``batch_pos`` (both from 0), by ticket order.
 
-    Tickets without an id cannot be matched to an answer and are left out.
+    The rows of a batch follow each other in one partition. Tickets without an id cannot be
+    matched to an answer and are left out.
     """
-    numbered = number_rows(tickets.where(F.col(order_by).isNotNull()), order_by, "_row_no", folder)
+    with_id = tickets.where(F.col(order_by).isNotNull())
+    numbered = number_in_order(with_id, order_by, "_row_no", batch_size, parts, folder)
     return numbered.select(
         *tickets.columns,
         F.expr(f"_row_no DIV {int(batch_size)}").alias("batch_id"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ticketlens.operators.answer_log import MOST_WAITING, AnswerLog, TaskAnswers, content_key
 from ticketlens.operators.batching import BATCH_SIZE, assign_batches
 from ticketlens.schemas import (
     FALLBACK_SUMMARY,
@@ -92,24 +93,48 @@ def prompt_lines(batched: DataFrame) -> DataFrame:
     return batched.select("batch_id", "batch_pos", "ticket_id", prompt_line().alias("line"))
 
 
-def render_prompts(batched: DataFrame, context: Iterable[str] = (), concurrency: int | None = None) -> DataFrame:
+def _request_rows(batched: DataFrame, context: Iterable[str]) -> DataFrame:
+    return batched.select("batch_id", "ticket_id", *REPLACED_COLUMNS, *context, prompt_line().alias("line"))
+
+
+def whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Batches of rows that follow each other: the batch's number and its rows."""
+    number, waiting = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = row.pop("batch_id")
+            if waiting and own != number:
+                yield number, waiting
+                waiting = []
+            number = own
+            waiting.append(row)
+    if waiting:
+        yield number, waiting
+
+
+def render_prompts(batched: DataFrame, context: Iterable[str] = ()) -> DataFrame:
     """One row per batch: ``(batch_id, prompt, tickets)``.
 
-    A group is one batch, so it never holds more than the batch size.
-    ``concurrency`` fixes the number of partitions, and so of parallel labeller calls.
+    Batches come from ``assign_batches``, which leaves the rows of each together in order,
+    so they are not shuffled again. A task holds one batch and one Arrow batch at a time.
     """
-    known = ["ticket_id", *REPLACED_COLUMNS, *context]
-    keyed = batched.repartition(concurrency, "batch_id") if concurrency else batched
-    packed = F.struct("batch_pos", prompt_line().alias("line"), F.struct(*known).alias("ticket"))
-    return (
-        keyed.groupBy("batch_id")
-        .agg(F.array_sort(F.collect_list(packed)).alias("rows"))
-        .select(
-            "batch_id",
-            F.concat(F.lit(prompt_head()), F.array_join(F.col("rows.line"), "\n")).alias("prompt"),
-            F.col("rows.ticket").alias("tickets"),
-        )
+    rows, head = _request_rows(batched, context), prompt_head()
+    ticket = T.StructType([f for f in rows.schema.fields if f.name not in ("batch_id", "line")])
+    schema = T.StructType(
+        [
+            T.StructField("batch_id", T.LongType()),
+            T.StructField("prompt", T.StringType()),
+            T.StructField("tickets", T.ArrayType(ticket)),
+        ]
     )
+    arrow = to_arrow_schema(schema)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, found in whole_batches(batches):
+            prompt = head + "\n".join(row.pop("line") for row in found)
+            yield pa.RecordBatch.from_pylist([{"batch_id": number, "prompt": prompt, "tickets": found}], schema=arrow)
+
+    return rows.mapInArrow(render, schema)
 
 
 # -- replies -------------------------------------------------------------------------
@@ -149,72 +174,126 @@ def fallback_labels(tickets: list[dict]) -> list[dict]:
     ]
 
 
-def answer(labeler: Labeler, request: LabelRequest) -> dict:
-    """One answer row. A failing call or reply concerns its own batch only."""
+def _outcome(labeler: Labeler, request: LabelRequest) -> dict:
+    """What a call came to: its reply, or why there is no usable one."""
     try:
-        labels, error = parse_reply(labeler(request)), None
+        reply = labeler(request)
+        parse_reply(reply)
+        return {"reply": reply, "error": None, "usable": True}
     except Exception as problem:
         reason = f"{type(problem).__name__}: {problem}".encode(errors="replace").decode()
-        labels, error = fallback_labels(request.tickets), reason
+        return {"reply": None, "error": reason, "usable": False}
+
+
+def _answer_row(request: LabelRequest, outcome: dict) -> dict:
+    failed = outcome["error"] is not None
     return {
         "batch_id": request.batch_id,
         "tickets": len(request.tickets),
-        "is_fallback": error is not None,
-        "error": error,
-        "labels": labels,
+        "is_fallback": failed,
+        "error": outcome["error"],
+        "labels": fallback_labels(request.tickets) if failed else parse_reply(outcome["reply"]),
     }
 
 
-# -- the job -------------------------------------------------------------------------
+def answer(labeler: Labeler, request: LabelRequest) -> dict:
+    """One answer row. A failing call or reply concerns its own batch only."""
+    return _answer_row(request, _outcome(labeler, request))
 
 
-def _answer_prompts(labeler: Labeler, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            answers = [answer(labeler, LabelRequest(**row)) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(answers, schema=schema)
+def logged_answers(
+    requests: Iterable[LabelRequest], labeler: Labeler, known: TaskAnswers, version: str
+) -> Iterator[dict]:
+    """Answer rows of which each is in the log before it is given out.
 
-    return run
+    Calls are left out whose outcome the log has, from the same ``version`` of a labeller.
+    """
+    waiting: list[tuple[LabelRequest, str]] = []
 
+    def settled() -> Iterator[dict]:
+        known.commit()
+        for request, key in waiting:
+            yield _answer_row(request, known.get(key))
+        waiting.clear()
+
+    for request in requests:
+        key = content_key(version, request.prompt, request.tickets)
+        known.put(key, lambda: _outcome(labeler, request))
+        waiting.append((request, key))
+        if known.is_due() or len(waiting) >= MOST_WAITING:
+            yield from settled()
+    yield from settled()
+    known.close()
+
+
+# -- the job -------------------------------------------------------------------------
 
-def _answer_in_place(labeler: Labeler, schema: pa.Schema, head: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_id = TaskContext.get().partitionId() << 33
-        waiting: list[dict] = []
-        done = 0
 
-        def ask(rows: list[dict]) -> pa.RecordBatch:
-            nonlocal done
-            prompt = head + "\n".join(row.pop("line") for row in rows)
-            row = answer(labeler, LabelRequest(first_id + done, prompt, rows))
-            done += 1
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+def _numbered_in_place(size: int):
+    """Cut the rows of a task into batches as they come; numbers tell tasks apart."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+        number, waiting = TaskContext.get().partitionId() << 33, []
         for batch in batches:
             waiting += batch.to_pylist()
             while len(waiting) >= size:
-                yield ask(waiting[:size])
+                yield number, waiting[:size]
+                number += 1
                 del waiting[:size]
         if waiting:
-            yield ask(waiting)
+            yield number, waiting
+
+    return cut
+
+
+def _answered(rows: DataFrame, cut: Callable, labeler: Labeler, log: AnswerLog | None, version: str) -> DataFrame:
+    """Answers to the batches that ``cut`` makes of each task's rows."""
+    schema, head = to_arrow_schema(ANSWER_SCHEMA), prompt_head()
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[LabelRequest]:
+        for number, found in cut(batches):
+            prompt = head + "\n".join(row.pop("line") for row in found)
+            yield LabelRequest(number, prompt, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = requests(batches)
+        if log:
+            task = TaskContext.get()
+            known = log.of_task(task.partitionId(), task.taskAttemptId())
+            answers = logged_answers(asked, labeler, known, version)
+        else:
+            answers = (answer(labeler, request) for request in asked)
+        for row in answers:
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return rows.mapInArrow(run, ANSWER_SCHEMA)
+
 
-    return run
+def version_of(labeler: Labeler) -> str:
+    """The name under which a labeller's answers are logged."""
+    return f"{getattr(labeler, '__module__', '')}:{getattr(labeler, '__qualname__', type(labeler).__qualname__)}"
 
 
-def answers_of_prompts(prompts: DataFrame, labeler: Labeler) -> DataFrame:
-    """Answers to rendered prompts; lazy, see ``label_tickets``."""
-    return prompts.mapInArrow(_answer_prompts(labeler, to_arrow_schema(ANSWER_SCHEMA)), ANSWER_SCHEMA)
+def answers_in_order(
+    batched: DataFrame, labeler: Labeler, context: Iterable[str] = (), log: AnswerLog | None = None, version: str = ""
+) -> DataFrame:
+    """Answers for batches that ``assign_batches`` has made; lazy, see ``label_tickets``."""
+    return _answered(_request_rows(batched, context), whole_batches, labeler, log, version)
 
 
 def answers_in_place(
-    tickets: DataFrame, labeler: Labeler, context: Iterable[str] = (), batch_size: int = BATCH_SIZE
+    tickets: DataFrame,
+    labeler: Labeler,
+    context: Iterable[str] = (),
+    batch_size: int = BATCH_SIZE,
+    log: AnswerLog | None = None,
+    version: str = "",
 ) -> DataFrame:
     """Answers for tickets batched inside their own partitions; lazy, see ``label_tickets``."""
     rows = tickets.where(F.col("ticket_id").isNotNull()).select(
         "ticket_id", *REPLACED_COLUMNS, *context, prompt_line().alias("line")
     )
-    run = _answer_in_place(labeler, to_arrow_schema(ANSWER_SCHEMA), prompt_head(), batch_size)
-    return rows.mapInArrow(run, ANSWER_SCHEMA)
+    return _answered(rows, _numbered_in_place(batch_size), labeler, log, version)
 
 
 def label_tickets(
@@ -226,12 +305,22 @@ def label_tickets(
     concurrency: int | None = None,
     observation: Observation | None = None,
     folder: str | None = None,
+    answer_log: str | None = None,
+    version: str | None = None,
 ) -> DataFrame:
     """Label all tickets that have an id and return the stored answers.
 
     Ticket texts are not shuffled: each task batches the rows it reads. With
     ``stable_batches`` the batches follow the ticket ids instead and are the same
-    for any partitioning, for the price of sorting the texts.
+    for any partitioning, for the price of one exchange that sorts the texts.
+
+    Answers are logged before a task gives them out, so a task that Spark runs again, or
+    twice at once, reuses what it has; at most half a second of calls is not yet in the log
+    when a task dies, or one call if it takes longer. The log goes when the answers are stored;
+    with ``answer_log`` it is kept in that folder, and a later run over the same partitions
+    uses its answers from the same ``version`` of the labeller (its name if not given).
+    Where Python can't open the shared folder's file system, only a given ``answer_log`` is
+    an error; otherwise there is no log.
 
     The answers are written before they are returned, so no later plan can call
     the labeller again. ``observation`` receives ``batches``, ``failed_batches``,
@@ -241,16 +330,18 @@ def label_tickets(
     caller removes it when they are read.
     """
     spark, context = tickets.sparkSession, list(context)
+    version = version_of(labeler) if version is None else version
     with (
         session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(ARROW_BATCH_BYTES)),
-        scratch_folder(spark, "batches") as batches,
+        scratch_folder(spark, "batches") as scratch,
     ):
+        log = AnswerLog.at(spark, answer_log) if answer_log else AnswerLog.if_reachable(spark, f"{scratch}/answers")
         if stable_batches:
-            prompts = render_prompts(assign_batches(tickets, batch_size, folder=batches), context, concurrency)
-            answers = answers_of_prompts(prompts, labeler)
+            batched = assign_batches(tickets, batch_size, folder=scratch, parts=concurrency)
+            answers = answers_in_order(batched, labeler, context, log, version)
         else:
             source = tickets.repartition(concurrency) if concurrency else tickets
-            answers = answers_in_place(source, labeler, context, batch_size)
+            answers = answers_in_place(source, labeler, context, batch_size, log, version)
         if observation is not None:
             answers = answers.observe(
                 observation,
@@ -263,10 +354,9 @@ def label_tickets(
 
 
 def labels_of(answers: DataFrame) -> DataFrame:
-    """Answers flattened to one row per label."""
-    return answers.select("batch_id", "is_fallback", F.explode("labels").alias("label")).select(
-        "batch_id", "label.*", "is_fallback"
-    )
+    """Answers flattened to one row per label; ``label_pos`` is its place in the reply."""
+    exploded = answers.select("batch_id", "is_fallback", F.posexplode("labels").alias("label_pos", "label"))
+    return exploded.select("batch_id", "label_pos", "label.*", "is_fallback")
 
 
 def _answered_ids(labels: DataFrame) -> DataFrame:
@@ -302,7 +392,8 @@ def attach_labels(tickets: DataFrame, labels: DataFrame) -> DataFrame:
     of its own that no label has, so these spread over all partitions. Adaptive skew
     handling splits the tickets of a hot id, but can't split the right side of a left join:
     where labels pile up on an id (which a labeller may have made up), they are dealt to
-    parts, and the few tickets of the id are repeated for each.
+    parts, and the few tickets of the id are repeated for each. The deal goes by a hash of the
+    stored label with its batch and place, so a task that runs again deals as before.
     """
     kept = [c for c in tickets.columns if c not in REPLACED_COLUMNS + LABEL_COLUMNS]
     keyed = labels.where(F.col("ticket_id").isNotNull())
@@ -316,7 +407,7 @@ def attach_labels(tickets: DataFrame, labels: DataFrame) -> DataFrame:
     left = left.select(*kept, "_many", key.alias("_key"), F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("_part"))
     right = keyed.join(many, F.col("ticket_id") == F.col("_many"), "left").select(
         F.concat(F.lit("id:"), "ticket_id").alias("_key"),
-        F.pmod(F.monotonically_increasing_id(), parts).cast("int").alias("_part"),
+        F.pmod(F.xxhash64(*labels.columns), parts).cast("int").alias("_part"),
         F.lit(True).alias("_answered"),
         *LABEL_COLUMNS,
     )

@@ -147,6 +147,27 @@ def top_pairs(df: DataFrame, n: int) -> DataFrame:
 
 
 def ticket_explorer(df: DataFrame, n: int = 100) -> DataFrame:
-    """The newest tickets: each task keeps its own n newest, one merges them."""
-    newest_first = [F.desc_nulls_last("created_at"), F.asc("ticket_id")]
+    """The newest tickets: each task keeps its own n newest, one merges them.
+
+    Of one day they go by id; rows of one id, which differ in their labels, by urgency.
+    """
+    newest_first = [F.desc_nulls_last("created_at"), F.asc("ticket_id"), F.asc_nulls_first("urgency")]
     return pick_columns(df, EXPLORER_COLUMNS).orderBy(*newest_first).limit(n)
+
+
+def newest_months(fct: DataFrame, counted: DataFrame, n: int = 100) -> DataFrame:
+    """The fact rows of the newest months that hold ``n`` tickets together.
+
+    ``counted`` says how many tickets a month has: cells, or fact rows, under the filter that
+    ``fct`` has, and of the same build. The months are walked from the newest on, n of them at
+    most, and the walk ends as soon as they hold enough; a fact table stored by month is read
+    in these only. Tickets without a date come last, so they are left out unless all dated ones are
+    too few.
+    """
+    dated = counted.where(F.col("ticket_month").isNotNull()).groupBy("ticket_month").agg(total_tickets(counted).alias("_n"))
+    held = 0
+    for row in dated.where("_n > 0").orderBy(F.desc("ticket_month")).limit(n).collect():
+        held += row["_n"]
+        if held >= n:
+            return fct.where(F.col("ticket_month") >= F.lit(row["ticket_month"]))
+    return fct

@@ -14,6 +14,7 @@ from ticketlens.operators.summaries import (
     kpi_cards,
     kpis,
     monthly_trend,
+    newest_months,
     secondary_breakdown,
     sentiment_counts,
     sentiment_distribution,
@@ -50,6 +51,17 @@ def summary_cells(fct: DataFrame) -> DataFrame:
     )
 
 
+def signed_cells(cells: DataFrame, sign: int) -> DataFrame:
+    """Cells with all counts times ``sign``: -1 turns them into what has to be taken away."""
+    return cells.select(*CELL_KEYS, *[(F.col(c) * sign).alias(c) for c in ["tickets", *MEASURES]])
+
+
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """Cells with equal keys summed up; those that hold no ticket any more are left out."""
+    summed = cells.groupBy(*CELL_KEYS).agg(*[F.sum(c).alias(c) for c in ["tickets", *MEASURES]])
+    return summed.where("tickets <> 0")
+
+
 def all_summaries(cells: DataFrame) -> DataFrame:
     """Every summary in one aggregation, in long form.
 
@@ -88,9 +100,11 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """Every part of the dashboard under a filter, by name.
 
-    All but the explorer are answered from the cells; only it reads fact rows.
+    All but the explorer are answered from the cells; only it reads fact rows, of the newest
+    months that the cells say are enough.
     """
     shown = apply_filters(cells, plan, primary, churn)
+    tickets = apply_filters(fct, plan, primary, churn)
     return {
         "filter_choices": filter_choices(cells),
         "kpi_cards": kpi_cards(shown),
@@ -99,7 +113,7 @@ def dashboard(
         "churn_risk_by_primary": churn_risk_by_primary(shown),
         "monthly_trend": monthly_trend(shown),
         "secondary_breakdown": secondary_breakdown(shown),
-        "ticket_explorer": ticket_explorer(apply_filters(fct, plan, primary, churn)),
+        "ticket_explorer": ticket_explorer(newest_months(tickets, shown)),
     }
 
 

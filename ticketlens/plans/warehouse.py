@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.functions import expressions as X
 from ticketlens.operators.labeling import Labeler, attach_labels, label_tickets, labels_of, unlabelled
 from ticketlens.operators.quality import build_report, label_join_accounting
-from ticketlens.plans.overview import summary_cells
+from ticketlens.operators.filters import apply_filters
+from ticketlens.operators.summaries import newest_months, ticket_explorer
+from ticketlens.plans.overview import merged_cells, signed_cells, summary_cells
 from ticketlens.plans.models import fact, insights, quarantine, staging, staging_sql
 from ticketlens.plans.narrative import NarrativeWriter, write_narrative
 from ticketlens.schemas import (
@@ -39,11 +42,13 @@ from ticketlens.sources.tables import (
     row_count,
 )
 from ticketlens.sources.ticket_csv import malformed, read_ticket_rows, well_formed
+from ticketlens.sources.versions import current_version, expire, publish, switch, write_version
 
 #: The labels table: answered labels, whether their batch had failed, and the run of the answer.
 STORED_LABELS = T.StructType(
     [
         T.StructField("batch_id", T.LongType()),
+        T.StructField("label_pos", T.IntegerType()),
         *LABEL_FIELDS.fields,
         T.StructField("is_fallback", T.BooleanType()),
         T.StructField("run", T.LongType()),
@@ -61,12 +66,36 @@ class LoadReport:
     raw_rows: int
 
 
+#: Column that the stored raw rows are laid out by; the published raw table does not show it.
+RAW_MONTH = "stored_month"
+
+
+def raw_month() -> Column:
+    """The month of a raw row, whose date is still text; null if that is no date."""
+    return X.month_start(X.to_day(F.col("created_at"), True))
+
+
+def _together(df: DataFrame, month: str) -> DataFrame:
+    """Rows of a month in few files, however many tasks wrote them; large months are split."""
+    return df.hint("rebalance", F.col(month))
+
+
 @dataclass
 class Warehouse:
-    """The tables by name. ``location`` puts their files below a path of your choice."""
+    """The tables by name. ``location`` puts their files below a path of your choice.
+
+    The raw, fact, cell and insight tables are published by version: names switch when a
+    build has written everything, and files in use stay. Raw and fact rows are stored by month,
+    so that a change, or a view of the newest tickets, touches few months. ``prefix`` is put
+    before all table names.
+    """
 
     spark: SparkSession
     location: str | None = None
+    prefix: str = ""
+
+    def named(self, table: str) -> str:
+        return f"{self.prefix}{table}"
 
     def read_tickets(self, path: str, multi_line: bool = True) -> DataFrame:
         """Ticket files as a columnar copy: labelling and joining read it several times.
@@ -74,7 +103,7 @@ class Warehouse:
         Malformed rows are stored in a table of their own, whose size ``row_counts`` tells.
         """
         rows = stage(read_ticket_rows(self.spark, path, multi_line), "tickets")
-        replace_table(malformed(rows), MALFORMED_TABLE, self.location)
+        replace_table(malformed(rows), self.named(MALFORMED_TABLE), self.location)
         return well_formed(rows)
 
     def load_labelled(
@@ -97,12 +126,12 @@ class Warehouse:
         rows per ticket is refused before the raw table is touched.
         """
         if not resume:
-            replace_table(self.spark.createDataFrame([], STORED_LABELS), LABELS_TABLE, self.location)
-        elif not self.spark.catalog.tableExists(LABELS_TABLE):
+            replace_table(self.spark.createDataFrame([], STORED_LABELS), self.named(LABELS_TABLE), self.location)
+        elif not self.spark.catalog.tableExists(self.named(LABELS_TABLE)):
             resume = False
-            replace_table(self.spark.createDataFrame([], STORED_LABELS), LABELS_TABLE, self.location)
+            replace_table(self.spark.createDataFrame([], STORED_LABELS), self.named(LABELS_TABLE), self.location)
         totals = dict.fromkeys(("batches", "failed_batches", "tickets", "labels"), 0)
-        run = self.spark.table(LABELS_TABLE).agg(F.coalesce(F.max("run"), F.lit(0))).head()[0]
+        run = self.spark.table(self.named(LABELS_TABLE)).agg(F.coalesce(F.max("run"), F.lit(0))).head()[0]
         for step in range(steps):
             part = tickets.where(F.pmod(F.xxhash64("ticket_id"), F.lit(steps)) == step) if steps > 1 else tickets
             asked = unlabelled(part, self.labels) if resume else part
@@ -110,7 +139,7 @@ class Warehouse:
             with scratch_folder(self.spark, "answers") as folder:
                 answers = label_tickets(asked, labeler, observation=seen, folder=folder, **options)
                 stored = labels_of(answers).withColumn("run", F.lit(run + 1 + step).cast("bigint"))
-                append_table(stored, LABELS_TABLE)
+                append_table(stored, self.named(LABELS_TABLE))
             for name in totals:
                 totals[name] += seen.get[name]
         if max_growth is not None:
@@ -123,72 +152,155 @@ class Warehouse:
     @property
     def labels(self) -> DataFrame:
         """The labels that count: those of the newest run that answered for a ticket."""
-        stored = self.spark.table(LABELS_TABLE)
+        stored = self.spark.table(self.named(LABELS_TABLE))
         newest = stored.groupBy(F.col("ticket_id").alias("_id")).agg(F.max("run").alias("_run"))
         match = F.col("ticket_id").eqNullSafe(F.col("_id")) & (F.col("run") == F.col("_run"))
         return stored.join(newest, match, "left_semi").drop("run")
 
     def load_raw(self, raw: DataFrame) -> DataFrame:
-        return replace_table(raw.select(*RAW_COLUMNS), RAW_TABLE, self.location)
+        """Store raw rows by month; the one exchange of their texts on the way to the fact table."""
+        rows = raw.select(*RAW_COLUMNS, raw_month().alias(RAW_MONTH))
+        stored = _together(rows, RAW_MONTH)
+        return publish(stored, self.named(RAW_TABLE), self.location, partition=RAW_MONTH, shown=RAW_COLUMNS)
 
     def tell(self, writer: NarrativeWriter, lenient: bool = False) -> str:
         """Write and store a narrative on the raw table."""
-        text = write_narrative(self.spark.table(RAW_TABLE), writer, lenient)
-        reset_narratives(self.spark, NARRATIVE_TABLE, self.location)
-        append_narrative(self.spark, text)
+        text = write_narrative(self.raw, writer, lenient)
+        name = self.named(NARRATIVE_TABLE)
+        reset_narratives(self.spark, name, self.location)
+        append_narrative(self.spark, text, name)
         return text
 
     def build_models(self, lenient: bool = False) -> dict[str, int]:
         """Staging view, fact, cells, insights and the checks' report; returns all row counts.
 
         Each reads what the one before stored; insights are sums over the cells, so the fact
-        table is scanned once for both. With ``lenient``, rows that cannot be cast are kept
-        in the quarantine table instead of failing the build.
+        table is scanned once for both. Readers see the models of the last build until all are
+        written. With ``lenient``, rows that cannot be cast are kept in the quarantine table
+        instead of failing the build.
         """
-        raw = self.spark.table(RAW_TABLE)
+        raw, raw_name = self.raw, self.named(RAW_TABLE)
         bad = quarantine(raw) if lenient else raw.limit(0)
-        replace_table(bad, QUARANTINE_TABLE, self.location)
-        stg = publish_view(staging(raw, lenient), STAGING_VIEW, staging_sql(RAW_TABLE, lenient))
-        fct = replace_table(fact(stg), FACT_TABLE, self.location)
-        cells = replace_table(summary_cells(fct), CELLS_TABLE, self.location)
-        ins = replace_table(insights(cells), INSIGHTS_TABLE, self.location)
-        replace_table(build_report(raw, stg, fct, ins), QUALITY_TABLE, self.location)
+        stg = staging(raw, lenient)
+        # Raw rows lie by month already: a task writes few files.
+        fct = write_version(fact(stg), self.named(FACT_TABLE), self.location, partition="ticket_month")
+        cells = write_version(summary_cells(fct.rows()), self.named(CELLS_TABLE), self.location)
+        ins = write_version(insights(cells.rows()), self.named(INSIGHTS_TABLE), self.location)
+        replace_table(bad, self.named(QUARANTINE_TABLE), self.location)
+        stg = publish_view(stg, self.named(STAGING_VIEW), staging_sql(raw_name, lenient))
+        self._switch(fct, cells, ins)
+        report = build_report(raw, stg, self.fact, self.insights)
+        replace_table(report, self.named(QUALITY_TABLE), self.location)
         return self.row_counts()
 
+    def _switch(self, *versions) -> None:
+        switch(*versions)
+        for version in versions:
+            expire(self.spark, version.name, self.location)
+
+    def apply_changes(
+        self, changed: DataFrame | None = None, removed: DataFrame | None = None, lenient: bool = False
+    ) -> list:
+        """Bring all models up to date with new, changed and removed raw tickets.
+
+        ``changed`` has raw rows: they replace all rows of their ids, or add to the table.
+        ``removed`` has the ids of tickets to leave out. Ids are looked up in the raw table's id
+        column alone; beyond that only months that a ticket leaves or enters are read and
+        written, all others keep their files. Old versions of the tickets are subtracted from
+        the cells and new ones are added, and insights are sums over the cells as ever. All
+        names switch at the end. The report of the checks stays that of the last full build.
+        Returns the months that were written. Rows without an id are added and replace nothing.
+        """
+        raw = self.raw
+        new = raw.limit(0) if changed is None else changed.select(*RAW_COLUMNS)
+        with scratch_folder(self.spark, "changes") as folder:
+            new = stage(new.withColumn(RAW_MONTH, raw_month()), "changed", folder)
+            ids = new.select("ticket_id")
+            if removed is not None:
+                ids = ids.unionByName(removed.select("ticket_id"))
+            ids = stage(ids.dropna().distinct(), "ids", folder)
+            stored = self.spark.table(self._version(RAW_TABLE))
+            found = stored.select("ticket_id", RAW_MONTH).join(ids, "ticket_id", "left_semi")
+            # One row per month of the table, at most.
+            months = sorted({r[0] for r in found.select(RAW_MONTH).unionByName(new.select(RAW_MONTH)).distinct().collect()}, key=str)
+            if not months:
+                return []
+            known = [m for m in months if m is not None]
+            touched = F.col(RAW_MONTH).isin(known) if known else F.lit(False)
+            touched = touched | F.col(RAW_MONTH).isNull() if None in months else touched
+            old = stored.where(touched)
+            gone = stage(old.join(ids, "ticket_id", "left_semi"), "gone", folder)
+            rows = old.join(ids, "ticket_id", "left_anti").unionByName(new)
+            options = {"location": self.location, "replaced": months}
+            raw_version = write_version(
+                _together(rows, RAW_MONTH), self.named(RAW_TABLE), partition=RAW_MONTH, shown=RAW_COLUMNS, **options
+            )
+            # A raw row's month is its fact row's month, so the same months change.
+            facts = fact(staging(raw_version.rows().where(touched), lenient))
+            fct = write_version(facts, self.named(FACT_TABLE), partition="ticket_month", **options)
+            delta = self._cells_of(new, lenient, 1).unionByName(self._cells_of(gone, lenient, -1))
+            cells = write_version(merged_cells(self.cells.unionByName(delta)), self.named(CELLS_TABLE), self.location)
+            ins = write_version(insights(cells.rows()), self.named(INSIGHTS_TABLE), self.location)
+            if lenient:
+                bad = self.spark.table(self.named(QUARANTINE_TABLE)).join(ids, "ticket_id", "left_anti")
+                bad = stage(bad.unionByName(quarantine(new.drop(RAW_MONTH))), "bad", folder)
+                replace_table(bad, self.named(QUARANTINE_TABLE), self.location)
+            self._switch(raw_version, fct, cells, ins)
+        return months
+
+    def _cells_of(self, rows: DataFrame, lenient: bool, sign: int) -> DataFrame:
+        return signed_cells(summary_cells(fact(staging(rows.drop(RAW_MONTH), lenient))), sign)
+
+    def _version(self, table: str) -> str:
+        found = current_version(self.spark, self.named(table))
+        if found is None:
+            raise ValueError(f"{self.named(table)} has not been loaded by this warehouse")
+        return found
+
     def row_counts(self) -> dict[str, int]:
         """Rows of every table that exists."""
         names = [MALFORMED_TABLE, LABELS_TABLE, RAW_TABLE, QUARANTINE_TABLE, FACT_TABLE, CELLS_TABLE, INSIGHTS_TABLE]
-        return {n: row_count(self.spark, n) for n in names if self.spark.catalog.tableExists(n)}
+        known = [n for n in names if self.spark.catalog.tableExists(self.named(n))]
+        return {n: row_count(self.spark, self.named(n)) for n in known}
 
     @property
     def quality(self) -> DataFrame:
-        return self.spark.table(QUALITY_TABLE)
+        return self.spark.table(self.named(QUALITY_TABLE))
 
     @property
     def raw(self) -> DataFrame:
-        return self.spark.table(RAW_TABLE)
+        return self.spark.table(self.named(RAW_TABLE))
+
+    @property
+    def staging(self) -> DataFrame:
+        return self.spark.table(self.named(STAGING_VIEW))
 
     @property
     def models(self) -> dict[str, DataFrame]:
         """The models that users query, by name."""
-        return {n: self.spark.table(n) for n in (RAW_TABLE, STAGING_VIEW, FACT_TABLE, INSIGHTS_TABLE)}
+        return {n: self.spark.table(self.named(n)) for n in (RAW_TABLE, STAGING_VIEW, FACT_TABLE, INSIGHTS_TABLE)}
 
     @property
     def fact(self) -> DataFrame:
-        return self.spark.table(FACT_TABLE)
+        return self.spark.table(self.named(FACT_TABLE))
 
     @property
     def insights(self) -> DataFrame:
-        return self.spark.table(INSIGHTS_TABLE)
+        return self.spark.table(self.named(INSIGHTS_TABLE))
 
     @property
     def cells(self) -> DataFrame:
-        return self.spark.table(CELLS_TABLE)
+        return self.spark.table(self.named(CELLS_TABLE))
 
     def cached_cells(self, ttl: float = 60.0) -> Snapshot:
         """The cells kept in memory or on disk, read anew when older than ``ttl`` seconds."""
-        return Snapshot(self.spark, CELLS_TABLE, ttl=ttl)
+        return Snapshot(self.spark, self.named(CELLS_TABLE), ttl=ttl)
+
+    def newest_tickets(self, n: int = 100, **filters: str) -> DataFrame:
+        """The explorer of the stored fact table, which reads only the months that it needs."""
+        shown = apply_filters(self.cells, **filters)
+        return ticket_explorer(newest_months(apply_filters(self.fact, **filters), shown, n), n)
 
     @property
     def narrative(self) -> DataFrame:
-        return latest_narrative(self.spark)
+        return latest_narrative(self.spark, self.named(NARRATIVE_TABLE))

@@ -20,6 +20,7 @@ from ticketlens.sources.ticket_csv import DIALECT, read_ticket_csv
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _built: dict[tuple[str, str], Warehouse] = {}
+_changed: dict[tuple[str, str], Warehouse] = {}
 
 
 def sample_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -46,6 +47,35 @@ def resumed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return house.labels.select("ticket_id", *LABEL_COLUMNS, "is_fallback")
 
 
+def changed_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """Models of raw tickets of which some were changed, added and removed after the build.
+
+    All of them are of 1995: other months are left as they were built. Built once per session and input.
+    """
+    key = (spark.conf.get("spark.app.id"), sf_dir)
+    if key in _changed:
+        return _changed[key]
+    _changed.clear()
+    house = Warehouse(spark, scratch_path(spark, "tables"), prefix="changed_")
+    raw = raw_tickets(spark, sf_dir, body=False)
+    house.load_raw(raw)
+    house.build_models()
+    number = F.substring("ticket_id", 5, 18).cast("bigint")
+    year = raw.where("created_at LIKE '1995-%'")
+    moved = year.where(number % 13 == 0).withColumns(
+        {
+            "sentiment": F.lit("Positive"),
+            "plan_type": F.lit("Premium"),
+            "created_at": F.date_add(F.col("created_at").cast("date"), 40).cast("string"),
+        }
+    )
+    added = year.where(number % 19 == 0).withColumn("ticket_id", F.concat(F.lit("NEW-"), F.substring("ticket_id", 5, 18)))
+    removed = year.where((number % 17 == 0) & (number % 13 != 0)).select("ticket_id")
+    house.apply_changes(moved.unionByName(added), removed)
+    _changed[key] = house
+    return house
+
+
 def faulty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tickets of which some can't be cast, and some lack churn, status or urgency."""
     raw = raw_tickets(spark, sf_dir, body=False)
