@@ -46,6 +46,7 @@ from ticketlens.schemas import CSV_COLUMNS, RAW_COLUMNS  # noqa: E402
 from ticketlens.session import DEFAULT_CONF, scratch_path  # noqa: E402
 from ticketlens.sources.tables import append_table, latest_narrative, reset_narratives  # noqa: E402
 from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv  # noqa: E402
+from ticketlens.streaming.live_tickets import daily_trend, with_creation_time  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -316,6 +317,7 @@ _QUERIES: dict[str, Query] = {
     "fact_after_change": lambda spark, d: changed_warehouse(spark, d).fact.drop("ticket_body"),
     "cells_after_change": lambda spark, d: changed_warehouse(spark, d).cells,
     # taxonomy
+    "daily_trend": lambda spark, d: daily_trend(with_creation_time(source_tickets(spark, d, body=False))),
     "taxonomy_pairs": _on_fact(lambda df: quality.taxonomy_volume(df, quality.PAIR)),
     "taxonomy_leaves": _on_fact(lambda df: quality.taxonomy_volume(df, quality.LEAF)),
     # labelling

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import dicts
+from conftest import dicts, final_plan
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
@@ -73,6 +73,12 @@ def test_shuffle_splits_a_hot_key(spark):
     assert sum(sizes) == 30_000 and max(sizes) < 10_000
 
 
+def test_rows_move_and_are_sorted_once(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id AS STRING) AS k", "repeat('x', 20) AS text").write.parquet(str(tmp_path / "rows"))
+    plan = final_plan(A.shuffle_rows(spark.read.parquet(str(tmp_path / "rows")), "k")).split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
 def test_ids_dates_and_text(spark):
     row = dicts(
         spark.range(1).select(

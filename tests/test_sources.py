@@ -182,3 +182,15 @@ def test_session_conf_is_put_back(spark):
             assert spark.conf.get(key) == "1000"
             raise KeyError
     assert spark.conf.get(key) == before
+
+
+def test_headers_by_bytes_and_by_scan_agree(spark, tmp_path):
+    from ticketlens.sources import ticket_csv as C
+
+    write_rows(tmp_path / "a b+c.csv", {"ticket_id": "T1"}, {"ticket_id": "T2", "ticket_body": "two\nlines"})
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbf\r\nuser_id,ticket_id\r\nU,T\r\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    found = C.file_headers(spark, str(tmp_path))
+    assert sorted(len(files) for files in found.values()) == [1, 1] and ("user_id", "ticket_id") in found
+    scanned = {r["path"].rsplit("/", 1)[1]: C._names(r["head"]) for r in C._heads_by_scan(spark, str(tmp_path)).collect()}
+    assert scanned == {f.rsplit("/", 1)[1]: list(names) for names, files in found.items() for f in files}

@@ -506,6 +506,12 @@ UNION ALL SELECT DISTINCT 'primary_label', 1, primary_label FROM fct WHERE prima
         "volume_by_primary_from_cells": _q(_FCT, _count_by("primary_label", "tickets", "NOT is_churned")),
         "context_table": _q(_CHECKED + _told() + _CONTEXT, _CONTEXT_ROWS),
         "latest_narrative": "WITH " + (_ENRICHED + _NARRATIVE).strip(),
+        "daily_trend": _q(
+            _SOURCE,
+            """
+SELECT created_at::TIMESTAMP::DATE AS day, primary_label, count(*) AS tickets
+FROM tickets WHERE primary_label IS NOT NULL GROUP BY ALL""",
+        ),
         "taxonomy_pairs": _q(_FCT, _taxonomy_volume(_PAIR_TABLE, pair)),
         "taxonomy_leaves": _q(_FCT, _taxonomy_volume(_LEAF_TABLE, leaf)),
         "label_batches": _q(_LABELS, "SELECT ticket_id, batch_id, batch_pos FROM batched"),

@@ -27,6 +27,8 @@ from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+from ticketlens.session import open_uri
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -35,12 +37,6 @@ def content_key(*parts) -> str:
     return sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 @dataclass(frozen=True)
 class AnswerLog:
     """A folder of answers, by partition of the job. ``run`` tells the runs that share it apart.
@@ -58,7 +54,7 @@ class AnswerLog:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         log = cls(system.makeQualified(target).toString())
-        _open(log.uri)
+        open_uri(log.uri)
         return log
 
     @classmethod
@@ -87,7 +83,7 @@ class TaskAnswers:
     """
 
     def __init__(self, log: AnswerLog, partition: int, attempt: int, commit_seconds: float = COMMIT_SECONDS):
-        self._fs, root = _open(log.uri)
+        self._fs, root = open_uri(log.uri)
         self._is_local = isinstance(self._fs, fs.LocalFileSystem)
         self._run, self._attempt, self._seconds = log.run, attempt, commit_seconds
         self._folder = f"{root}/p{partition:06d}"

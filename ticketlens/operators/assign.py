@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.operators.batching import break_ties
+from ticketlens.operators.batching import number_in_order
 
 
 def _text(value: str) -> str:
@@ -51,7 +51,11 @@ def fan_out(df: DataFrame, copies: Column, number: str = "copy_no") -> DataFrame
 
 
 def shuffle_rows(df: DataFrame, *key: str, seed: int = 42) -> DataFrame:
-    """Rows in a random-looking order that the key and the seed fix."""
+    """Rows in a random-looking order that the key and the seed fix.
+
+    Whole rows move once and are sorted once: where the ranges of ``shuffle_key`` begin is
+    found from the keys alone. Rows of one key follow each other and may fill several ranges.
+    """
     mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    tied, ordering = break_ties(df.withColumn("shuffle_key", mixed), "shuffle_key")
-    return tied.orderBy(*ordering).select(*df.columns, "shuffle_key")
+    keyed = df.withColumn("shuffle_key", mixed)
+    return number_in_order(keyed, "shuffle_key", "_row_no").drop("_row_no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ticketlens.operators.summaries import (
     MEASURES,
     churn_risk_by_primary,
     churned_by_primary,
+    is_cells,
     kpi_cards,
     kpis,
     monthly_trend,
@@ -22,7 +25,7 @@ from ticketlens.operators.summaries import (
     top_pairs,
     volume_by_primary,
 )
-from ticketlens.session import one_row
+from ticketlens.session import one_row, stage
 
 #: Filter columns and group columns of all summaries.
 CELL_KEYS = ["plan_type", "is_churned", "primary_label", "secondary_label", "sentiment", "ticket_month"]
@@ -95,25 +98,38 @@ def pick_summary(summaries: DataFrame, name: str, measure: str = "tickets") -> D
     return rows.select(*SUMMARIES[name], measure)
 
 
+def stored_slices(df: DataFrame) -> Callable[[str], DataFrame]:
+    """Every summary of fact rows or cells, from one aggregation that is stored.
+
+    The returned function gives a summary by name, with all its measures: rows that the
+    summary functions take like cells. What is stored has one row per group.
+    """
+    cells = df if is_cells(df) else summary_cells(df)
+    stored = stage(all_summaries(cells), "summaries")
+    return lambda name: stored.where(F.col("summary") == name).select(*SUMMARIES[name], "tickets", *MEASURES)
+
+
 def dashboard(
     cells: DataFrame, fct: DataFrame, plan: str = ALL, primary: str = ALL, churn: str = ALL
 ) -> dict[str, DataFrame]:
     """Every part of the dashboard under a filter, by name.
 
-    All but the explorer are answered from the cells; only it reads fact rows, of the newest
-    months that the cells say are enough.
+    The cells are aggregated once for all parts but the choices, which no filter concerns. Only
+    the explorer reads fact rows, of the newest months that are enough.
     """
-    shown = apply_filters(cells, plan, primary, churn)
+    shown = stored_slices(apply_filters(cells, plan, primary, churn))
     tickets = apply_filters(fct, plan, primary, churn)
+    # A month of tickets without a primary label is in no summary, so the cells are asked.
+    months = apply_filters(cells, plan, primary, churn)
     return {
         "filter_choices": filter_choices(cells),
-        "kpi_cards": kpi_cards(shown),
-        "volume_by_primary": volume_by_primary(shown),
-        "sentiment_distribution": sentiment_distribution(shown),
-        "churn_risk_by_primary": churn_risk_by_primary(shown),
-        "monthly_trend": monthly_trend(shown),
-        "secondary_breakdown": secondary_breakdown(shown),
-        "ticket_explorer": ticket_explorer(newest_months(tickets, shown)),
+        "kpi_cards": kpi_cards(shown("total")),
+        "volume_by_primary": volume_by_primary(shown("by_primary")),
+        "sentiment_distribution": sentiment_distribution(shown("by_sentiment")),
+        "churn_risk_by_primary": churn_risk_by_primary(shown("by_primary")),
+        "monthly_trend": monthly_trend(shown("by_month")),
+        "secondary_breakdown": secondary_breakdown(shown("by_pair")),
+        "ticket_explorer": ticket_explorer(newest_months(tickets, months)),
     }
 
 
@@ -126,11 +142,11 @@ def context_table(
 ) -> DataFrame:
     """What an analyst is told about the current view, in long form.
 
-    ``df`` holds the filtered fact rows or cells; the other arguments say which
-    filter was used. Columns ``(section_no, section, rank, key1, key2, value)``;
+    ``df`` holds the filtered fact rows or cells, which are aggregated once for all sections;
+    the other arguments say which filter was used. Columns ``(section_no, section, rank, key1, key2, value)``;
     only the top list is ranked, the others order by key.
     """
-    spark = df.sparkSession
+    spark, shown = df.sparkSession, stored_slices(df)
     no_rank = F.lit(None).cast("int")
     no_key = F.lit(None).cast("string")
 
@@ -155,7 +171,7 @@ def context_table(
         one_row(spark), 1, "filter", {"Plan": F.lit(plan), "Primary": F.lit(primary), "Churn": F.lit(churn)}
     )
     totals = spread(
-        kpis(df),
+        kpis(shown("total")),
         2,
         "total",
         {
@@ -167,7 +183,7 @@ def context_table(
     )
     # At most ten rows reach this array, so ranking them needs no window.
     ranked = (
-        top_pairs(df, 10)
+        top_pairs(shown("by_pair"), 10)
         .agg(
             F.sort_array(
                 F.collect_list(F.struct((-F.col("count")).alias("n"), "primary_label", "secondary_label"))
@@ -185,9 +201,9 @@ def context_table(
         -F.col("t.n"),
     )
     churned = rows(
-        churned_by_primary(df), 4, "churned_tickets", no_rank, F.col("primary_label"), no_key, F.col("churned_tickets")
+        churned_by_primary(shown("by_primary")), 4, "churned_tickets", no_rank, F.col("primary_label"), no_key, F.col("churned_tickets")
     )
-    moods = rows(sentiment_counts(df), 5, "sentiment", no_rank, F.col("sentiment"), no_key, F.col("count"))
+    moods = rows(sentiment_counts(shown("by_sentiment")), 5, "sentiment", no_rank, F.col("sentiment"), no_key, F.col("count"))
     text = narrative if narrative is not None else one_row(spark).where("false").select(no_key.alias("narrative"))
     # The aggregate gives a row, and so the default text, even without a narrative.
     told = rows(

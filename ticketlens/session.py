@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
 from functools import lru_cache
 
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# What tasks use of this module goes to them by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Settings the results depend on (time zone) or that keep large runs healthy.
 #: Partition counts and memory belong to the cluster and are left alone.
 DEFAULT_CONF = {
@@ -75,6 +81,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a name that Hadoop gives a file, for Python in tasks, and the path in it."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 @contextmanager
 def scratch_folder(spark: SparkSession, name: str):
     """A fresh path below the shared folder, removed with all files in it afterwards."""

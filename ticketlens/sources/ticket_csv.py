@@ -8,7 +8,6 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.schemas import CSV_COLUMNS, NULL_WORDS
+from ticketlens.session import open_uri
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,36 +47,70 @@ def _clean(place: int, fields: int) -> Column:
     return F.when(~text.isin(NULL_WORDS), text)
 
 
+#: Bytes at the start of a file that hold its header.
+HEAD_BYTES = 1 << 16
+
+
+def _names(line: str) -> list[str]:
+    return next(csv.reader([line.lstrip("\ufeff").rstrip("\r")]), [])
+
+
+def _first_line(path: str) -> str | None:
+    """The first line of a file that is not blank; none in an empty file."""
+    system, name = open_uri(path)
+    with system.open_input_stream(name, compression="detect") as stream:
+        head = stream.read(HEAD_BYTES)
+        while head and not head.strip(b"\xef\xbb\xbf\r\n") and (more := stream.read(HEAD_BYTES)):
+            head = more
+        while b"\n" not in head.lstrip(b"\xef\xbb\xbf\r\n") and (more := stream.read(HEAD_BYTES)):
+            head += more
+    lines = head.decode("utf-8-sig", errors="replace").lstrip("\r\n").split("\n", 1)
+    return lines[0] if lines[0] else None
+
+
 def _has_field(name: str) -> Column:
     return F.col("value").rlike(f'(^|[,"\ufeff]){name}([,"\r]|$)')
 
 
+def _heads_by_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Header lines through Spark's own reader, for file systems that Python can't open.
+
+    It reads all lines; files without a line that names both ids have an empty header.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    at = F.when(_has_field("ticket_id") & _has_field("user_id"), F.col("_metadata.file_block_start"))
+    places = lines.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value")
+    first = places.groupBy("path").agg(F.coalesce(F.min_by("value", "at"), F.lit("")).alias("head"))
+    return first.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "head")
+
+
 def file_headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
     """The layouts of ticket files: column names in order, and the files that have them.
 
-    A header is the first line with the fields ticket_id and user_id; a file with rows but
-    without one is an error. The scan keeps one line per file, and the driver, which lists
-    the files for any read, holds as many short lines.
+    A header is the first line of a file and names ticket_id and user_id; a file with rows but
+    without one is an error, an empty file is left out. Tasks read the first bytes of each
+    file; the driver, which lists the files for any read, holds each layout once with their names.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    file = F.col("_metadata.file_path").alias("file")
-    named = lines.where(_has_field("ticket_id") & _has_field("user_id"))
-    heads = (
-        named.select(file, F.col("_metadata.file_block_start").alias("at"), "value")
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("head"))
-    )
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    kinds = pa.schema([("path", pa.string()), ("head", pa.string())])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([_first_line(p) for p in paths], pa.string())], schema=kinds)
+
+    first = files.head()
+    try:
+        _first_line(first["path"]) if first else None
+        found = files.where("length > 0").mapInArrow(heads, "path string, head string").where("head IS NOT NULL")
+    except (pa.ArrowException, OSError, ValueError):
+        found = _heads_by_scan(spark, path)
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for found, head in heads.collect():
-        names = next(csv.reader([head.lstrip("\ufeff").rstrip("\r")]))
-        layouts[tuple(names)].append(unquote(found))
-    headed = {f for files in layouts.values() for f in files}
-    if headed != set(map(unquote, lines.inputFiles())):
-        known = spark.createDataFrame([(f,) for f in headed], "file string")
-        missing = lines.select(file).distinct().select(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("file"))
-        without = missing.join(known, "file", "left_anti").head()
-        if without is not None:
-            raise ValueError(f"no header with ticket_id and user_id in {without[0]}")
+    for head, paths in found.groupBy("head").agg(F.collect_list("path")).collect():
+        names = _names(head)
+        if not {"ticket_id", "user_id"} <= set(names):
+            raise ValueError(f"no header with ticket_id and user_id in {paths[0]}")
+        layouts[tuple(names)] += paths
     return layouts
 
 

@@ -37,10 +37,15 @@ def first_arrivals(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
     return (
         stamped.withWatermark("arrived_at", delay)
         .dropDuplicatesWithinWatermark(["ticket_id"])
-        .withColumn("created_ts", F.to_timestamp("created_at"))
+        .transform(with_creation_time)
     )
 
 
+def with_creation_time(tickets: DataFrame) -> DataFrame:
+    """Tickets with the text of their date as a timestamp."""
+    return tickets.withColumn("created_ts", F.to_timestamp("created_at"))
+
+
 def daily_trend(arrivals: DataFrame) -> DataFrame:
     """Tickets per creation day and primary label so far; for update or complete output."""
     return (
