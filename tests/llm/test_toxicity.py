@@ -89,3 +89,21 @@ def test_label_model_finds_accuracies_without_labels(spark):
     assert abs(model.prior - y.mean()) < 0.05
     assert np.abs(model.rates[1, 1:6] - true[1, 1:6]).max() < 0.12
     assert model.weights[6] == model.weights[7] == 0.5 and model.weights[0] == 1
+
+
+def test_an_id_with_many_rows_does_not_fill_the_sample(spark, monkeypatch):
+    """A labelled id holds most rows; every other labelled text is still learnt from."""
+    stored = {}
+    keep = toxicity.keep
+    monkeypatch.setattr(toxicity, "keep", lambda df, name: stored.setdefault(name, keep(df, name)))
+    rows, labels = make_rows(120)
+    hot = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    many = rows + [(hot, f"{rows[hot][1]} copy {k % 3}") for k in range(600)]
+    docs = spark.createDataFrame(many, "doc_id bigint, text string").repartition(4)
+    truth = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    toxicity.train(docs, truth, train_rows=100)
+    taught = [r.text for r in stored["labelled"].collect()]
+    by_id = {i: t for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    want = min(len(by_id), 100)
+    assert len(taught) == want and sum(t.startswith(rows[hot][1]) for t in taught) <= 1
+    assert len(set(taught) & set(by_id.values())) >= want - 1

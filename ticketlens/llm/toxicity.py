@@ -308,7 +308,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     chosen = usable.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     # At most train_rows rows of two numbers.
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = keep(rows.select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * train_rows), "labelled")
+    # One text per label, chosen by its hash: an id with many rows teaches no more than another.
+    text = F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")
+    one_each = rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(text)
+    sample = keep(one_each.select("text", "toxic"), "labelled")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
