@@ -28,6 +28,7 @@ from ticketlens.operators.labeling import (  # noqa: E402
     render_prompts,
     unlabelled,
 )
+from ticketlens.operators.toplists import top_keys  # noqa: E402
 from ticketlens.plans.overview import all_summaries, context_table, dashboard, pick_summary, summary_cells  # noqa: E402
 from ticketlens.plans.models import INSIGHT_KEYS, fact, insights, quarantine, staging  # noqa: E402
 from ticketlens.plans.narrative import write_narrative  # noqa: E402
@@ -177,6 +178,15 @@ def _latest_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_narrative(spark, table)
 
 
+def _top_free_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent label pairs where a third of the labels are free text with a long tail."""
+    raw = raw_tickets(spark, sf_dir, body=False)
+    number = F.substring("ticket_id", 5, 18).cast("bigint")
+    free = F.concat(F.col("secondary_label"), F.lit(" / case "), (number % 5003).cast("string"))
+    labelled = raw.withColumn("secondary_label", F.when(number % 3 == 0, free).otherwise(F.col("secondary_label")))
+    return top_keys(labelled, summaries.PAIR, 20)
+
+
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     house = sample_warehouse(spark, sf_dir)
     filters = {"plan": "Standard", "churn": "Churned Only"}
@@ -284,6 +294,7 @@ _QUERIES: dict[str, Query] = {
     "secondary_breakdown": _on_fact(summaries.secondary_breakdown),
     "top20_label_pairs": _on_fact(lambda df: summaries.top_pairs(df, 20)),
     "top10_label_pairs": _on_fact(lambda df: summaries.top_pairs(df, 10), plan="Premium"),
+    "top20_free_pairs": _top_free_pairs,
     "ticket_explorer": _on_fact(summaries.ticket_explorer),
     "summary_cells": _on_fact(summary_cells),
     "dashboard_onepass": _on_cells(all_summaries),

@@ -85,9 +85,9 @@ _LEAF_TABLE = ", ".join(f"({_text(p)}, {_text(s)}, {_text(t)})" for p, s, t in _
 
 # Cumulative sentiment weights of the six primary labels.
 _MOOD = """
-    CASE WHEN b < [5, 5, 10, 10, 5, 15][p + 1] THEN 'Positive'
-         WHEN b < [20, 25, 45, 40, 30, 55][p + 1] THEN 'Neutral'
-         WHEN b < [60, 70, 85, 80, 75, 85][p + 1] THEN 'Frustrated'
+    CASE WHEN b < [10, 12, 20, 18, 8, 25][p + 1] THEN 'Positive'
+         WHEN b < [35, 40, 50, 50, 30, 60][p + 1] THEN 'Neutral'
+         WHEN b < [70, 74, 80, 78, 72, 82][p + 1] THEN 'Frustrated'
          ELSE 'Angry' END"""
 
 _SOURCE = f"""
@@ -495,6 +495,15 @@ UNION ALL SELECT DISTINCT 'primary_label', 1, primary_label FROM fct WHERE prima
         "top10_label_pairs": _q(
             _FCT, _count_by(pair, '"count"', "plan_type = 'Premium'") + f' ORDER BY "count" DESC, {pair} LIMIT 10'
         ),
+        "top20_free_pairs": _q(
+            _RAW,
+            """
+SELECT primary_label, CASE WHEN n % 3 = 0 THEN secondary_label || ' / case ' || n % 5003 ELSE secondary_label END AS secondary_label,
+       count(*) AS "count"
+FROM (SELECT *, substr(ticket_id, 5)::BIGINT AS n FROM raw)
+WHERE primary_label IS NOT NULL AND secondary_label IS NOT NULL
+GROUP BY ALL ORDER BY "count" DESC, 1, 2 LIMIT 20""",
+        ),
         "ticket_explorer": _q(
             _FCT, f"SELECT {explorer} FROM fct {newest}"
         ),

@@ -13,14 +13,14 @@ from ticketlens.operators.assign import pick_from, weighted_pick_by
 from ticketlens.schemas import CHANNELS, CSV_COLUMNS, RAW_COLUMNS
 from ticketlens.taxonomy import PRIMARY_LABELS, TAXONOMY
 
-# Weights in percent.
+# Weights in percent, of our own choice: every mood occurs under every label.
 SENTIMENT_WEIGHTS = {
-    "Billing": {"Positive": 5, "Neutral": 15, "Frustrated": 40, "Angry": 40},
-    "Online Ordering": {"Positive": 5, "Neutral": 20, "Frustrated": 45, "Angry": 30},
-    "Marketing / SEO": {"Positive": 10, "Neutral": 35, "Frustrated": 40, "Angry": 15},
-    "Product / Feature": {"Positive": 10, "Neutral": 30, "Frustrated": 40, "Angry": 20},
-    "Account Access": {"Positive": 5, "Neutral": 25, "Frustrated": 45, "Angry": 25},
-    "Onboarding": {"Positive": 15, "Neutral": 40, "Frustrated": 30, "Angry": 15},
+    "Billing": {"Positive": 10, "Neutral": 25, "Frustrated": 35, "Angry": 30},
+    "Online Ordering": {"Positive": 12, "Neutral": 28, "Frustrated": 34, "Angry": 26},
+    "Marketing / SEO": {"Positive": 20, "Neutral": 30, "Frustrated": 30, "Angry": 20},
+    "Product / Feature": {"Positive": 18, "Neutral": 32, "Frustrated": 28, "Angry": 22},
+    "Account Access": {"Positive": 8, "Neutral": 22, "Frustrated": 42, "Angry": 28},
+    "Onboarding": {"Positive": 25, "Neutral": 35, "Frustrated": 22, "Angry": 18},
 }
 
 _SECONDARY = [s for p in TAXONOMY for s in TAXONOMY[p]]
