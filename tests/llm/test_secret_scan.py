@@ -60,6 +60,7 @@ TEXTS = [
     "ſecret=abcdefgh toKen=abcdefgh toKen=abcdefgh",
     "token" + " " * 100_000 + "= abcdefgh " + "f" * 60_000 + " token",
     "a " * 50_000 + "secret=abcdefgh",
+    "-----BEGIN " + "AB " * 50_000 + "PRIVATE KEY----- " + "eyJ" * 5_000 + " bearer" + " " * 50_000 + "://a" * 20_000,
 ]
 
 

@@ -48,7 +48,8 @@ BASE_RULES = [
 ]
 #: Public formats of keys and tokens beyond those.
 MORE_RULES = [
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # Three words at most: the regex engine goes one call deeper for each repetition of a group.
+    Rule("private_key", r"-----BEGIN (?:[A-Z]{1,16} ){0,3}PRIVATE KEY-----"),
     Rule("temporary_access", r"ASIA[A-Z0-9]+", least=16),
     Rule("code_host", r"gh[oprsu]_[A-Za-z0-9]+", least=40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", least=20),
