@@ -5,7 +5,7 @@ import uuid
 
 import pandas as pd
 import pytest
-from conftest import SMALL, TICKET, dicts, final_plan
+from conftest import SMALL, TICKET, final_plan
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Observation
@@ -23,7 +23,6 @@ from ticketlens.operators.labeling import (
     render_prompts,
     unlabelled,
 )
-from ticketlens.plans.models import staging
 from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler
 from ticketlens.samples.tickets import source_tickets
 from ticketlens.schemas import FALLBACK_SUMMARY, LABEL_COLUMNS, RAW_COLUMNS
