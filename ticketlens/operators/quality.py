@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import expressions as X
+from ticketlens.operators.unique_keys import repeated_keys
 from ticketlens.schemas import SENTIMENTS, SUMMARY_MAX_WORDS, URGENCY_RANGE
 from ticketlens.taxonomy import PRIMARY_LABELS, TAXONOMY, taxonomy_leaves, taxonomy_pairs
 
@@ -16,8 +17,11 @@ LEAF = ["primary_label", "secondary_label", "tertiary_label"]
 
 
 def unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Key values held by more than one row; null keys are not tested."""
-    repeated = df.dropna(subset=keys).groupBy(*keys).agg(X.row_total().alias("n")).where("n > 1")
+    """Key values held by more than one row; null keys are not tested.
+
+    Keys are compared by fingerprints first, so unique ones are not shuffled (``repeated_keys``).
+    """
+    repeated = repeated_keys(df.dropna(subset=keys), keys)
     return repeated.agg(X.row_total().alias("failing_rows")).select(
         F.lit("unique").alias("check_name"), F.lit(",".join(keys)).alias("column_name"), "failing_rows"
     )
@@ -119,7 +123,7 @@ def taxonomy_checks() -> list[Check]:
 
 
 def quality_report(fct: DataFrame, insights: DataFrame | None = None) -> DataFrame:
-    """All checks of a fact table: one scan for the row checks, one shuffle per key check."""
+    """All checks of a fact table: one scan for the row checks, one more per key check."""
     checks = not_null(["ticket_id", "user_id", "is_churned", "primary_label", "secondary_label", "sentiment"])
     checks += label_checks() + range_checks() + taxonomy_checks()
     report = run_checks(with_taxonomy_marks(fct), checks).unionByName(unique_key(fct, ["ticket_id"]))
