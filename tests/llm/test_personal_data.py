@@ -1,10 +1,21 @@
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
 from llm.conftest import long_text
-from ticketlens.llm.personal_data import find_personal_data, span_digest
+from ticketlens.llm.personal_data import (
+    CONFIDENT,
+    LEAST_VALUES,
+    TYPICAL,
+    confident_patterns,
+    find_matches,
+    find_personal_data,
+    pattern_graph,
+    placed_spans,
+    span_digest,
+)
 
 
 def luhn(digits):
@@ -91,3 +102,109 @@ def test_the_main_path_is_built_in_functions_only(documents):
 @pytest.mark.parametrize("text", ["a@b.cc " * 3_000, "1.2.3.4 " * 3_000])
 def test_many_spans_in_one_text(documents, text):
     assert digest(documents((1, text)))[1] == brute(text)
+
+
+# -- bootstrapping against brute force ----------------------------------------------------
+
+LETTERS = r"[^\W\d_]+"
+IDENTIFIER = r"(?<![\w.@-])(?=(?:[A-Za-z-]*[0-9]){4})[A-Za-z0-9][A-Za-z0-9-]*(?![\w@])"
+
+
+def contexts(left):
+    words = re.findall(LETTERS, " ".join(left.split(" ")[-4:]).lower())
+    return [words[-1]] * bool(words) + [" ".join(words[-2:])] * (len(words) > 1)
+
+
+def brute_bootstrap(texts):
+    """Accepted patterns with their confidence, and the identifiers of each text."""
+    found, occurs = [], Counter()
+    for t, text in enumerate(texts):
+        words = re.split(r"[\W\d_]+", text.lower())
+        occurs.update(words)
+        occurs.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+        taken = []
+        for kind, (pattern, rule) in [*PLAIN.items(), ("identifier", (IDENTIFIER, lambda m: True))]:
+            end = 0
+            for m in re.finditer(pattern, text):
+                left, end = text[end : m.start()], m.end()
+                if kind == "identifier" and any(a < m.end() and m.start() < b for a, b in taken):
+                    continue
+                if rule(m.group()):
+                    taken += [m.span()] * (kind != "identifier")
+                    found.append((t, kind, m.span(), m.group().lower(), contexts(left)))
+    values, places, scores = defaultdict(set), Counter(), {}
+    for _, kind, _, value, patterns in found:
+        for p in patterns:
+            values[p].add(value)
+            places[p] += 1
+        if kind != "identifier" and patterns:
+            scores[value] = 1.0
+    usable = {p for p in values if len(values[p]) >= LEAST_VALUES and places[p] >= TYPICAL * occurs[p]}
+    scores = {v: 1.0 for v in scores if any(v in values[p] for p in usable)}
+    accepted = {}
+    while True:
+        fresh = {}
+        for p in usable - set(accepted):
+            known = [scores[v] for v in values[p] if v in scores]
+            if len(known) >= LEAST_VALUES and sum(known) / (len(values[p]) + 1) >= CONFIDENT:
+                fresh[p] = sum(known) / (len(values[p]) + 1)
+        if not fresh:
+            break
+        accepted.update(fresh)
+        missed = defaultdict(lambda: 1.0)
+        for p in fresh:
+            for v in values[p] - set(scores):
+                missed[v] *= 1 - fresh[p]
+        scores.update({v: 1 - m for v, m in missed.items()})
+    spans = defaultdict(list)
+    for t, kind, (a, b), _, patterns in found:
+        if kind == "identifier" and set(patterns) & set(accepted):
+            spans[t].append(f"identifier:{a}:{b}")
+    return accepted, spans
+
+
+def hops():
+    """Seeds after ``reach mailbox``; ids shared with ``under account``; ids only found there."""
+    rows = [f"You can reach mailbox user{k}@example.org now" for k in range(90)]
+    rows += [f"You can reach mailbox AC-{7000 + k} now" for k in range(20)]
+    rows += [f"It runs under account AC-{7000 + k}, says he" for k in range(20)]
+    rows += ["It runs under account QZLMNOPX-55012-77 for good", "It runs under account " + "9f" * 200 + " too"]
+    rows += [f"the order {k}{k}00{k} came in {1000 + k}-x on the {2000 + k}" for k in range(30)]
+    return rows
+
+
+def accepted_patterns(docs):
+    spans = placed_spans(find_matches(docs))
+    return {r.pattern: r.confidence for r in confident_patterns(pattern_graph(docs, spans)).collect()}
+
+
+def test_found_identifiers_are_seeds_of_the_next_round(documents):
+    rows = hops()
+    docs = documents(*enumerate(rows))
+    patterns, spans = brute_bootstrap(rows)
+    assert {"reach mailbox", "under account"} <= set(patterns) and len(spans[130]) == len(spans[131]) == 1
+    got = accepted_patterns(docs)
+    assert set(got) == set(patterns)
+    assert all(abs(got[p] - patterns[p]) < 1e-9 for p in got)
+    for r in span_digest(find_personal_data(docs)).collect():
+        assert [x for x in r.spans.split(",") if x.startswith("identifier")] == spans[r.doc_id], rows[r.doc_id]
+
+
+def test_without_the_first_hop_the_second_is_not_reached(documents):
+    rows = hops()
+    assert all("identifier" not in r[5] for r in digest(documents(*enumerate(rows[90:]))).values())
+
+
+def test_words_that_mostly_introduce_something_else_are_no_pattern(documents):
+    rows = [f"she sent it by user{k}@example.org" for k in range(12)] + ["she sent it by post, by AB-1234"]
+    assert "identifier:24:31" in digest(documents(*enumerate(rows)))[12][5]
+    rows += ["by and by, by train, by bike and sent it by hand, it by it by it by day"] * 20
+    assert "identifier" not in digest(documents(*enumerate(rows)))[12][5]
+    assert brute_bootstrap(rows)[1] == {}
+
+
+def test_long_words_before_a_match_are_whole(documents):
+    long = "ab" * 5_000
+    rows = [f"{long} user{k}@example.org" for k in range(12)] + [f"{long} 4711-0815", f"x{long} 4711-0815"]
+    got = digest(documents(*enumerate(rows)))
+    assert got[12][5] == f"identifier:{len(long) + 1}:{len(long) + 10}" and got[13][5] == ""

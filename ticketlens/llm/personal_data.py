@@ -4,7 +4,9 @@ Base entities (email, ip, card, phone) are found by patterns. They are the seeds
 before them are lexical patterns, and so are the words before other strings of digits and
 letters. Patterns and values form a graph, on which confidence goes back and forth: a
 pattern is as good as the values that it introduces, a value as good as its patterns.
-Strings that good patterns introduce are identifiers, too.
+Strings that good patterns introduce are identifiers, and evidence for further patterns in
+the next round, until no pattern is new. A pattern also has to be typical: words that mostly
+stand before something else are none, which their counts over the whole corpus tell.
 """
 
 from __future__ import annotations
@@ -23,31 +25,38 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Other strings that may be identifiers: five characters or more, four digits at least.
-OTHER = r"(?<![\p{L}\p{N}_.@-])[A-Za-z]{0,4}-?[0-9][A-Za-z0-9-]{3,38}(?![\p{L}\p{N}_@-])"
+#: Other strings that may be identifiers: letters, digits and hyphens, four digits at least.
+OTHER = r"(?<![\p{L}\p{N}_.@-])(?=(?:[A-Za-z-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9-]*+(?![\p{L}\p{N}_@])"
 KINDS = [*PATTERNS, "identifier"]
 
-CONTEXT_CHARS = 60
-ROUNDS = 3
-#: A pattern needs so many different seeds, and this confidence, to name identifiers.
-LEAST_SEEDS, CONFIDENT = 3, 0.8
+#: A pattern needs so many different scored values, this confidence, and to stand before a
+#: match in this share of its places in the corpus, to name identifiers.
+LEAST_VALUES, CONFIDENT, TYPICAL = 3, 0.8, 0.2
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Matches of a kind in order: what lies before each (length and end), and the match."""
+    """Matches of a kind in order: what lies before each (length and last words), and the match.
+
+    The words of a context are the last two in the last four pieces between spaces.
+    """
     before, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda match, left: F.struct(match.alias("match"), left.alias("left")))
     return F.transform(
-        found,
-        lambda match, i: F.struct(
+        pairs,
+        lambda pair, i: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
             i.alias("place"),
-            F.length(F.get(before, i)).alias("gap"),
-            F.right(F.get(before, i), F.lit(CONTEXT_CHARS)).alias("left"),
-            match.alias("match"),
+            F.length(pair["left"]).alias("gap"),
+            F.slice(F.concat(F.array(F.lit(""), F.lit("")), _words(F.substring_index(pair["left"], " ", -4))), -2, 2).alias("two"),
+            pair["match"].alias("match"),
         ),
     )
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -121,55 +130,71 @@ def placed_spans(found: DataFrame) -> DataFrame:
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (
         F.coalesce(next_base, F.col("end")) >= F.col("end")
     )
-    words = F.regexp_extract_all(F.lower("left"), F.lit(r"\p{L}+"), F.lit(0))
+    last, pair = F.get("two", F.lit(1)), F.concat_ws(" ", "two")
+    patterns = F.array(F.when(last != "", last), F.when(F.get("two", F.lit(0)) != "", pair))
     return (
         held.withColumn("free", free)
         .where((F.col("kind") < 4) | F.col("free"))
-        .select(
-            "row",
-            "kind",
-            "start",
-            "end",
-            F.lower("match").alias("value"),
-            F.slice(words, -2, 2).alias("two"),
-            F.slice(words, -1, 1).alias("one"),
-        )
-        .select("row", "kind", "start", "end", "value", F.array_distinct(F.array(_pattern("one", 1), _pattern("two", 2))).alias("patterns"))
+        .select("row", "kind", "start", "end", F.lower("match").alias("value"), F.array_compact(patterns).alias("patterns"))
     )
 
 
-def _pattern(words: str, count: int) -> Column:
-    """The words before a match as one string; null where there are too few."""
-    return F.when(F.size(words) == count, F.concat_ws(" ", words))
+def pattern_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, occurrences: how often the words of the given patterns stand in all texts."""
+    words = F.split(F.lower(whole_text()), r"[^\p{L}]+")
+    after = F.slice(words, F.lit(2), F.size(words))
+    grams = F.concat(words, F.zip_with(words, after, lambda a, b: F.concat(a, F.lit(" "), b)))
+    return (
+        docs.select(F.explode(grams).alias("pattern"))
+        .join(patterns, "pattern", "left_semi")
+        .groupBy("pattern")
+        .agg(F.count(F.lit(1)).alias("occurrences"))
+    )
 
 
-def confident_patterns(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, confidence: patterns that introduce identifiers, by scores on the graph."""
+def pattern_graph(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """pattern, value, seed: which patterns introduce which values; typical patterns only."""
     edges = (
         spans.select("value", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
-        .where("pattern IS NOT NULL")
         .groupBy("pattern", "value")
-        .agg(F.max("seed").alias("seed"))
+        .agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("places"))
+    )
+    edges = keep(edges, "edges")
+    # A pattern can't have more scored values than values.
+    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("places").alias("places"))
+    wide = keep(wide.where(F.col("values") >= LEAST_VALUES).select("pattern", "places"), "wide")
+    typical = wide.join(pattern_counts(docs, wide.select("pattern")), "pattern", "left").where(
+        F.col("places") >= TYPICAL * F.coalesce("occurrences", "places")
     )
-    # Only patterns with enough seeds can ever count; the others introduce ordinary strings.
-    seeded = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    edges = keep(edges.join(seeded, "pattern", "left_semi"), "edges")
-    scores = edges.select("value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    patterns = None
-    for turn in range(rounds):
-        # One more in the count: few values never make a pattern certain.
-        confidence = F.sum("score") / (F.count(F.lit(1)) + 1)
-        patterns = edges.join(scores, "value").groupBy("pattern").agg(confidence.alias("confidence"))
-        patterns = keep(patterns, f"patterns{turn}")
-        if turn + 1 < rounds:
-            good = patterns.where(F.col("confidence") >= CONFIDENT)
-            missed = F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999))))
-            scores = (
-                edges.join(good, "pattern", "left")
-                .groupBy("value")
-                .agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(missed)).alias("score"))
-            )
-    return patterns.where(F.col("confidence") >= CONFIDENT)
+    return keep(edges.join(typical, "pattern", "left_semi").select("pattern", "value", "seed"), "graph")
+
+
+def confident_patterns(graph: DataFrame) -> DataFrame:
+    """pattern, confidence: patterns that introduce identifiers, by scores on the graph.
+
+    A pattern's confidence is the score of its values by their number (one more in the count:
+    few values never make a pattern certain). The patterns that a round accepts score the
+    values not scored before (the chance that one of them is right), and the next round
+    counts these. It ends when no pattern is new, so after as many rounds as the longest chain.
+    """
+    scores = graph.where("seed").select("value", F.lit(1.0).alias("score")).distinct()
+    accepted = None
+    turn = 0
+    while True:
+        scores = keep(scores, f"scores{turn}")
+        judged = graph.join(scores, "value", "left").groupBy("pattern").agg(
+            (F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count(F.lit(1)) + 1)).alias("confidence"),
+            F.count("score").alias("scored"),
+        )
+        good = judged.where((F.col("scored") >= LEAST_VALUES) & (F.col("confidence") >= CONFIDENT)).drop("scored")
+        fresh = keep(good if accepted is None else good.join(accepted, "pattern", "left_anti"), f"fresh{turn}")
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        if fresh.isEmpty():
+            return accepted
+        missed = F.sum(F.log1p(-F.least("confidence", F.lit(0.999))))
+        reached = graph.join(fresh, "pattern").join(scores, "value", "left_anti")
+        scores = scores.unionByName(reached.groupBy("value").agg((1 - F.exp(missed)).alias("score")))
+        turn += 1
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -181,7 +206,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     found = keep(find_matches(docs), "matches")
     spans = keep(placed_spans(found), "spans")
-    patterns = confident_patterns(spans)
+    patterns = confident_patterns(pattern_graph(docs, spans))
     introduced = (
         spans.where("kind = 4")
         .select("row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
