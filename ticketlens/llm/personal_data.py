@@ -26,7 +26,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Other strings that may be identifiers: letters, digits and hyphens, four digits at least.
-OTHER = r"(?<![\p{L}\p{N}_.@-])(?=(?:[A-Za-z-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9-]*+(?![\p{L}\p{N}_@])"
+OTHER = r"(?<![\p{L}\p{N}_.@-])(?:[A-Za-z][A-Za-z-]*+)?+[0-9](?=(?:[A-Za-z-]*+[0-9]){3})[A-Za-z0-9-]*+(?![\p{L}\p{N}_@])"
 KINDS = [*PATTERNS, "identifier"]
 
 #: A pattern needs so many different scored values, this confidence, and to stand before a
@@ -34,15 +34,15 @@ KINDS = [*PATTERNS, "identifier"]
 LEAST_VALUES, CONFIDENT, TYPICAL = 3, 0.8, 0.2
 
 
-def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Matches of a kind in order: what lies before each (length and last words), and the match.
+def _matches(text: Column, found: Column, kind: str, pattern: str) -> Column:
+    """The matches of a kind in order: what lies before each (length and last words), and the match.
 
     The words of a context are the last two in the last four pieces between spaces.
     """
-    before, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda match, left: F.struct(match.alias("match"), left.alias("left")))
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda match, left: F.struct(match.alias("match"), left.alias("left")))
     return F.transform(
-        pairs,
+        # There is one piece more than matches: what follows the last one.
+        F.filter(pairs, lambda pair: pair["match"].isNotNull()),
         lambda pair, i: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
             i.alias("place"),
@@ -94,22 +94,28 @@ def _holds(kind: Column, match: Column) -> Column:
     )
 
 
+#: Every match of a kind holds this character.
+_MARKS = {"email": "@", "ip": ".", "phone": "+"}
+
+
 def find_matches(docs: DataFrame) -> DataFrame:
-    """One row per document: row, doc_id, and all matches of all kinds. Texts are read once."""
+    """One row per document: row, doc_id, and all matches of all kinds.
+
+    Texts are read once, and cut into the pieces between matches only where there are some.
+    """
     text = F.col("text")
+    patterns = {**PATTERNS, "identifier": OTHER}
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns.values()]
+    found = [
+        (F.when(F.contains(text, F.lit(_MARKS[k])), f) if k in _MARKS else f).alias(f"found_{k}")
+        for k, f in zip(patterns, found)
+    ]
+    rows = docs.select("doc_id", whole_text().alias("text")).select("doc_id", "text", *found)
     arrays = [
-        _when_any(text, "@", _matches(text, "email", PATTERNS["email"])),
-        _when_any(text, ".", _matches(text, "ip", PATTERNS["ip"])),
-        _matches(text, "card", PATTERNS["card"]),
-        _when_any(text, "+", _matches(text, "phone", PATTERNS["phone"])),
-        _matches(text, "identifier", OTHER),
+        F.when(F.size(f"found_{k}") > 0, _matches(text, F.col(f"found_{k}"), k, p)) for k, p in patterns.items()
     ]
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*arrays).alias("matches"))
-
-
-def _when_any(text: Column, mark: str, matches: Column) -> Column:
-    return F.when(F.contains(text, F.lit(mark)), matches).otherwise(F.filter(matches, lambda x: F.lit(False)))
+    matches = F.flatten(F.array_compact(F.array(*arrays)))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", matches.alias("matches"))
 
 
 def placed_spans(found: DataFrame) -> DataFrame:
