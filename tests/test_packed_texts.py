@@ -1,0 +1,91 @@
+import gzip
+from collections import Counter
+
+import pytest
+from conftest import dicts, final_plan
+from pyspark.sql import functions as F
+
+from ticketlens.operators import packed_texts
+from ticketlens.operators.batching import assign_batches
+from ticketlens.operators.packed_texts import sent_to_parts, without_text
+
+TEXTS = [None, "", "a", "ä\n" * 3, "long " * 4_000, "longer " * 5_000]
+
+
+def bag(df):
+    return Counter(map(str, dicts(df)))
+
+
+@pytest.fixture()
+def rows(spark):
+    data = [(None if k % 11 == 0 else f"T{k % 40}", TEXTS[k % 6] if k % 7 else f"own {k}", f"m{k % 3}") for k in range(200)]
+    return spark.createDataFrame([*data, ("x", None, None), ("x", "y", None)], "k string, text string, month string").repartition(5)
+
+
+def test_rows_arrive_whole_at_their_parts(rows, monkeypatch):
+    monkeypatch.setattr(packed_texts, "GATHERED_BYTES", 20_000)
+    parted = rows.withColumn("_part", F.pmod(F.hash("k"), F.lit(7)))
+    got = sent_to_parts(parted, 7)
+    assert got.columns == rows.columns and bag(got) == bag(rows)
+    assert got.where(F.spark_partition_id() != F.pmod(F.hash("k"), F.lit(7))).isEmpty()
+    assert sent_to_parts(parted.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("part_bytes", [5_000, 1 << 20])
+def test_texts_are_back_after_rows_were_dropped_changed_and_repeated(spark, rows, monkeypatch, part_bytes):
+    monkeypatch.setattr(packed_texts, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(packed_texts, "SENT_BYTES", 30_000)
+    labels = spark.createDataFrame([(f"T{k % 30}", k) for k in range(45)], "k string, label int")
+    got = without_text(rows, lambda r: r.join(labels, "k", "left"), "text", F.col("month"))
+    assert got.columns == ["k", "text", "month", "label"]
+    assert bag(got) == bag(rows.join(labels, "k", "left").select(*got.columns))
+    gone = without_text(rows, lambda r: r.join(labels, "k", "left_anti"), "text")
+    assert bag(gone) == bag(rows.join(labels, "k", "left_anti").select(*gone.columns))
+    assert without_text(rows.limit(0), lambda r: r, "text").count() == 0
+
+
+def test_a_group_lies_together_and_a_large_one_is_split(spark, monkeypatch):
+    monkeypatch.setattr(packed_texts, "PART_BYTES", 40_000)
+    rows = spark.range(600).selectExpr("id", "if(id % 5 < 4, 'large', concat('small', id % 3)) AS g", "sha2(cast(id AS string), 512) AS text")
+    got = without_text(rows, lambda r: r, "text", F.col("g")).withColumn("p", F.spark_partition_id())
+    parts = {r.g: r.n for r in got.groupBy("g").agg(F.countDistinct("p").alias("n")).collect()}
+    assert parts.pop("large") >= 3 and set(parts.values()) == {1}
+    assert got.groupBy("p").count().agg(F.max("count")).head()[0] < 300
+
+
+def test_texts_go_through_no_join_and_one_exchange(spark, rows, tmp_path):
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    other = stored.groupBy("k").agg(F.max("month").alias("last"))
+    plan = final_plan(without_text(stored, lambda r: r.join(other, "k", "left"), "text")).split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    assert [line for line in plan.splitlines() if "Exchange" in line and "text#" in line] == []
+
+
+def test_batches_get_their_texts_as_packets(csv_tickets):
+    batched = assign_batches(csv_tickets(*[{"ticket_id": f"T{k:02d}", "ticket_body": TEXTS[k % 6]} for k in range(45)]), parts=3)
+    plan = batched._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("REPARTITION_BY_NUM") == 1
+    got = sorted((r.batch_id, r.batch_pos, r.ticket_id, r.ticket_body) for r in batched.collect())
+    assert got == [(k // 20, k % 20, f"T{k:02d}", TEXTS[k % 6]) for k in range(45)]
+
+
+def test_files_of_short_rows_are_bounded_compressed_and_headed(csv_tickets, spark, tmp_path, monkeypatch):
+    from ticketlens.samples import warehouse
+
+    monkeypatch.setattr(warehouse, "ROWS_PER_FILE", 10)
+    monkeypatch.setattr(warehouse, "scratch_path", lambda spark, name: str(tmp_path / name))
+    tickets = csv_tickets(*[{"ticket_id": f"T{k}", "ticket_body": f"body {k}"} for k in range(40)]).coalesce(2)
+    got = warehouse.reread_short_rows(spark, tickets)
+    assert sorted((r.ticket_id, r.created_at) for r in got.collect()) == sorted((f"T{k}", None) for k in range(40))
+    files = [gzip.open(f, "rt").read().splitlines() for f in (tmp_path / "tickets-csv").glob("*.gz")]
+    assert len(files) == 4 and all(len(f) == 11 and f[0].startswith("ticket_id,") for f in files)
+
+
+def test_compressed_files_are_read_as_plain_ones(csv_tickets, spark, tmp_path):
+    from ticketlens.sources.ticket_csv import read_ticket_csv, write_ticket_csv
+
+    tickets = csv_tickets(*[{"ticket_id": f"T{k}", "ticket_body": f'a\n"b" {k}, '} for k in range(25)])
+    write_ticket_csv(tickets.coalesce(1), str(tmp_path / "z"), 10, compression="gzip")
+    assert len(list((tmp_path / "z").glob("*.csv.gz"))) == 3
+    assert bag(read_ticket_csv(spark, str(tmp_path / "z"))) == bag(tickets)
