@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from llm.conftest import LOWER, long_text, words
 from ticketlens.llm.components import components
@@ -135,3 +136,28 @@ def test_each_pair_is_verified_once(documents, monkeypatch):
     pairs = [p for turn in seen for p in turn]
     assert len(seen) > 1 and all(a < b for a, b in pairs), [len(turn) for turn in seen]
     assert len(pairs) == len(set(pairs))
+
+
+def test_pairs_across_components_meet_hardly_more_than_once(documents, monkeypatch):
+    """Near copies that do not link share most frequent shingles of their prefixes, and few rare ones."""
+    import ticketlens.llm.ngram_join as join
+
+    entries = []
+    open_pairs = join._open_pairs
+
+    def seen(rows, percent):
+        entries.append(rows)
+        return open_pairs(rows, percent)
+
+    monkeypatch.setattr(join, "_open_pairs", seen)
+    rows = [(i, changed(long_text(5, 400), 60, 7 * i)) for i in range(40)]
+    got = ngram_jaccard_join(documents(*rows)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    left, right = entries[0].alias("a"), entries[0].alias("b")
+    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.root") != F.col("b.root"))
+    met = left.join(right, same).select(
+        F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.arrays_overlap("a.earlier", "b.earlier").alias("passed")
+    )
+    by_pair = met.groupBy("a", "b").agg(F.count("*").alias("tokens"), F.count_if(~F.col("passed")).alias("meetings"))
+    tokens, meetings, least, pairs = by_pair.agg(F.sum("tokens"), F.sum("meetings"), F.min("meetings"), F.count("*")).head()
+    assert tokens > 4 * pairs and least >= 1 and meetings < 2 * pairs

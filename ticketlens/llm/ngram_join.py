@@ -11,7 +11,7 @@ verified is left out of all later ones.
 Clusters would give all their pairs. Since links only matter up to connection, each round
 first pairs the members of a prefix shingle with one leader and joins what is linked;
 after that only pairs across components are left, and all of those are verified. There a
-pair meets at its first common shingle, not at each of them.
+pair meets at its first common shingle and few others, not at each of them.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ SKETCH_WORDS = 4
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 #: Rounds with leaders, and leaders per token from the second round on.
 LEADER_ROUNDS, LEADERS = 3, 3
-#: First prefix shingles of a set that its later entries carry, to tell that a pair has met.
-FIRST_TOKENS = 4
+#: Prefix shingles before its own that an entry carries, to tell that a pair has met. The last ones:
+#: the first, rarest ones of a set are in few others, even where later ones are mostly shared.
+LAST_TOKENS = 4
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,8 +248,9 @@ def _star_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
 def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """All pairs that share a token and lie in different components.
 
-    Tokens have one order in all sets. A pair whose first tokens have one in common has met
-    there, so it is passed over at later ones; the few others may meet more than once.
+    Tokens have one order in all sets. A pair that shares one of the tokens just before has met
+    there or earlier, so it is passed over; the few others may meet more than once. At its
+    first common token it is never passed over.
     """
     met = entries.alias("a").join(
         entries.alias("b"),
@@ -268,14 +270,14 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     """
     sketch = [F.get("sketch", F.lit(k)).alias(name) for k, name in enumerate(SKETCH)]
     zipped = F.posexplode(F.arrays_zip("tokens", "places")).alias("at", "e")
-    exploded = sets.select("doc", "n", *sketch, F.slice("tokens", 1, FIRST_TOKENS).alias("first"), zipped)
+    exploded = sets.select("doc", "n", *sketch, "tokens", zipped)
     entries = exploded.select(
         "doc",
         "n",
         *SKETCH,
         F.col("e.tokens").alias("token"),
         F.col("e.places").alias("place"),
-        F.slice("first", F.lit(1), F.least("at", F.lit(FIRST_TOKENS))).alias("earlier"),
+        F.slice("tokens", F.greatest(F.col("at") - (LAST_TOKENS - 1), F.lit(1)), F.least("at", F.lit(LAST_TOKENS))).alias("earlier"),
     )
     links, roots, tested = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
