@@ -150,7 +150,10 @@ def test_pairs_across_components_meet_hardly_more_than_once(documents, monkeypat
         return open_pairs(rows, percent)
 
     monkeypatch.setattr(join, "_open_pairs", seen)
-    rows = [(i, changed(long_text(5, 400), 60, 7 * i)) for i in range(40)]
+    # A common part, some words of one's own, and a passage that is in one other text: the rarest shared shingles.
+    passages = [" ".join(f"rare{i}x{k}" for k in range(12)) for i in range(20)]
+    rows = [(i, f"{long_text(11, 270)} {' '.join(f'own{i}x{k}' for k in range(14))} {passages[i]}") for i in range(20)]
+    rows += [(100 + i, f"{passages[i]} {long_text(500 + i, 50)}") for i in range(20)]
     got = ngram_jaccard_join(documents(*rows)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
     left, right = entries[0].alias("a"), entries[0].alias("b")
