@@ -1,5 +1,6 @@
 import csv
 import datetime as dt
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -12,6 +13,7 @@ from ticketlens.session import scratch_folder, session_conf, shared_dir, stage
 from ticketlens.sources.tables import (
     Snapshot,
     append_narrative,
+    append_table,
     latest_narrative,
     replace_table,
     reset_narratives,
@@ -26,6 +28,7 @@ from ticketlens.sources.ticket_csv import (
     well_formed,
     write_ticket_csv,
 )
+from ticketlens.sources.versions import write_version
 
 
 def write_rows(path, *rows):
@@ -194,3 +197,38 @@ def test_headers_by_bytes_and_by_scan_agree(spark, tmp_path):
     assert sorted(len(files) for files in found.values()) == [1, 1] and ("user_id", "ticket_id") in found
     scanned = {r["path"].rsplit("/", 1)[1]: C._names(r["head"]) for r in C._heads_by_scan(spark, str(tmp_path)).collect()}
     assert scanned == {f.rsplit("/", 1)[1]: list(names) for names, files in found.items() for f in files}
+
+
+# -- what writes leave behind --------------------------------------------------------
+
+
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for folder in disk.localDirsString() for f in Path(folder).rglob("shuffle_*")}
+
+
+def test_a_write_leaves_no_shuffle_files(spark, csv_tickets, tmp_path):
+    tickets = csv_tickets(*[{"ticket_id": f"T{k}"} for k in range(40)]).repartition(7, "ticket_id")
+    empty = tickets.limit(0).select("ticket_id")
+    writes = {
+        "stage": lambda: stage(tickets, "rows", str(tmp_path)),
+        "replace": lambda: replace_table(tickets, "shuffled_rows", str(tmp_path)),
+        "append": lambda: append_table(tickets.select("ticket_id"), "shuffled_ids"),
+        "version": lambda: write_version(tickets, "shuffled_version", str(tmp_path)),
+        "csv": lambda: write_ticket_csv(tickets, str(tmp_path / "csv")),
+    }
+    replace_table(empty, "shuffled_ids", str(tmp_path))
+    kept = tickets.groupBy("status").count()
+    assert kept.collect()[0]["count"] == 40
+    for name, write in writes.items():
+        before = shuffle_files(spark)
+        write()
+        for _ in range(50):
+            if shuffle_files(spark) <= before:
+                break
+            time.sleep(0.2)
+        assert shuffle_files(spark) <= before, name
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    # Rows that were written from the same frame are there, and the frame still gives them.
+    assert spark.table("shuffled_rows").count() == spark.table("shuffled_ids").count() == tickets.count() == 40
+    assert kept.collect()[0]["count"] == 40
