@@ -25,7 +25,7 @@ from ticketlens.operators.labeling import (
 )
 from ticketlens.samples.labeler import CONTEXT, careful_labeler, sample_labeler
 from ticketlens.samples.tickets import source_tickets
-from ticketlens.schemas import FALLBACK_SUMMARY, LABEL_COLUMNS, RAW_COLUMNS
+from ticketlens.schemas import FALLBACK_SUMMARY, LABEL_COLUMNS, RAW_COLUMNS, REPLACED_COLUMNS
 from ticketlens.session import session_conf
 
 LABEL = {
@@ -374,3 +374,30 @@ def test_unlabelled(csv_tickets, label_rows):
     labels = label_rows("a", "a").unionByName(label_rows("b", fallback=True))
     assert sorted(r["ticket_id"] for r in unlabelled(tickets, labels).collect()) == ["b", "c"]
     assert [r["ticket_id"] for r in unlabelled(tickets, labels, retry_fallbacks=False).collect()] == ["c"]
+
+
+def test_only_the_columns_of_a_request_are_moved(spark, csv_tickets, tmp_path):
+    """Rows of repeated ids keep the order that all their columns give, equal ones included."""
+    rows = [{"ticket_id": f"T{k % 7}", "user_id": f"U{k % 30}", "ticket_body": f"body {k % 30}"} for k in range(90)]
+    csv_tickets(*rows).write.parquet(str(tmp_path / "t"))
+    tickets = spark.read.parquet(str(tmp_path / "t"))
+    few = ["ticket_id", "channel", "ticket_body"]
+    for parts in (1, 4):
+        whole = assign_batches(tickets, parts=parts).select(*few, "batch_id", "batch_pos")
+        got = assign_batches(tickets, parts=parts, columns=few)
+        assert got.columns == whole.columns and sorted(got.collect()) == sorted(whole.collect())
+
+
+def test_a_labeller_run_moves_no_other_columns(spark, csv_tickets, tmp_path, monkeypatch):
+    from ticketlens.operators import batching
+
+    moved, send = [], batching.sent_to_parts
+    monkeypatch.setattr(batching, "sent_to_parts", lambda rows, parts: moved.append(rows.columns) or send(rows, parts))
+    tickets = csv_tickets(*[{"ticket_id": f"T{k:02d}"} for k in range(30)])
+
+    def labeler(request):
+        return json.dumps([{"ticket_id": t["ticket_id"]} for t in request.tickets])
+
+    answers = label_tickets(tickets, labeler, context=["channel"], stable_batches=True)
+    assert answers.agg(F.sum("tickets")).head()[0] == 30
+    assert sorted(moved[0]) == sorted(["ticket_id", *REPLACED_COLUMNS, "channel", "ticket_body", "_part"])
