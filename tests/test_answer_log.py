@@ -52,6 +52,24 @@ def test_two_attempts_at_once_commit_one_answer(log):
     assert sorted((e["key"], e["reply"]) for e in entries) == [("a", "first"), ("b", "first")]
 
 
+def test_the_log_of_a_run_alone_is_packed(spark, tmp_path):
+    """A ticket's answer repeats the keys and label names of all others."""
+    plain, own = AnswerLog.at(spark, str(tmp_path / "kept")), AnswerLog.if_reachable(spark, str(tmp_path / "own"))
+    text = json.dumps([{"ticket_id": f"TKT-{n}", "primary_label": "Billing", "sentiment": "Neutral"} for n in range(20)])
+    sizes = {}
+    for name, log in {"kept": plain, "own": own}.items():
+        task = log.of_task(0, 0)
+        assert task.ask("a", reply(text))["reply"] == text
+        lost = log.of_task(0, 1)
+        assert lost.ask("a", never)["reply"] == text
+        lost.ask("b", reply(None, usable=False))
+        lost.close()
+        late = log.of_task(0, 2)
+        assert late.ask("a", never)["reply"] == text and late.ask("b", never)["error"] == "no"
+        sizes[name] = sum(f.stat().st_size for f in (tmp_path / name / "p000000").iterdir())
+    assert sizes["own"] < sizes["kept"] / 3
+
+
 def test_partitions_do_not_see_each_other(log):
     log.of_task(0, 0).ask("a", reply("one"))
     assert log.of_task(1, 0).ask("a", reply("two"))["reply"] == "two"
