@@ -343,6 +343,23 @@ def test_a_hot_id_is_split_by_the_join(spark, hot_side, monkeypatch):
         assert (rows, missing) == (n - 1, n // 3 - 1)
 
 
+@pytest.mark.parametrize("piled", [False, True])
+def test_both_sides_of_the_join_are_shuffled_once(spark, csv_tickets, label_rows, tmp_path, monkeypatch, piled):
+    """Too large to broadcast, neither goes through a shuffle of its own to meet the ids with many labels."""
+    if piled:
+        monkeypatch.setattr("ticketlens.operators.labeling.LABELS_PER_PART", 2)
+    csv_tickets({"ticket_id": "a"}, {"ticket_id": "b"}, {"ticket_id": None}).write.parquet(str(tmp_path / "tickets"))
+    label_rows(*["a"] * 5, "b").write.parquet(str(tmp_path / "labels"))
+    tickets, labels = (spark.read.parquet(str(tmp_path / name)) for name in ("tickets", "labels"))
+    with session_conf(
+        spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"
+    ):
+        joined = attach_labels(tickets, labels)
+        plan = final_plan(joined).split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert Counter(r["ticket_id"] for r in joined.collect()) == {"a": 5, "b": 1, None: 1}
+
+
 def test_tickets_are_read_once(spark, csv_tickets, label_rows, tmp_path):
     path = str(tmp_path / "tickets")
     csv_tickets({}, {"ticket_id": None}).write.parquet(path)

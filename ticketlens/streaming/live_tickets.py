@@ -79,7 +79,7 @@ def start_fact_stream(
             if rows.isEmpty():
                 return
             labels = labels_of(label_tickets(rows, labeler, context=context, folder=folder))
-            raw = attach_labels(rows, labels)
+            raw = attach_labels(rows, labels, folder)
             if lenient:
                 raw = stage(raw, "raw", folder)
                 quarantine(raw).write.mode("overwrite").parquet(f"{target}-quarantine/load={batch_id}")
