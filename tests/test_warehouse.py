@@ -271,6 +271,26 @@ def test_a_change_leaves_other_months_alone(spark, raw_rows, tmp_path):
     assert reader.count() == old
 
 
+def test_fact_rows_are_sorted_file_by_file(spark, raw_rows, tmp_path, monkeypatch):
+    """A task that reads many small files at once would sort, and spill, the texts of them all."""
+    import ticketlens.plans.warehouse as plans
+
+    tasks, write = [], plans.write_version
+
+    def counted(df, name, *args, **options):
+        if options.get("partition") == "ticket_month":
+            tasks.append((len(df.inputFiles()), df.rdd.getNumPartitions()))
+        return write(df, name, *args, **options)
+
+    monkeypatch.setattr(plans, "write_version", counted)
+    # More files than cores: small ones would share a task.
+    rows = raw_rows(*[{"ticket_id": f"T{k}", "created_at": f"20{k // 12 + 10}-{k % 12 + 1:02d}-03"} for k in range(60)])
+    house = built(spark, tmp_path, rows.repartition(1), "s_")
+    house.apply_changes(removed=spark.range(36).selectExpr("concat('T', id) AS ticket_id"), changed=raw_rows({"ticket_id": "T59"}))
+    assert tasks[0][0] >= 60 and tasks[0][0] == tasks[0][1] and len(tasks) == 2
+    assert house.fact.count() == 24
+
+
 def test_readers_see_the_old_models_while_a_build_runs(spark, raw_rows, tmp_path, monkeypatch):
     import ticketlens.plans.warehouse as plans
 
