@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators import packed_texts
 from ticketlens.operators.batching import assign_batches
-from ticketlens.operators.packed_texts import sent_to_parts, without_text
+from ticketlens.operators.packed_texts import PART, packed, sent_to_parts, without_text
 
 TEXTS = [None, "", "a", "ä\n" * 3, "long " * 4_000, "longer " * 5_000]
 
@@ -89,3 +89,50 @@ def test_compressed_files_are_read_as_plain_ones(csv_tickets, spark, tmp_path):
     write_ticket_csv(tickets.coalesce(1), str(tmp_path / "z"), 10, compression="gzip")
     assert len(list((tmp_path / "z").glob("*.csv.gz"))) == 3
     assert bag(read_ticket_csv(spark, str(tmp_path / "z"))) == bag(tickets)
+
+
+def test_a_packet_holds_a_text_once(spark):
+    rows = spark.range(60, numPartitions=1).selectExpr(
+        "id", "if(id % 2 = 0, repeat('same', 5000), repeat(concat('own', id), 300)) AS text", "'x' AS mark", "cast(id % 20 = 3 AS int) AS _part"
+    )
+    assert [f.nullable for f in rows.schema.fields if f.name == "mark"] == [False]
+    sizes = {r[PART]: r["_packet_size"] for r in packed(rows).collect()}
+    # 30 copies of 20,000 bytes go to the first part; in the second no text repeats.
+    assert sizes[0] < 100_000
+    assert bag(sent_to_parts(rows, 2)) == bag(rows.drop("_part"))
+
+
+def test_batches_that_share_texts_go_to_one_part(spark, csv_tickets, monkeypatch):
+    from ticketlens.operators import batching
+
+    moved, send = [], batching.sent_to_parts
+    monkeypatch.setattr(batching, "sent_to_parts", lambda rows, parts: moved.append(rows) or send(rows, parts))
+    tickets = csv_tickets(*[{"ticket_id": f"T{k:04d}", "ticket_body": f"text {k % 400}"} for k in range(3200)])
+    got = assign_batches(tickets, parts=8)
+    pairs = moved[0].select("_part", "ticket_body").distinct().groupBy("_part").count().collect()
+    # In runs of 400 tickets, all parts would need all 400 texts.
+    assert len(pairs) == 8 and sum(r["count"] for r in pairs) < 1000
+    assert sorted((r.batch_id, r.batch_pos, r.ticket_id, r.ticket_body) for r in got.collect()) == [
+        (k // 20, k % 20, f"T{k:04d}", f"text {k % 400}") for k in range(3200)
+    ]
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= 400
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 40])
+@pytest.mark.parametrize("unit", [1, 3])
+def test_numbers_of_rows_with_texts_ties_and_copies(spark, parts, unit):
+    from ticketlens.operators.batching import number_in_order
+
+    rows = [(f"k{i:03d}", f"text {i % 25}") for i in range(100)]
+    rows += [("k010", f"text {i}") for i in range(20)] + [("k025", "same")] * 33 + [("k030", None)] * 5
+    got = number_in_order(spark.createDataFrame(rows, "k string, v string").repartition(6), "k", unit=unit, parts=parts, text="v")
+    with_part = got.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.k, str(r.v)) for r in with_part) == sorted((k, str(v)) for k, v in rows)
+    ordered = sorted(with_part, key=lambda r: r.row_no)
+    assert [r.row_no for r in ordered] == list(range(len(rows)))
+    assert [r.k for r in ordered] == sorted(k for k, _ in rows)
+    # Rows lie in order in their partitions, and no unit is split.
+    assert with_part == sorted(with_part, key=lambda r: (r.part, r.row_no))
+    assert len({(r.row_no // unit, r.part) for r in with_part}) == len({r.row_no // unit for r in with_part})
+    assert len({r.part for r in with_part}) <= parts
