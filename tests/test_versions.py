@@ -95,3 +95,13 @@ def test_hidden_columns_no_rows_and_a_table_of_that_name(spark, name, tmp_path):
     got = V.publish(frame(spark, m01=[1]).limit(0), name, str(tmp_path / "v"), partition="m", shown=["v"])
     assert got.columns == ["v"] and got.count() == 0 and V.current_version(spark, name)
     assert V.current_version(spark, "no_such_name") is None
+
+
+def test_files_of_texts_are_smaller_than_by_default(spark, name, tmp_path):
+    words = F.expr("concat_ws(' ', transform(sequence(1, 400), k -> concat('w', abs(hash(id, k)) % 3000)))")
+    rows = spark.range(0, 4000, 1, 1).select("id", words.alias("text"))
+    version = V.write_version(rows, name, str(tmp_path / "tables"))
+    rows.write.option("compression", "zstd").parquet(str(tmp_path / "plain"))
+    sizes = [sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in (tmp_path / "tables", tmp_path / "plain")]
+    assert sizes[0] < 0.96 * sizes[1], sizes
+    assert version.rows().exceptAll(rows).isEmpty() and version.rows().count() == 4000
