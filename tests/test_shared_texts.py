@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ticketlens.operators import packed_texts as P
+from ticketlens.operators.batching import assign_batches, assign_batches_apart
 from ticketlens.plans.warehouse import Warehouse
 from ticketlens.schemas import FACT_TABLE, RAW_TABLE, TEXTS_TABLE
 from ticketlens.sources.versions import current_version, leased, texts_of, versions_of
@@ -160,3 +161,39 @@ def test_changes_to_rows_that_name_their_texts(spark, csv_tickets, raw_rows, hou
     assert rows_of(reader) == held
     house.apply_changes(removed=spark.createDataFrame([("T004",)], "ticket_id string"))
     assert texts_version(house) == after, "all its texts are still in use"
+
+
+# -- batches of single tickets -------------------------------------------------------
+
+
+def most_places(df, text):
+    held = df.where("ticket_id IS NOT NULL").select(text.alias("t"), F.spark_partition_id().alias("p")).where("t <> ''")
+    return held.groupBy("t").agg(F.count_distinct("p").alias("n")).agg(F.max("n")).head()[0]
+
+
+def test_batches_apart_are_the_same_and_equal_texts_lie_together(spark, csv_tickets, monkeypatch):
+    monkeypatch.setattr(P, "PART_BYTES", 4096)
+    tickets = tickets_of(csv_tickets, 150, 6).unionByName(
+        csv_tickets(
+            # One id many times, with unequal rows and with equal ones, across the parts' bounds; and no id.
+            *[{"ticket_id": "T070", "ticket_body": f"text {k % 4}"} for k in range(60)],
+            *[{"ticket_id": None}] * 5,
+        )
+    )
+    tickets = tickets.select("ticket_id", "ticket_body").repartition(6)
+    got = assign_batches_apart(tickets, "ticket_body", batch_size=5)
+    want = assign_batches(tickets, batch_size=5)
+    assert got.columns == want.columns and rows_of(got) == rows_of(want) and got.count() == 210
+    assert most_places(got, F.col("ticket_body")) == 1 < most_places(want, F.col("ticket_body"))
+    assert got.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_prompt_lines_of_equal_texts_lie_together(spark, csv_tickets, monkeypatch):
+    import __spark_entry__ as entry
+
+    tickets = tickets_of(csv_tickets, 200, 5).repartition(6)
+    monkeypatch.setattr(P, "PART_BYTES", 4096)
+    monkeypatch.setattr(entry, "source_tickets", lambda *args, **options: tickets)
+    lines = entry.queries()["label_prompt_lines"](spark, "")
+    assert lines.columns == ["batch_id", "batch_pos", "ticket_id", "line"] and lines.count() == 200
+    assert most_places(lines, F.split_part("line", F.lit("body: "), F.lit(2))) == 1
